@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1, op6
+from . import op1, op6, op8, op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1.op1_simhash_near_dedup,
     "op6_exact_dedup": op6.op6_exact_dedup,
+    "op8_language_id": op8.op8_language_id,
+    "op9_pii": op9.op9_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": op6.SQL,
+    "op9_pii": op9.SQL,
 }
