@@ -23,6 +23,8 @@ DICT_BYTES = 96 << 10
 #: the dictionaries rather than against what came before it.
 BLOCK = 4096
 LEVEL = 6
+#: Shorter texts are encoded with more effort and matches from three bytes on.
+SHORT, SHORT_LEVEL = 256, 12
 #: A smaller margin is a rejection.
 LEAST_MARGIN = 0.002
 
@@ -51,18 +53,21 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
 
 def classifier(dictionaries: dict[str, bytes]):
     """text -> (language or 'und', margin from 0 to 1)."""
-    encoders = []
-    for lang in sorted(dictionaries):
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(dictionaries[lang]), source_size=BLOCK, write_content_size=0)
+
+    def encoder(lang: str, level: int, **more: int) -> tuple[str, zstandard.ZstdCompressor]:
+        params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(dictionaries[lang]), source_size=BLOCK, write_content_size=0, **more)
         held = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        encoders.append((lang, zstandard.ZstdCompressor(dict_data=held, compression_params=params)))
+        return lang, zstandard.ZstdCompressor(dict_data=held, compression_params=params)
+
+    usual = [encoder(lang, LEVEL) for lang in sorted(dictionaries)]
+    close = [encoder(lang, SHORT_LEVEL, min_match=3) for lang in sorted(dictionaries)]
 
     def classify(text: str | None) -> tuple[str, float]:
-        if not encoders or not text or not any(map(str.isalpha, text)):
+        if not usual or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
         data = plain(text)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = sorted((sum(len(e.compress(b)) for b in blocks), lang) for lang, e in encoders)
+        sizes = sorted((sum(len(e.compress(b)) for b in blocks), lang) for lang, e in (close if len(data) < SHORT else usual))
         if len(sizes) == 1:
             return sizes[0][1], 1.0
         return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
