@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1, op2, op3, op4, op6, op8, op9
+from . import op1, op2, op3, op4, op5, op6, op8, op9, op10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1.op1_simhash_near_dedup,
     "op2_token_counts": op2.op2_token_counts,
     "op3_best_fit_packing": op3.op3_best_fit_packing,
     "op4_mix_sources": op4.op4_mix_sources,
+    "op5_nearest_neighbours": op5.op5_nearest_neighbours,
     "op6_exact_dedup": op6.op6_exact_dedup,
     "op8_language_id": op8.op8_language_id,
     "op9_pii": op9.op9_pii,
+    "op10_lm_scoring": op10.op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
