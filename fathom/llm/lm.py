@@ -34,6 +34,9 @@ HEAD = 200_000
 #: Documents side by side, and steps that a gradient goes back.
 LANES, STEPS = 512, 16
 RATE = 0.004
+#: Logits are held below this, so that their exponentials are finite; states are
+#: within one of zero, so only weights far beyond the trained ones get there.
+MOST_LOGIT = np.float32(60)
 #: Tokens that a step of training is made from, at least: the windows in which only
 #: a few long documents are left don't each make one.
 STEP_TOKENS = 4096
@@ -51,6 +54,13 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
+class Symbols(dict):
+    """Symbols by word; that of any word that isn't held follows from its ending."""
+
+    def __missing__(self, word: bytes) -> int:
+        return VOCABULARY + tail_of(word)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all of docs(text); the end of a document is the word ''."""
 
@@ -86,18 +96,19 @@ class Vocabulary:
     def ready(self) -> Vocabulary:
         self.index = {w: i for i, w in enumerate(self.words)}
         self.symbol = np.array([i if i < VOCABULARY else VOCABULARY + tail_of(w) for i, w in enumerate(self.words)] or [0], np.int64)
+        self.symbols = Symbols(zip(self.words, self.symbol.tolist(), strict=False))
         self.norm = np.log(self.tail_sums[:, 0] + 0.5 * (self.tail_sums[:, 1] + 1))
         self.log_count = np.log(np.append(self.counts, 0) + 0.5)
         return self
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each word, and of the end after them, among `words` (-1: not there), and its symbol."""
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        """The symbol of each word, and of the end after them."""
+        return np.array([*map(self.symbols.__getitem__, words), 0], np.int16)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where each word, and the end after them, stands among `words`; -1: nowhere."""
         get = self.index.get
-        at = np.array([*[get(w, -1) for w in words], 0], np.int64)
-        symbol = self.symbol[at]
-        for i in np.flatnonzero(at < 0):
-            symbol[i] = VOCABULARY + tail_of(words[i])
-        return at, symbol
+        return np.array([*[get(w, -1) for w in words], 0], np.int64)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -176,12 +187,11 @@ class Model:
             gates[t, :, : 2 * H], gates[t, :, 2 * H : 3 * H], gates[t, :, 3 * H :] = rz, n, g[:, 2 * H :]
         out = hs[1:].reshape(-1, H)
         y = target.ravel()
-        of = np.where(y < VOCABULARY, y // CLASS, y - VOCABULARY + VOCABULARY // CLASS)
+        of = np.where(y < VOCABULARY, y // CLASS, y - VOCABULARY + VOCABULARY // CLASS).astype(np.int16)
         rows = np.arange(len(y))
-        logits = out @ p["class_w"] + p["class_b"]
-        logits -= logits.max(1, keepdims=True)
+        logits = np.minimum(out @ p["class_w"] + p["class_b"], MOST_LOGIT)
         chance = np.exp(logits)
-        sums = chance.sum(1)
+        sums = chance @ np.ones(chance.shape[1], np.float32)
         logp = logits[rows, of] - np.log(sums)
         grad = None
         if learn is not None:
@@ -193,16 +203,15 @@ class Model:
             grad.p["class_w"][:], grad.p["class_b"][:] = out.T @ chance, chance.sum(0)
             dout = chance @ p["class_w"].T
         order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(VOCABULARY // CLASS + 1))
+        edges = np.searchsorted(of[order], np.arange(VOCABULARY // CLASS + 1, dtype=np.int16))
         for c in range(VOCABULARY // CLASS):
             at = order[edges[c] : edges[c + 1]]
             if not len(at):
                 continue
             part = slice(c * CLASS, (c + 1) * CLASS)
-            logits = out[at] @ p["word_w"][part].T + p["word_b"][part]
-            logits -= logits.max(1, keepdims=True)
+            logits = np.minimum(out[at] @ p["word_w"][part].T + p["word_b"][part], MOST_LOGIT)
             chance = np.exp(logits)
-            sums = chance.sum(1)
+            sums = chance @ np.ones(CLASS, np.float32)
             mine = (np.arange(len(at)), y[at] - c * CLASS)
             logp[at] += logits[mine] - np.log(sums)
             if grad is not None:
@@ -225,7 +234,7 @@ class Model:
             dg = np.concatenate([dr, dz, dn * r], axis=1)
             grad.p["around"] += before.T @ dg
             dh = (dh * z + dg @ p["around"].T) * keep[t][:, None]
-        flat, s = dx.reshape(-1, 3 * H), sym.ravel()
+        flat, s = dx.reshape(-1, 3 * H), sym.ravel().astype(np.int16)
         order = np.argsort(s, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], s[order][1:] != s[order][:-1]]))
         dtable = np.zeros_like(table)
@@ -293,14 +302,14 @@ def train(docs: DataFrame, held: Vocabulary) -> np.ndarray:
     model = Model.start(v)
     adam = Adam(len(model.flat))
     for _ in range(WARM_PASSES if warm else 0):
-        run(model, [v.encode(tokens(t))[1] for t in warm], adam)
+        run(model, [v.encode(tokens(t)) for t in warm], adam)
     shared = spark.sparkContext.broadcast((held.words, held.counts, held.total, held.distinct, held.tail_sums, model.flat))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *parts, flat = shared.value
         v, model, adam, seen = Vocabulary(*parts).ready(), Model(flat.copy()), Adam(len(flat)), 0
         for b in batches:
-            symbols = [v.encode(tokens(t.as_py()))[1] for t in b.column("text")]
+            symbols = [v.encode(tokens(t.as_py())) for t in b.column("text")]
             if symbols:
                 run(model, symbols, adam)
                 seen += sum(map(len, symbols))
@@ -352,7 +361,10 @@ def score(docs: DataFrame, training: DataFrame, counts: DataFrame | None = None)
             symbols, known, counted, modelled, sizes, words, times = [], [], [], [], [], [], []
             for text in b.column("text"):
                 found = tokens(text.as_py())
-                at, symbol = v.encode(found)
+                at = v.places(found)
+                symbol = v.symbol[at]
+                for i in np.flatnonzero(at < 0):
+                    symbol[i] = VOCABULARY + tail_of(found[i])
                 there = at >= 0
                 tail = Counter([found[i] for i in np.flatnonzero(~there)])
                 words += tail
