@@ -83,14 +83,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, .
     named.  Without dictionaries all are `und`.  Ties go to the first name.  Whole
     texts are encoded; repeated rows and null ids are passed through.
     """
-    docs = docs.select(*[docs[c] for c in ("doc_id", "text", *keep)])
-    schema = docs.drop("text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    docs = docs.select(*[docs[c] for c in dict.fromkeys(("doc_id", "text", *keep))])
+    kept = [c for c in docs.columns if c != "text" or c in keep]
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = classifier(dictionaries)
         for b in batches:
             found = [classify(t.as_py()) for t in b.column("text")]
-            out = {n: b.column(n) for n in b.schema.names if n != "text"}
+            out = {n: b.column(n) for n in kept}
             out |= {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([y for _, y in found], pa.float64())}
             out["rejected"] = pa.array([x == "und" or y < LEAST_MARGIN for x, y in found], pa.bool_())
             yield pa.RecordBatch.from_pydict(out)
@@ -98,6 +99,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, .
     return docs.mapInArrow(each, schema)
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that identify doesn't reject; labels are docs.lang."""
+    found = identify(docs, fit(docs), keep=tuple(docs.columns))
+    return found.filter(~found["rejected"]).select(*docs.columns)
+
+
 def fold(doc_id: Column | str, of: int) -> Column:
     """CRC-32 of the id as text, modulo `of`."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id), F.lit(of))

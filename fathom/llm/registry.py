@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1, op2, op3, op4, op5, op6, op8, op9, op10
+from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1.op1_simhash_near_dedup,
@@ -15,9 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4.op4_mix_sources,
     "op5_nearest_neighbours": op5.op5_nearest_neighbours,
     "op6_exact_dedup": op6.op6_exact_dedup,
+    "op7_license_scan": op7.op7_license_scan,
     "op8_language_id": op8.op8_language_id,
     "op9_pii": op9.op9_pii,
     "op10_lm_scoring": op10.op10_lm_scoring,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

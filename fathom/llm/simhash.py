@@ -238,3 +238,63 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     named = saved(join_unique(rooted, saved(least, "least"), "root", "prints", ["component_id"]).select("print", "n", "component_id"), "named")
     out = join_unique(rows, named, "print", "n", ["component_id"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For shingles whose similarity decides: the fingerprints that propose (words of a
+#: shingle), how far apart they may be, and segments of which one may differ by a bit.
+PROPOSE_WORDS, PROPOSE_DISTANCE, PROPOSE_SEGMENTS = (2, 3), 12, 5
+#: Documents whose ids may be broadcast to fetch their texts.
+BROADCAST_IDS = 500_000
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, root): documents of docs(doc_id, text) in groups of similar texts.
+
+    Two texts are similar if the Jaccard similarity of their sets of word shingles is
+    `least` or more.  Pairs to verify are proposed by SimHash: the fingerprints of
+    shorter shingles, on which an edit tells less, through deletion-variant buckets,
+    as minimum spanning forests.  Each proposed pair is verified on whole texts.
+    root is the least doc_id of a group; documents alone have no row.  Null ids take
+    no part; rows that repeat an id count as one document; texts without words are
+    one group.
+    """
+    docs = columns(docs, doc_id="long", text="string").filter("doc_id is not null")
+    pairs = None
+    for n in PROPOSE_WORDS:
+        rows = saved(fingerprints(docs, n), "proposing")
+        least_id = saved(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
+        same = join_unique(rows, least_id.filter("n > 1"), "print", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+        near = links(least_id, PROPOSE_DISTANCE, segments_for(PROPOSE_SEGMENTS))
+        ends = [least_id.select(F.col("print").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
+        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        pairs = same.unionByName(near) if pairs is None else pairs.unionByName(same).unionByName(near)
+    pairs = saved(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    asked = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "asked")
+    ids = asked.select("doc_id")
+    sets = docs.join(F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [np.unique(shingles(t.as_py(), words)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(grams, pa.binary())], ["doc_id", "grams"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both >= least * (len(x) + len(y) - both)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    sets = saved(sets.mapInArrow(hashed, "doc_id long, grams binary").dropDuplicates(["doc_id"]).join(asked, "doc_id"), "sets")
+    first = join_unique(pairs, sets.select(F.col("doc_id").alias("a"), "n", F.col("grams").alias("x")), "a", "n", ["x"]).select("a", "b", "x")
+    both = join_unique(first, sets.select(F.col("doc_id").alias("b"), "n", F.col("grams").alias("y")), "b", "n", ["y"]).select("a", "b", "x", "y")
+    return components(both.mapInArrow(compared, "a long, b long"))
+
+
+def without_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, without all but the least doc_id of each group."""
+    gone = saved(similar_groups(docs, words, least).filter("node <> root").select(F.col("node").alias("_gone")), "similar")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
