@@ -113,7 +113,17 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the written counts; HEAD words at most reach the driver."""
-    top = counts.filter("word <> ''").orderBy(F.desc("n"), "word").limit(HEAD - 1).toArrow()
+    # The least count with fewer than HEAD words at or above it, in steps of an eighth
+    # of a doubling: a few hundred rows tell, and no task gathers the candidates.
+    step = F.floor(F.log2("n") * 8)
+    least, words = None, 0
+    for row in counts.filter("word <> ''").groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        words += row["words"]
+        if words >= HEAD:
+            break
+        least = row["step"]
+    common = counts.filter("word <> ''").filter(step >= least if least is not None else F.lit(False))
+    top = common.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     ends = counts.filter("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = [b"", *(w.encode() for w in top.column("word").to_pylist())]
     total, distinct = counts.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
