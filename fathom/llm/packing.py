@@ -26,8 +26,9 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length in a bucket that are ranked by one task.
 BUCKET_ROWS = 50_000
-#: Rounds of multiplicative weights and their step.
-ROUNDS, STEP = 400, 0.25
+#: Rounds of multiplicative weights, up to eight times as many where there are few
+#: lengths, and their step.
+ROUNDS, STEP, FEW_LENGTHS = 400, 0.25, 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -78,16 +79,21 @@ def best_configuration(value: np.ndarray, most: np.ndarray, capacity: int) -> di
     return {n: min(k, int(most[n])) for n, k in out.items()}
 
 
-def solve(demand: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """A fractional cover of demand (by length): how often to use each configuration."""
-    asked = demand > 0
+def solve(demand: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """A fractional cover of demand (by length): how often to use each configuration.
+
+    And a bound that no packing beats: what the demand weighs over what the heaviest
+    configuration does, at the best weights seen.
+    """
+    asked, bound = demand > 0, 0.0
     if not asked.any():
-        return {}
+        return {}, bound
     covered, weight = np.zeros(len(demand)), asked.astype(float)
     used: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(ROUNDS):
+    for _ in range(int(ROUNDS * min(8, max(1, FEW_LENGTHS / asked.sum())))):
         value = np.divide(weight, demand, out=np.zeros(len(demand)), where=asked)
         found = best_configuration(value, demand, capacity)
+        bound = max(bound, float(weight[asked].sum() / sum(value[n] * k for n, k in found.items()))) if all(k < demand[n] for n, k in found.items()) else bound
         share = max(k / demand[n] for n, k in found.items())
         times = 1 / share
         key = tuple(sorted(found.items()))
@@ -95,8 +101,8 @@ def solve(demand: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...]
         for n, k in found.items():
             covered[n] += times * k / demand[n]
             weight[n] *= np.exp(-STEP * times * k / demand[n])
-    scale = covered[asked].mean()
-    return {k: v / scale for k, v in used.items()}
+    scale = covered[asked].min()
+    return {k: v / scale for k, v in used.items()}, bound
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Plan:
@@ -121,9 +127,9 @@ def best_fit(left: np.ndarray, capacity: int) -> Plan:
 def plan(demand: np.ndarray, capacity: int) -> Plan:
     """Configurations that hold exactly demand[n] pieces of each length n."""
     left, out = demand.copy(), []
-    for key, times in sorted(solve(demand, capacity).items(), key=lambda x: -sum(n * k for n, k in x[0])):
+    for key, times in sorted(solve(demand, capacity)[0].items(), key=lambda x: -sum(n * k for n, k in x[0])):
         whole = min(int(times), *(int(left[n]) // k for n, k in key))
-        if whole and sum(n * k for n, k in key) == capacity:
+        if whole > 0:
             out.append((dict(key), whole))
             for n, k in key:
                 left[n] -= whole * k
