@@ -41,7 +41,7 @@ class Storage:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.tables: dict[str, Table] = {}
-        text = self._read("_catalog.json")
+        text = self._read("catalog.json")
         for x in json.loads(text) if text else []:
             self.tables[x["name"]] = Table(**x | {"columns": [tuple(c) for c in x["columns"]]})
 
@@ -56,11 +56,11 @@ class Storage:
         return "\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}").collect())
 
     def save(self) -> None:
-        fs, new = self._path("_catalog.new")
+        fs, new = self._path("catalog.new")
         stream = fs.create(new, True)
         stream.write(bytearray(json.dumps([asdict(t) for t in self.tables.values()]).encode()))
         stream.close()
-        path = self._path("_catalog.json")[1]
+        path = self._path("catalog.json")[1]
         fs.delete(path, False)
         fs.rename(new, path)
 
