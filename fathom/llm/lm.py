@@ -307,7 +307,11 @@ def run(model: Model, symbols: list[np.ndarray], adam: Adam | None = None) -> np
 def train(docs: DataFrame, held: Vocabulary) -> np.ndarray:
     """Parameters from all of docs(doc_id, text)."""
     spark = docs.sparkSession
-    warm = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(WARM_DOCS).toArrow().column("text").to_pylist()
+    # Hashes alone are ordered; texts come once the last of them is known.
+    hashes = docs.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(WARM_DOCS)
+    last = hashes.agg(F.max("h")).first()[0]
+    warm = docs.filter(F.xxhash64("text") <= F.lit(last)).select("text").distinct().toArrow().column("text").to_pylist() if last is not None else []
+    warm.sort()
     v = held.ready()
     model = Model.start(v)
     adam = Adam(len(model.flat))
