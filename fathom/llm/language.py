@@ -43,10 +43,16 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     the same on every run: the rows whose text's hash is least.
     """
     rows = columns(labelled, text="string", lang="string").dropna()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_ROWS)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Hashes alone are ranked; texts come once each language's last of them is known.
+    ranked = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE_ROWS)
+    last = {row["lang"]: row["last"] for row in ranked.groupBy("lang").agg(F.max("h").alias("last")).collect()}
+    if not last:
+        return {}
+    bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])[F.col("lang")]
+    sample = rows.filter(F.col("h") <= bound).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().collect()
     texts: dict[str, list[bytes]] = {}
-    for row in sample.orderBy("lang", "r").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
+    for row in sorted(sample):
         texts.setdefault(row["lang"], []).append(plain(row["text"]))
     return {lang: b" ".join(found)[:DICT_BYTES] for lang, found in texts.items()}
 
