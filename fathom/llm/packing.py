@@ -91,7 +91,8 @@ def solve(demand: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int]
     covered, weight = np.zeros(len(demand)), asked.astype(float)
     used: dict[tuple[tuple[int, int], ...], float] = {}
     for _ in range(int(ROUNDS * min(8, max(1, FEW_LENGTHS / asked.sum())))):
-        value = np.divide(weight, demand, out=np.zeros(len(demand)), where=asked)
+        weight /= weight.max()  # only ratios matter, and none may vanish
+        value = np.divide(np.maximum(weight, 1e-200), demand, out=np.zeros(len(demand)), where=asked)
         found = best_configuration(value, demand, capacity)
         bound = max(bound, float(weight[asked].sum() / sum(value[n] * k for n, k in found.items()))) if all(k < demand[n] for n, k in found.items()) else bound
         share = max(k / demand[n] for n, k in found.items())
@@ -101,7 +102,8 @@ def solve(demand: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int]
         for n, k in found.items():
             covered[n] += times * k / demand[n]
             weight[n] *= np.exp(-STEP * times * k / demand[n])
-    scale = covered[asked].min()
+    # Where the rounds leave lengths uncovered, best fit has them; scale by the mean then.
+    scale = covered[asked].min() if covered[asked].min() >= 0.5 * covered[asked].mean() else covered[asked].mean()
     return {k: v / scale for k, v in used.items()}, bound
 
 
