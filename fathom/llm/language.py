@@ -19,6 +19,7 @@ from .common import columns
 #: The bound of the labelled sample: rows for each language, characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 128, 4096
 DICT_BYTES = 96 << 10
+PARTS = 64
 #: Texts are encoded in blocks, so that every part of a long text is held against
 #: the dictionaries rather than against what came before it.
 BLOCK = 4096
@@ -45,7 +46,10 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     rows = columns(labelled, text="string", lang="string").dropna()
     rows = rows.withColumn("h", F.xxhash64("text"))
     # Hashes alone are ranked; texts come once each language's last of them is known.
-    ranked = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE_ROWS)
+    # Ranks within parts of a language come first, so that no task gathers it all.
+    ranked = rows.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("r") <= SAMPLE_ROWS)
     last = {row["lang"]: row["last"] for row in ranked.groupBy("lang").agg(F.max("h").alias("last")).collect()}
     if not last:
         return {}
