@@ -96,13 +96,15 @@ class Vocabulary:
     def ready(self) -> Vocabulary:
         self.index = {w: i for i, w in enumerate(self.words)}
         self.symbol = np.array([i if i < VOCABULARY else VOCABULARY + tail_of(w) for i, w in enumerate(self.words)] or [0], np.int64)
-        self.symbols = Symbols(zip(self.words, self.symbol.tolist(), strict=False))
+        self.symbols: Symbols | None = None
         self.norm = np.log(self.tail_sums[:, 0] + 0.5 * (self.tail_sums[:, 1] + 1))
         self.log_count = np.log(np.append(self.counts, 0) + 0.5)
         return self
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         """The symbol of each word, and of the end after them."""
+        if self.symbols is None:
+            self.symbols = Symbols(zip(self.words, self.symbol.tolist(), strict=False))
         return np.array([*map(self.symbols.__getitem__, words), 0], np.int16)
 
     def places(self, words: list[bytes]) -> np.ndarray:
@@ -273,10 +275,10 @@ def run(model: Model, symbols: list[np.ndarray], adam: Adam | None = None) -> np
     """
     sizes = np.array([len(s) for s in symbols])
     whole, starts = np.concatenate(symbols), np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     begins = np.zeros(len(whole), bool)
     begins[starts[:-1]] = True
-    previous = np.concatenate([[0], whole[:-1]])
+    previous = np.roll(whole, 1)
     previous[begins] = 0
     # Lanes begin with documents, so that no document is cut.
     lanes = min(LANES, len(sizes))
@@ -386,7 +388,7 @@ def score(docs: DataFrame, training: DataFrame, counts: DataFrame | None = None)
                 sizes.append(len(tail))
                 logs = np.where(there, v.log_count[at], 0)
                 in_tail = symbol >= VOCABULARY
-                symbols.append(symbol)
+                symbols.append(symbol.astype(np.int16))
                 known.append(int((there & (v.counts[at] > 0)).sum()) if len(v.counts) else 0)
                 counted.append(logs.sum() / np.log(10))
                 modelled.append((logs[in_tail].sum() - v.norm[symbol[in_tail] - VOCABULARY].sum()) / np.log(10))
