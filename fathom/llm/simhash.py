@@ -115,6 +115,21 @@ def forest(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def neighbours(prints: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of each fingerprint to the `most` nearest within distance, ties to the first."""
+    n, a, b = len(prints), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows = max(1, (1 << 21) // n)
+    for at in range(0, n, rows):
+        d = np.bitwise_count(prints[at : at + rows, None] ^ prints[None]).astype(np.int64)
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = BITS + 1
+        rank = d * n + np.arange(n)
+        top = np.argpartition(rank, most - 1, axis=1)[:, :most] if most < n else np.broadcast_to(np.arange(n), (len(d), n))
+        i, k = np.nonzero(np.take_along_axis(d, top, 1) <= distance)
+        a.append(i + at)
+        b.append(top[i, k])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _by_neighbours(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """x and y differ in at most two bits if and only if one-bit changes of them (or they) meet."""
     flips = np.array([0, *(1 << i for i in range(BITS))] if distance == 2 else [0], np.uint64)
@@ -132,13 +147,15 @@ def _by_neighbours(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.nd
     return links[0], links[1]
 
 
-def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | None = None) -> DataFrame:
+def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | None = None, nearest: int = 0) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of prints(print long).
 
     With the segments that segments_for gives, the links join all fingerprints that
     chains of distances up to `distance` join.  Fewer or shorter segments than that
     find only those that also share a variant.  A bucket sends at most a link for
-    each member, never its pairs.
+    each member, never its pairs.  With `nearest`, each member also has links to so
+    many of its nearest in the bucket: for callers that verify links further, whom a
+    spanning forest alone would leave without the way round a link that fails.
     """
     segments = segments or segments_for(distance)
     spark = prints.sparkSession
@@ -170,8 +187,19 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | No
                 i, j = forest(group, distance)
                 a.append(group[i])
                 b.append(group[j])
+                if nearest and len(i) > 1:
+                    linked = np.unique(group[np.concatenate([i, j])])
+                    i, j = neighbours(linked, distance, nearest)
+                    a.append(linked[i])
+                    b.append(linked[j])
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            if nearest:  # members meet in many buckets of a part: once is enough
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+                a, b = a[first], b[first]
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = prints.mapInArrow(keyed, "key long, print long").repartition(n, "key").sortWithinPartitions("key")
@@ -241,8 +269,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
 
 
 #: For shingles whose similarity decides: the fingerprints that propose (words of a
-#: shingle), how far apart they may be, and segments of which one may differ by a bit.
-PROPOSE_WORDS, PROPOSE_DISTANCE, PROPOSE_SEGMENTS = (2, 3), 12, 5
+#: shingle), how far apart they may be, and up to what distance none can be missed.
+PROPOSE_WORDS, PROPOSE_DISTANCE, PROPOSE_SEGMENTS = (2, 3), 14, 7
+#: Links that a fingerprint proposes in a bucket, besides the spanning forest.
+PROPOSE_NEAREST = 16
 #: Documents whose ids may be broadcast to fetch their texts.
 BROADCAST_IDS = 500_000
 
@@ -253,7 +283,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     Two texts are similar if the Jaccard similarity of their sets of word shingles is
     `least` or more.  Pairs to verify are proposed by SimHash: the fingerprints of
     shorter shingles, on which an edit tells less, through deletion-variant buckets,
-    as minimum spanning forests.  Each proposed pair is verified on whole texts.
+    as minimum spanning forests and the nearest of each document.  Each proposed pair
+    is verified on whole texts.
     root is the least doc_id of a group; documents alone have no row.  Null ids take
     no part; rows that repeat an id count as one document; texts without words are
     one group.
@@ -264,7 +295,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
         rows = saved(fingerprints(docs, n), "proposing")
         least_id = saved(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
         same = join_unique(rows, least_id.filter("n > 1"), "print", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        near = links(least_id, PROPOSE_DISTANCE, segments_for(PROPOSE_SEGMENTS))
+        near = links(least_id, PROPOSE_DISTANCE, segments_for(PROPOSE_SEGMENTS), PROPOSE_NEAREST)
         ends = [least_id.select(F.col("print").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
         near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
         pairs = same.unionByName(near) if pairs is None else pairs.unionByName(same).unionByName(near)
@@ -277,7 +308,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = [np.unique(shingles(t.as_py(), words)).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(grams, pa.binary())], ["doc_id", "grams"])
+            size = pa.array([len(g) // 8 for g in grams], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(grams, pa.binary()), size], ["doc_id", "grams", "size"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,7 +320,11 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
                 keep[i] = both >= least * (len(x) + len(y) - both)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    sets = saved(sets.mapInArrow(hashed, "doc_id long, grams binary").dropDuplicates(["doc_id"]).join(asked, "doc_id"), "sets")
+    sets = saved(sets.mapInArrow(hashed, "doc_id long, grams binary, size long").dropDuplicates(["doc_id"]).join(asked, "doc_id"), "sets")
+    # Sets travel only where their sizes allow that similarity.
+    for x in "ab":
+        pairs = join_unique(pairs, sets.select(F.col("doc_id").alias(x), "n", F.col("size").alias(f"size_{x}")), x, "n", [f"size_{x}"]).drop("n")
+    pairs = saved(pairs.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")).select("a", "b"), "alike")
     first = join_unique(pairs, sets.select(F.col("doc_id").alias("a"), "n", F.col("grams").alias("x")), "a", "n", ["x"]).select("a", "b", "x")
     both = join_unique(first, sets.select(F.col("doc_id").alias("b"), "n", F.col("grams").alias("y")), "b", "n", ["y"]).select("a", "b", "x", "y")
     return components(both.mapInArrow(compared, "a long, b long"))
