@@ -268,11 +268,28 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of as many bins as it has, rounded up to a power of two."""
+    bins = 1 << max(len(grams) - 1, 0).bit_length()
+    count = np.bincount((grams & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+
+def may_reach(x: bytes, y: bytes, sizes: tuple[int, int], least: float) -> bool:
+    """False if the sketches show that two sets are less similar than `least`: never wrongly."""
+    if not x or not y:
+        return True
+    x, y = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    bins = min(len(x), len(y))
+    both = int(np.minimum(x.reshape(-1, bins).sum(0), y.reshape(-1, bins).sum(0)).sum())
+    return both >= least * (sum(sizes) - both)
+
+
 #: For shingles whose similarity decides: the fingerprints that propose (words of a
 #: shingle), how far apart they may be, and up to what distance none can be missed.
-PROPOSE_WORDS, PROPOSE_DISTANCE, PROPOSE_SEGMENTS = (2, 3), 14, 7
+PROPOSE_WORDS, PROPOSE_DISTANCE, PROPOSE_SEGMENTS = (2, 3), 12, 7
 #: Links that a fingerprint proposes in a bucket, besides the spanning forest.
-PROPOSE_NEAREST = 16
+PROPOSE_NEAREST = 4
 #: Documents whose ids may be broadcast to fetch their texts.
 BROADCAST_IDS = 500_000
 
@@ -307,9 +324,14 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [np.unique(shingles(t.as_py(), words)).tobytes() for t in b.column("text")]
-            size = pa.array([len(g) // 8 for g in grams], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(grams, pa.binary()), size], ["doc_id", "grams", "size"])
+            grams = [np.unique(shingles(t.as_py(), words)) for t in b.column("text")]
+            parts = [pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(map(len, grams), pa.int64()), pa.array(map(sketch, grams), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *parts], ["doc_id", "grams", "size", "sketch"])
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b")), strict=True)
+            yield b.select(["a", "b"]).filter(pa.array([may_reach(x, y, (m, n), least) for x, y, m, n in rows], pa.bool_()))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,11 +342,12 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
                 keep[i] = both >= least * (len(x) + len(y) - both)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    sets = saved(sets.mapInArrow(hashed, "doc_id long, grams binary, size long").dropDuplicates(["doc_id"]).join(asked, "doc_id"), "sets")
-    # Sets travel only where their sizes allow that similarity.
+    sets = saved(sets.mapInArrow(hashed, "doc_id long, grams binary, size long, sketch binary").dropDuplicates(["doc_id"]).join(asked, "doc_id"), "sets")
+    # Sets travel only where the much smaller sketches allow that similarity.
     for x in "ab":
-        pairs = join_unique(pairs, sets.select(F.col("doc_id").alias(x), "n", F.col("size").alias(f"size_{x}")), x, "n", [f"size_{x}"]).drop("n")
-    pairs = saved(pairs.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")).select("a", "b"), "alike")
+        side = sets.select(F.col("doc_id").alias(x), "n", F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        pairs = join_unique(pairs, side, x, "n", [f"size_{x}", f"sketch_{x}"]).drop("n")
+    pairs = saved(pairs.mapInArrow(hopeful, "a long, b long"), "alike")
     first = join_unique(pairs, sets.select(F.col("doc_id").alias("a"), "n", F.col("grams").alias("x")), "a", "n", ["x"]).select("a", "b", "x")
     both = join_unique(first, sets.select(F.col("doc_id").alias("b"), "n", F.col("grams").alias("y")), "b", "n", ["y"]).select("a", "b", "x", "y")
     return components(both.mapInArrow(compared, "a long, b long"))
