@@ -82,6 +82,19 @@ def variants(prints: np.ndarray, segments: list[tuple[int, int]]) -> np.ndarray:
     return np.stack(out)
 
 
+def first_shared(x: np.ndarray, y: np.ndarray, segments: list[tuple[int, int]]) -> np.ndarray:
+    """The key of the first variant that each pair of fingerprints shares; they must share one."""
+    out, found = np.zeros(len(x), np.uint64), np.zeros(len(x), bool)
+    for first, bits in segments:
+        mask = np.uint64((1 << bits) - 1 << first)
+        differ = (x ^ y) & mask
+        wild = np.where(differ == 0, np.uint64(1 << first), differ)
+        key = _mix((x & mask & ~wild) ^ _mix(np.bitwise_count(wild - np.uint64(1)).astype(np.uint64) + np.uint64(1)))
+        here = ~found & (np.bitwise_count(differ) <= 1)
+        out[here], found = key[here], found | here
+    return out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits (the finaliser of SplitMix64), so keys never collide by it."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -175,14 +188,14 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | No
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(member.ravel().view(np.int64))], ["key", "print"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for members, starts in _buckets(batches):
+        for members, starts, keys in _buckets(batches):
             a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             sizes = np.diff(starts)
             two = starts[:-1][sizes == 2]
             near = np.bitwise_count(members[two] ^ members[two + 1]) <= distance
             a.append(members[two[near]])
             b.append(members[two[near] + 1])
-            for at, size in zip(starts[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+            for at, size, key in zip(starts[:-1][sizes > 2], sizes[sizes > 2], keys[sizes > 2], strict=True):
                 group = members[at : at + size]
                 i, j = forest(group, distance)
                 a.append(group[i])
@@ -190,8 +203,10 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | No
                 if nearest and len(i) > 1:
                     linked = np.unique(group[np.concatenate([i, j])])
                     i, j = neighbours(linked, distance, nearest)
-                    a.append(linked[i])
-                    b.append(linked[j])
+                    shared = first_shared(linked[i], linked[j], segments)
+                    once = (shared == key) | np.isin(shared, hot)  # not in each bucket where they meet
+                    a.append(linked[i[once]])
+                    b.append(linked[j[once]])
             a, b = np.concatenate(a), np.concatenate(b)
             a, b = np.minimum(a, b), np.maximum(a, b)
             if nearest:  # members meet in many buckets of a part: once is enough
@@ -224,11 +239,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """From rows sorted by key: members and where each bucket of two or more starts."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From rows sorted by key: members, where each bucket of two or more starts, and its key."""
     keys, members = [], []
 
-    def cut(last: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    def cut(last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, member = np.concatenate(keys), np.concatenate(members)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         whole = len(key) if last else int(starts[-2])
@@ -236,7 +251,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         starts = starts[starts <= whole]
         sizes = np.diff(starts)
         several = np.repeat(sizes > 1, sizes)
-        return member[:whole][several], np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
+        return member[:whole][several], np.concatenate([[0], np.cumsum(sizes[sizes > 1])]), key[starts[:-1]][sizes > 1].view(np.uint64)
 
     for b in batches:
         if b.num_rows:
@@ -289,7 +304,7 @@ def may_reach(x: bytes, y: bytes, sizes: tuple[int, int], least: float) -> bool:
 #: shingle), how far apart they may be, and up to what distance none can be missed.
 PROPOSE_WORDS, PROPOSE_DISTANCE, PROPOSE_SEGMENTS = (2, 3), 12, 7
 #: Links that a fingerprint proposes in a bucket, besides the spanning forest.
-PROPOSE_NEAREST = 4
+PROPOSE_NEAREST = 8
 #: Documents whose ids may be broadcast to fetch their texts.
 BROADCAST_IDS = 500_000
 
