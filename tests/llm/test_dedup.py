@@ -109,3 +109,21 @@ def test_similar_texts_are_grouped_and_others_left(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (5, "")], "doc_id long, text string")
     assert {(r["node"], r["root"]) for r in simhash.similar_groups(docs).collect()} == {(1, 1), (2, 1), (4, 4), (5, 4)}
     assert sorted(r["doc_id"] for r in simhash.without_similar(docs).collect()) == [1, 3, 4]
+
+
+def test_first_shared_variant_and_sketches():
+    rng = np.random.default_rng(3)
+    segments = simhash.segments_for(7)
+    x = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    y = x ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    ours, theirs = simhash.variants(x, segments), simhash.variants(y, segments)
+    for i, key in enumerate(simhash.first_shared(x, y, segments)):
+        assert key in set(ours[:, i]) & set(theirs[:, i])
+    for a, b in ((0, 0), (0, 5), (300, 300), (300, 377), (40, 2000)):
+        whole = rng.integers(0, 1 << 63, a + b, dtype=np.uint64)
+        s, t = np.unique(whole[:a]), np.unique(whole[a // 10 : b + a // 10])
+        both = len(np.intersect1d(s, t))
+        least = both / max(len(s) + len(t) - both, 1)
+        assert simhash.may_reach(simhash.sketch(s), simhash.sketch(t), (len(s), len(t)), least - 1e-9)
+    s, t = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64)), np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+    assert not simhash.may_reach(simhash.sketch(s), simhash.sketch(t), (500, 500), 0.8)
