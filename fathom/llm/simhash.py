@@ -300,42 +300,142 @@ def may_reach(x: bytes, y: bytes, sizes: tuple[int, int], least: float) -> bool:
     return both >= least * (sum(sizes) - both)
 
 
-#: For shingles whose similarity decides: the fingerprints that propose (words of a
-#: shingle), how far apart they may be, and up to what distance none can be missed.
+#: For shingles whose similarity decides: the fingerprints that propose first (words
+#: of a shingle), and how far apart they may be.
 PROPOSE_WORDS, PROPOSE_DISTANCE, PROPOSE_SEGMENTS = (2, 3), 12, 7
-#: Links that a fingerprint proposes in a bucket, besides the spanning forest.
-PROPOSE_NEAREST = 8
-#: Documents whose ids may be broadcast to fetch their texts.
+#: Documents whose shingles are counted, one in so many, and how many of the most
+#: frequent are put last.  They decide the cost alone: any order finds all pairs.
+COUNTED_SHARE, COUNTED_LEAST, COMMON_SHINGLES = 16, 4, 500_000
+#: A row for each hash of a prefix: its document, the size of the set, its place, two parities.
+PREFIXES = ("key", "doc_id", "size", "at", "p", "q")
+#: Documents whose ids may be broadcast.
 BROADCAST_IDS = 500_000
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(node, root): documents of docs(doc_id, text) in groups of similar texts.
+def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first hashes of a set, rare ones first: sets as similar as `least` share one of theirs.
 
-    Two texts are similar if the Jaccard similarity of their sets of word shingles is
-    `least` or more.  Pairs to verify are proposed by SimHash: the fingerprints of
-    shorter shingles, on which an edit tells less, through deletion-variant buckets,
-    as minimum spanning forests and the nearest of each document.  Each proposed pair
-    is verified on whole texts.
-    root is the least doc_id of a group; documents alone have no row.  Null ids take
-    no part; rows that repeat an id count as one document; texts without words are
-    one group.
+    Such sets have `least` of either's size in common, so one of the common hashes is
+    among the first size - ceil(least * size) + 1 of each, in any order that is the
+    same for all sets.  common: sorted hashes that come late, by counts.
     """
-    docs = columns(docs, doc_id="long", text="string").filter("doc_id is not null")
-    pairs = None
-    for n in PROPOSE_WORDS:
-        rows = saved(fingerprints(docs, n), "proposing")
-        least_id = saved(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
-        same = join_unique(rows, least_id.filter("n > 1"), "print", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        near = links(least_id, PROPOSE_DISTANCE, segments_for(PROPOSE_SEGMENTS), PROPOSE_NEAREST)
-        ends = [least_id.select(F.col("print").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
-        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        pairs = same.unionByName(near) if pairs is None else pairs.unionByName(same).unionByName(near)
-    pairs = saved(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    n = len(grams)
+    if not n:
+        return grams
+    often = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        often = np.where(common[at] == grams, counts[at], 0)
+    return grams[np.lexsort((grams, often))][: n - int(np.ceil(least * n - 1e-9)) + 1]
 
-    asked = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "asked")
-    ids = asked.select("doc_id")
-    sets = docs.join(F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """128 bits, as two numbers: whether a set has an odd number of hashes in each of 128 bins."""
+    odd = np.bincount((grams & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def across(root: np.ndarray, size: np.ndarray, at: np.ndarray, p: np.ndarray, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's members, of different roots, that could be as similar as `least`.
+
+    Sets that are similar pass in the bucket of the first hash that they share: from
+    there on at most the rest of the smaller is in common.  Each bit in which the
+    parities differ takes a hash that only one of the sets has.
+    """
+    kinds, where, many = np.unique(root, return_inverse=True, return_counts=True)
+    if len(kinds) < 2:
+        return
+    outer = np.flatnonzero(where != many.argmax())
+    rows = max(1, (1 << 21) // len(root))
+    for k in range(0, len(outer), rows):
+        i = outer[k : k + rows, None]
+        ok = (root[i] != root) & (np.minimum(size[i] - at[i], size - at) >= least / (1 + least) * (size[i] + size) - 1e-6) & (np.minimum(size[i], size) >= least * np.maximum(size[i], size) - 1e-6)
+        ok &= np.bitwise_count(p[i] ^ p).astype(np.int16) + np.bitwise_count(q[i] ^ q) <= (1 - least) / (1 + least) * (size[i] + size) + 1e-6
+        x, y = np.nonzero(ok)
+        yield outer[k + x], y
+
+
+def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many documents have, sorted, and their counts in a part of the documents."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t.as_py(), words)).view(np.int64))], ["gram"])
+
+    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED_SHARE)) == 0).select("text")
+    counts = part.mapInArrow(each, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= COUNTED_LEAST)
+    found = counts.orderBy(F.desc("n"), "gram").limit(COMMON_SHINGLES).toArrow()
+    grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def shared_prefixes(docs: DataFrame, roots: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): pairs of docs(doc_id, text), none missing that is as similar as `least`, of different roots.
+
+    roots: (node, root) as far as documents are joined already; pairs within a root
+    are left out, as their similarity changes nothing.
+    """
+    spark = docs.sparkSession
+    kept = spark.sparkContext.broadcast(_common_shingles(docs, words))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.unique(shingles(t.as_py(), words)) for t in b.column("text")]
+            first = [prefix(g, *kept.value, least) for g in held]
+            many = np.fromiter(map(len, first), np.int64, len(first))
+            keys = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
+            row = np.repeat(np.arange(len(first)), many)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            size = np.fromiter(map(len, held), np.int64, len(held))
+            bits = np.array([parity(g) for g in held], np.uint64).reshape(-1, 2)[row].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("doc_id").take(pa.array(row)), pa.array(size[row]), pa.array(at), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], [*PREFIXES])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, size, at, p, q, root, starts in _runs(batches):
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(starts[:-1], starts[1:]):
+                for i, j in across(root[x:y], size[x:y], at[x:y], p[x:y].view(np.uint64), q[x:y].view(np.uint64), least):
+                    a.append(doc[x + i])
+                    b.append(doc[x + j])
+            a, b = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.mapInArrow(keyed, ", ".join(f"{x} long" for x in PREFIXES))
+    few = roots.count() <= BROADCAST_IDS
+    roots = roots.withColumnRenamed("node", "doc_id")
+    rows = rows.join(F.broadcast(roots) if few else roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    dealt = rows.select(*PREFIXES, "root").repartition(n, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(met, "a long, b long").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """From rows sorted by key: doc_id, size, at, the parities and root of the keys with two rows or more, and where each starts."""
+    held: list[np.ndarray] = []
+
+    def cut(last: bool) -> tuple[np.ndarray, ...]:
+        rows = np.concatenate(held, axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1], [True]]))
+        whole = rows.shape[1] if last else int(starts[-2])
+        held[:] = [rows[:, whole:]]
+        sizes = np.diff(starts[starts <= whole])
+        several = rows[1:, :whole][:, np.repeat(sizes > 1, sizes)]
+        return (*several, np.concatenate([[0], np.cumsum(sizes[sizes > 1])]))
+
+    for b in batches:
+        if b.num_rows:
+            held.append(np.stack([b.column(c).to_numpy() for c in (*PREFIXES, "root")]))
+            if sum(x.shape[1] for x in held) >= 200_000 and held[-1][0, -1] != held[0][0, 0]:
+                yield cut(False)
+    if held:
+        yield cut(True)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of docs(doc_id, text) that are as similar as `least`."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,7 +457,10 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
                 keep[i] = both >= least * (len(x) + len(y) - both)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    sets = saved(sets.mapInArrow(hashed, "doc_id long, grams binary, size long, sketch binary").dropDuplicates(["doc_id"]).join(asked, "doc_id"), "sets")
+    asked = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "asked")
+    ids = asked.select("doc_id")
+    texts = docs.join(F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sets = saved(texts.mapInArrow(hashed, "doc_id long, grams binary, size long, sketch binary").join(asked, "doc_id"), "sets")
     # Sets travel only where the much smaller sketches allow that similarity.
     for x in "ab":
         side = sets.select(F.col("doc_id").alias(x), "n", F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -365,7 +468,54 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     pairs = saved(pairs.mapInArrow(hopeful, "a long, b long"), "alike")
     first = join_unique(pairs, sets.select(F.col("doc_id").alias("a"), "n", F.col("grams").alias("x")), "a", "n", ["x"]).select("a", "b", "x")
     both = join_unique(first, sets.select(F.col("doc_id").alias("b"), "n", F.col("grams").alias("y")), "b", "n", ["y"]).select("a", "b", "x", "y")
-    return components(both.mapInArrow(compared, "a long, b long"))
+    return saved(both.mapInArrow(compared, "a long, b long"), "similar")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, root): documents of docs(doc_id, text) in groups of similar texts.
+
+    Two texts are similar if the Jaccard similarity of their sets of word shingles is
+    `least` or more.  SimHash of shorter shingles joins most similar texts cheaply;
+    then all pairs of different groups that share a hash of their sets' prefixes are
+    compared, so that no link is missed.  Each pair is verified on whole texts.
+    root is the least doc_id of a group; documents alone have no row.  Null ids take
+    no part; rows that repeat an id count as one document; texts without words are
+    one group.
+    """
+    docs = columns(docs, doc_id="long", text="string").filter("doc_id is not null")
+    names = [f"print{n}" for n in PROPOSE_WORDS]
+
+    if docs.groupBy("doc_id").count().filter("count > 1").take(1):
+        docs = saved(docs.dropDuplicates(["doc_id"]), "once")
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column("text")]
+            digest = [xxhash.xxh3_128_digest(np.unique(shingles(t, words)).tobytes()) for t in texts]
+            prints = [np.fromiter((fingerprint(shingles(t, n)) for t in texts), np.uint64, len(texts)).view(np.int64) for n in PROPOSE_WORDS]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), *map(pa.array, prints)], ["doc_id", "digest", *names])
+
+    sets = saved(docs.mapInArrow(printed, f"doc_id long, digest binary, {', '.join(f'{x} long' for x in names)}"), "proposing")
+    # Equal sets are one from here on, under their least id.
+    equal = saved(sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "equal")
+    same = saved(join_unique(sets.select("doc_id", "digest"), equal, "digest", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
+    gone = same.filter("a <> b").select(F.col("b").alias("doc_id"))
+    gone = F.broadcast(gone) if same.count() <= BROADCAST_IDS else gone
+    sets, docs = (x.join(gone, "doc_id", "left_anti") for x in (sets, docs))
+
+    pairs = None
+    for name in names:
+        rows = sets.select("doc_id", F.col(name).alias("print"))
+        least_id = saved(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
+        alike = join_unique(rows, least_id.filter("n > 1"), "print", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+        near = links(least_id, PROPOSE_DISTANCE, segments_for(PROPOSE_SEGMENTS))
+        ends = [least_id.select(F.col("print").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
+        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        pairs = alike.unionByName(near) if pairs is None else pairs.unionByName(alike).unionByName(near)
+    pairs = saved(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    joined = _verified(pairs, docs, words, least)
+    rest = saved(shared_prefixes(docs, saved(components(joined), "roots"), words, least), "rest")
+    return components(joined.unionByName(_verified(rest, docs, words, least)).unionByName(same))
 
 
 def without_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
