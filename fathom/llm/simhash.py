@@ -128,21 +128,6 @@ def forest(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def neighbours(prints: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) of each fingerprint to the `most` nearest within distance, ties to the first."""
-    n, a, b = len(prints), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rows = max(1, (1 << 21) // n)
-    for at in range(0, n, rows):
-        d = np.bitwise_count(prints[at : at + rows, None] ^ prints[None]).astype(np.int64)
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = BITS + 1
-        rank = d * n + np.arange(n)
-        top = np.argpartition(rank, most - 1, axis=1)[:, :most] if most < n else np.broadcast_to(np.arange(n), (len(d), n))
-        i, k = np.nonzero(np.take_along_axis(d, top, 1) <= distance)
-        a.append(i + at)
-        b.append(top[i, k])
-    return np.concatenate(a), np.concatenate(b)
-
-
 def _by_neighbours(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """x and y differ in at most two bits if and only if one-bit changes of them (or they) meet."""
     flips = np.array([0, *(1 << i for i in range(BITS))] if distance == 2 else [0], np.uint64)
@@ -160,15 +145,13 @@ def _by_neighbours(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.nd
     return links[0], links[1]
 
 
-def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | None = None, nearest: int = 0) -> DataFrame:
+def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | None = None) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of prints(print long).
 
     With the segments that segments_for gives, the links join all fingerprints that
     chains of distances up to `distance` join.  Fewer or shorter segments than that
     find only those that also share a variant.  A bucket sends at most a link for
-    each member, never its pairs.  With `nearest`, each member also has links to so
-    many of its nearest in the bucket: for callers that verify links further, whom a
-    spanning forest alone would leave without the way round a link that fails.
+    each member, never its pairs.
     """
     segments = segments or segments_for(distance)
     spark = prints.sparkSession
@@ -188,32 +171,20 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | No
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(member.ravel().view(np.int64))], ["key", "print"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for members, starts, keys in _buckets(batches):
+        for members, starts in _buckets(batches):
             a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             sizes = np.diff(starts)
             two = starts[:-1][sizes == 2]
             near = np.bitwise_count(members[two] ^ members[two + 1]) <= distance
             a.append(members[two[near]])
             b.append(members[two[near] + 1])
-            for at, size, key in zip(starts[:-1][sizes > 2], sizes[sizes > 2], keys[sizes > 2], strict=True):
+            for at, size in zip(starts[:-1][sizes > 2], sizes[sizes > 2], strict=True):
                 group = members[at : at + size]
                 i, j = forest(group, distance)
                 a.append(group[i])
                 b.append(group[j])
-                if nearest and len(i) > 1:
-                    linked = np.unique(group[np.concatenate([i, j])])
-                    i, j = neighbours(linked, distance, nearest)
-                    shared = first_shared(linked[i], linked[j], segments)
-                    once = (shared == key) | np.isin(shared, hot)  # not in each bucket where they meet
-                    a.append(linked[i[once]])
-                    b.append(linked[j[once]])
             a, b = np.concatenate(a), np.concatenate(b)
             a, b = np.minimum(a, b), np.maximum(a, b)
-            if nearest:  # members meet in many buckets of a part: once is enough
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-                a, b = a[first], b[first]
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -239,11 +210,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From rows sorted by key: members, where each bucket of two or more starts, and its key."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From rows sorted by key: members, and where each bucket of two or more starts."""
     keys, members = [], []
 
-    def cut(last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cut(last: bool) -> tuple[np.ndarray, np.ndarray]:
         key, member = np.concatenate(keys), np.concatenate(members)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         whole = len(key) if last else int(starts[-2])
@@ -251,7 +222,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         starts = starts[starts <= whole]
         sizes = np.diff(starts)
         several = np.repeat(sizes > 1, sizes)
-        return member[:whole][several], np.concatenate([[0], np.cumsum(sizes[sizes > 1])]), key[starts[:-1]][sizes > 1].view(np.uint64)
+        return member[:whole][several], np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
 
     for b in batches:
         if b.num_rows:
