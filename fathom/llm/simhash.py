@@ -463,7 +463,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
         for b in batches:
             texts = [t.as_py() for t in b.column("text")]
             digest = [xxhash.xxh3_128_digest(np.unique(shingles(t, words)).tobytes()) for t in texts]
-            prints = [np.fromiter((fingerprint(shingles(t, n)) for t in texts), np.uint64, len(texts)).view(np.int64) for n in PROPOSE_WORDS]
+            prints = [np.fromiter((fingerprint(np.unique(shingles(t, n))) for t in texts), np.uint64, len(texts)).view(np.int64) for n in PROPOSE_WORDS]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), *map(pa.array, prints)], ["doc_id", "digest", *names])
 
     sets = saved(docs.mapInArrow(printed, f"doc_id long, digest binary, {', '.join(f'{x} long' for x in names)}"), "proposing")

@@ -67,3 +67,10 @@ def test_prefixes_of_similar_sets_meet(seed):
             at = np.array([list(p).index(first), list(q).index(first)])
             bits = np.array([simhash.parity(x), simhash.parity(y)])
             assert list(simhash.across(np.array([1, 2]), np.array([len(x), len(y)]), at, bits[:, 0], bits[:, 1], 0.8))[0][0].size
+
+
+def test_repeats_hide_no_similar_text(spark):
+    words = [f"w{i}" for i in range(120)]
+    text = " ".join(words)
+    docs = [(1, text), (2, text + (" " + " ".join(words[:9])) * 300), (3, " ".join(f"v{i}" for i in range(50)))]
+    assert found(spark, docs) == slow_groups(docs) == {1: 1, 2: 1}
