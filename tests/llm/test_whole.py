@@ -74,3 +74,10 @@ def test_repeats_hide_no_similar_text(spark):
     text = " ".join(words)
     docs = [(1, text), (2, text + (" " + " ".join(words[:9])) * 300), (3, " ".join(f"v{i}" for i in range(50)))]
     assert found(spark, docs) == slow_groups(docs) == {1: 1, 2: 1}
+
+
+def test_equal_prints_do_not_stand_for_each_other(spark):
+    passage = " ".join(f"p{i}" for i in range(5))
+    docs = [(d, f"{passage} " * 3000 + " ".join(f"{x}{i}" for i in range(40))) for d, x in ((1, "a"), (2, "b"), (3, "b"))]
+    docs[2] = (3, docs[2][1] + " more")
+    assert found(spark, docs) == slow_groups(docs) == {2: 2, 3: 2}
