@@ -35,8 +35,6 @@ TEMPLATES = {
 
 #: The share of a template's words that must be aligned.
 LEAST_COVERAGE = 0.85
-#: Gaps without anchors are aligned by longest common subsequence up to so many cells.
-SMALL_GAP = 4096
 
 WORD = re.compile("[A-Za-z0-9]+")
 _PLAIN = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
@@ -66,7 +64,7 @@ def increasing(values: list[int]) -> list[int]:
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence, as pairs of indices: for small gaps."""
+    """A longest common subsequence, as pairs of indices: for gaps without anchors."""
     size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -95,8 +93,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         both.sort()
         anchors = [both[k] for k in increasing([i for _, i in both])]
         if not anchors:
-            if (a1 - a0) * (b1 - b0) <= SMALL_GAP:
-                out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
+            out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
             continue
         i0, j0 = a0, b0
         for j, i in [*anchors, (b1, a1)]:
@@ -140,6 +137,12 @@ class Scanner:
                     window = words[hits[left] : hits[left] + span]
                     pairs = align(window, template)
                     if len(pairs) >= need:
+                        # A copy with words changed must not take them from the next one.
+                        if pairs[-1][0] >= len(template) + 16:
+                            near = align(window[: len(template) + 16], template)
+                            if len(near) >= need:
+                                rest = hits[left] + near[-1][0] + 1
+                                pairs = near if len(align(words[rest : rest + span], template)) >= need else pairs
                         first, last = hits[left] + pairs[0][0], hits[left] + pairs[-1][0]
                         found.append((name, len(pairs) / len(template), first, last))
                         after = last + 1

@@ -1,11 +1,11 @@
-"""Near-duplicates are found whole, whatever SimHash proposes."""
+"""Operators do the whole job where short cuts lost parts of it."""
 
 import random
 
 import numpy as np
 import pytest
 
-from fathom.llm import simhash
+from fathom.llm import licenses, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -81,3 +81,16 @@ def test_equal_prints_do_not_stand_for_each_other(spark):
     docs = [(d, f"{passage} " * 3000 + " ".join(f"{x}{i}" for i in range(40))) for d, x in ((1, "a"), (2, "b"), (3, "b"))]
     docs[2] = (3, docs[2][1] + " more")
     assert found(spark, docs) == slow_groups(docs) == {2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("copies", [2, 5])
+@pytest.mark.parametrize("between", [" ", " Copyright 2020 A B "])
+@pytest.mark.parametrize("gap", [0, 1])
+def test_adjacent_copies_of_a_license_are_told_apart(copies, between, gap):
+    words = licenses.words_of(licenses.TEMPLATES["MIT"])
+    text = between.join([" ".join(words[: 60 - gap] + words[60:])] + [" ".join(words)] * (copies - 1))
+    found = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE).scan(text)
+    size = len(words) - gap + len(between.split())
+    assert [x[0] for x in found] == ["MIT"] * copies
+    assert [x[2] for x in found] == [0, *(size + i * (size + gap) for i in range(copies - 1))]
+    assert [x[1] for x in found[1:]] == [1] * (copies - 1)
