@@ -26,9 +26,12 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length in a bucket that are ranked by one task.
 BUCKET_ROWS = 50_000
-#: Rounds of multiplicative weights, up to eight times as many where there are few
-#: lengths, and their step.
-ROUNDS, STEP, FEW_LENGTHS = 400, 0.25, 256
+#: Rounds of multiplicative weights, their step, and how much less than the best a
+#: configuration may be worth, in the first and the last round.
+ROUNDS, STEP, SLACK = 200, 0.3, (0.05, 0.002)
+#: The share of short pieces that is kept for what rounding leaves, and the share of
+#: pieces that the program must place for it to be solved once more.
+HELD_BACK, LEAST_PLACED = 0.5, 0.3
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,56 +58,102 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return columns(docs, doc_id="long", text="string").mapInArrow(each, PIECES)
 
 
-def best_configuration(value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The lengths, with copies up to `most`, that fill a sequence with most value.
+def knapsack(value: np.ndarray, asked: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most value that fits into each room up to capacity, and a length that is taken there (0: none)."""
+    at = np.flatnonzero(asked)
+    gain, several = value[at], np.searchsorted(at, np.arange(capacity + 1), "right")
+    best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        if several[room]:
+            total = best[room - at[: several[room]]] + gain[: several[room]]
+            i = int(total.argmax())
+            if total[i] >= best[room]:
+                best[room], taken[room] = total[i], at[i]
+    return best, taken
+
 
-    value, most: by length.  The dynamic program takes any number of copies; a
-    configuration is then cut to what is still asked for.
+def configurations(taken: np.ndarray, first: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """A row for each length of first: it and the best that fits beside it, ascending, 0 padded.
+
+    Copies of a length beyond its demand are left out.
     """
-    at = np.flatnonzero(most > 0)
-    gain, best, taken = value[at], np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(at, c, "right")
-        if k:
-            total = best[c - at[:k]] + gain[:k]
-            i = int(total.argmax())
-            best[c], taken[c] = total[i], at[i]
-        if best[c] < best[c - 1]:
-            best[c], taken[c] = best[c - 1], 0
-    out, c = {}, capacity
-    while c > 0:
-        if taken[c]:
-            out[int(taken[c])] = out.get(int(taken[c]), 0) + 1
-        c -= int(taken[c]) or 1
-    return {n: min(k, int(most[n])) for n, k in out.items()}
-
-
-def solve(demand: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
-    """A fractional cover of demand (by length): how often to use each configuration.
-
-    And a bound that no packing beats: what the demand weighs over what the heaviest
-    configuration does, at the best weights seen.
+    rows, room = [first], capacity - first
+    while room.any():
+        rows.append(taken[room])
+        room = room - np.where(room > 0, np.maximum(taken[room], 1), 0)
+    held = np.sort(np.stack(rows, axis=1), axis=1)
+    nth = np.zeros(held.shape, np.int64)  # of equal lengths
+    for i in range(1, held.shape[1]):
+        nth[:, i] = np.where(held[:, i] == held[:, i - 1], nth[:, i - 1] + 1, 0)
+    return np.sort(np.where(nth < demand[held], held, 0), axis=1)
+
+
+def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, whole: np.ndarray | None = None) -> tuple[dict[bytes, float], float]:
+    """A fractional cover of demand (by length) by multiplicative weights.
+
+    Lengths begin with the weight of their tokens.  A round prices all configurations
+    by one knapsack, takes for each length the best one with it, as long as that is
+    within a share (SLACK, from first to last round) of the best of all, and covers
+    the lengths by those together, in proportion to demand; the more a length is
+    covered, the less it weighs from there on.
+
+    Result: how often to use each configuration (its lengths, ascending, as int16);
+    and a bound that no packing of `whole` (the same lengths; demand, if left out)
+    beats: its value over that of the best configuration, at the best values seen.
     """
     asked, bound = demand > 0, 0.0
-    if not asked.any():
-        return {}, bound
-    covered, weight = np.zeros(len(demand)), asked.astype(float)
-    used: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(int(ROUNDS * min(8, max(1, FEW_LENGTHS / asked.sum())))):
-        weight /= weight.max()  # only ratios matter, and none may vanish
-        value = np.divide(np.maximum(weight, 1e-200), demand, out=np.zeros(len(demand)), where=asked)
-        found = best_configuration(value, demand, capacity)
-        bound = max(bound, float(weight[asked].sum() / sum(value[n] * k for n, k in found.items()))) if all(k < demand[n] for n, k in found.items()) else bound
-        share = max(k / demand[n] for n, k in found.items())
-        times = 1 / share
-        key = tuple(sorted(found.items()))
-        used[key] = used.get(key, 0) + times
-        for n, k in found.items():
-            covered[n] += times * k / demand[n]
-            weight[n] *= np.exp(-STEP * times * k / demand[n])
-    # Where the rounds leave lengths uncovered, best fit has them; scale by the mean then.
-    scale = covered[asked].min() if covered[asked].min() >= 0.5 * covered[asked].mean() else covered[asked].mean()
-    return {k: v / scale for k, v in used.items()}, bound
+    at, many = np.flatnonzero(asked), demand[asked].astype(float)
+    whole = demand if whole is None else whole
+    used: dict[bytes, float] = {}
+    covered, weight, value = np.zeros(len(demand)), many * at, np.zeros(len(demand))
+    for i in range(rounds if len(at) else 0):
+        value[at] = weight / many
+        value /= value.max()
+        best, taken = knapsack(value, asked, capacity)
+        bound = max(bound, float(value @ whole) / best[capacity])
+        near = value[at] + best[capacity - at] >= (1 - SLACK[0] * (SLACK[1] / SLACK[0]) ** (i / rounds)) * best[capacity]
+        first = at[near]
+        held = configurations(taken, first, demand, capacity)
+        times = demand[first] / (held == first[:, None]).sum(1)
+        more = np.bincount(held.ravel(), np.repeat(times, held.shape[1]), len(demand))
+        more[at] /= many
+        more[0], times = 0, times / more[at].max()
+        more /= more[at].max()
+        covered += more
+        weight *= np.exp(-STEP * more[at])
+        weight = np.maximum(weight / weight.max(), 1e-200)
+        for row, n in zip(held.astype(np.int16), times, strict=True):
+            key = row[row > 0].tobytes()
+            used[key] = used.get(key, 0) + n
+    # Lengths that the rounds leave all but uncovered are for best fit: scale by the mean then.
+    scale = covered[at].min() if len(at) and covered[at].min() >= 0.5 * covered[at].mean() else covered[at].mean() if len(at) else 1
+    return {k: n / scale for k, n in used.items()}, bound
+
+
+def rounded(used: dict[bytes, float], left: np.ndarray) -> Plan:
+    """Whole numbers of the configurations, taken from left.
+
+    Configurations of one longest length are rounded together: each gets the whole
+    numbers that the sum up to it passes, so that their sum is kept and long and
+    short lengths go in the program's proportions.  Of these only the fullest are
+    taken; those that a small demand has cut are not.
+    """
+    out = []
+    rows = [(np.frombuffer(key, np.int16).astype(np.int64), n) for key, n in used.items()]
+    total, longest, fullest = 0.0, -1, 0
+    for row, n in sorted(rows, key=lambda x: (-x[0][-1], -x[0].sum(), -x[1])):
+        if row[-1] != longest:
+            total, longest, fullest = 0.0, row[-1], row.sum()
+        if row.sum() < fullest:
+            continue
+        times, total = int(total + n + 1e-9) - int(total + 1e-9), total + n
+        lengths, copies = np.unique(row, return_counts=True)
+        times = min(times, int((left[lengths] // copies).min()))
+        if times > 0:
+            out.append((dict(zip(lengths.tolist(), copies.tolist(), strict=True)), times))
+            left[lengths] -= times * copies
+    return out
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Plan:
@@ -126,18 +175,25 @@ def best_fit(left: np.ndarray, capacity: int) -> Plan:
     return [x for many in room.values() for x in many]
 
 
-def plan(demand: np.ndarray, capacity: int) -> Plan:
-    """Configurations that hold exactly demand[n] pieces of each length n."""
-    left, out = demand.copy(), []
-    for key, times in sorted(solve(demand, capacity)[0].items(), key=lambda x: -sum(n * k for n, k in x[0])):
-        whole = min(int(times), *(int(left[n]) // k for n, k in key))
-        if whole > 0:
-            out.append((dict(key), whole))
-            for n, k in key:
-                left[n] -= whole * k
-    out += best_fit(left, capacity)
-    plain = best_fit(demand, capacity)
-    return min(out, plain, key=lambda p: sum(times for _, times in p))
+def plan(demand: np.ndarray, capacity: int) -> tuple[Plan, int, float]:
+    """Configurations that hold exactly demand[n] pieces of each length n.
+
+    Also how many pieces are in configurations of the program, and its bound on the
+    number of sequences.  A share of the shortest pieces (HELD_BACK, of those below an
+    eighth of the capacity) is held back: what rounding leaves is then easy to fill,
+    and goes best fit decreasing.  The program is solved again for what rounding
+    leaves, as long as that is worth it.
+    """
+    held = np.where(np.arange(len(demand)) < capacity // 8, (demand * HELD_BACK).astype(np.int64), 0)
+    left, out, bound = demand - held, [], 0.0
+    for rounds in (ROUNDS, ROUNDS // 2, ROUNDS // 2):
+        used, least = solve(left, capacity, rounds, demand)
+        bound, before = bound or least, int(left.sum())
+        out += rounded(used, left)
+        if before - left.sum() < LEAST_PLACED * before:
+            break
+    by_program = int(demand.sum() - held.sum() - left.sum())
+    return out + best_fit(left + held, capacity), by_program, bound
 
 
 def slots(found: Plan) -> dict[int, np.ndarray]:
@@ -171,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
     demand = np.zeros(capacity, np.int64)
     for row in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length: capacity at most
         demand[row["length"]] = row["n"]
-    table = slots(plan(demand, capacity))
+    table = slots(plan(demand, capacity)[0])
 
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
