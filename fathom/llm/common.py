@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,39 @@ def columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(df[c] if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it one that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that none meets a name of the operator's own."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def filed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with the place of each row: the file that it is read from, and its row there.
+
+    Files that one write made are named by partition, so their order is the order of
+    the rows that were written.  Where rows don't come from files as they are, their
+    partitions stand for files.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        file, row = meta["file_name"], meta["row_index"]
+        docs.select(file, row)
+    except AnalysisException:
+        file, row = F.lpad(F.spark_partition_id().cast("string"), 10, "0"), F.monotonically_increasing_id() % (1 << 33)
+    named = [(docs[c] if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in (("doc_id", "long"), ("text", "string"))]
+    return docs.select(*named, file.alias("file"), row.alias("row"))
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, rows: str, names: Iterable[str] = ()) -> DataFrame:
     """Inner join with a right side that has one row for each key.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, join_unique, saved
+from .common import columns, fresh, join_unique, saved, whole_rows
 
 #: Distinct digests in a shard, which is built and probed by one task.
 SHARD_KEYS = 100_000
@@ -188,12 +188,16 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat both an id and its text one is left, whichever comes first.
     """
-    old, new = halves(docs)
-    report = saved(exact_dedup(new, old).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "report")
-    sha = F.sha2(normalised(docs["text"]), 256)
-    same = F.expr("doc_id <=> _id") & (sha == F.col("_sha"))
-    out = docs.join(report.filter("not kept").select("_id", "_sha").distinct(), same, "left_anti")
-    again = saved(report.filter("kept").groupBy("_id", "_sha").count().filter("count > 1").select("_id", "_sha"), "repeated")
+    old, new = halves(columns(docs, doc_id="long", text="string"))
+    _id, _sha, kept, times = fresh(docs, "id", "sha", "kept", "times")
+    report = exact_dedup(new, old).select(F.col("doc_id").alias(_id), F.col("text_sha256").alias(_sha), F.col("kept").alias(kept))
+    report = saved(report.groupBy(_id, _sha, kept).agg(F.count("*").alias(times)), "report")
+    text, doc_id = (docs[c] if c in docs.columns else F.lit(None) for c in ("text", "doc_id"))
+    same = doc_id.cast("long").eqNullSafe(F.col(_id)) & (F.sha2(normalised(text.cast("string")), 256) == F.col(_sha))
+    out = docs.join(report.filter(~F.col(kept)).select(_id, _sha), same, "left_anti")
+    again = report.filter(F.col(kept) & (F.col(times) > 1)).select(_id, _sha)
     if not again.take(1):
         return out
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    several = out.join(again, same, "left_semi")
+    once = several.select(whole_rows(several).alias("row"), doc_id.alias("id"), F.sha2(normalised(text.cast("string")), 256).alias("sha")).dropDuplicates(["id", "sha"])
+    return out.join(again, same, "left_anti").unionByName(once.select("row.*"))

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, fresh
 
 #: The bound of the labelled sample: rows for each language, characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 128, 4096
@@ -85,25 +85,32 @@ def classifier(dictionaries: dict[str, bytes]):
     return classify
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...] = ()) -> DataFrame:
+FOUND = ("lang_pred", "score", "rejected")
+
+
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...] = (), names: tuple[str, ...] = FOUND) -> DataFrame:
     """docs(doc_id, text) with lang_pred, score and rejected, and the columns of keep.
 
+    names: what the three are called, where keep has columns of those names.
+
     A null text, or one without a letter, is `und` with score 0 and is rejected; so
     is a text whose margin is below LEAST_MARGIN, though its best language is still
     named.  Without dictionaries all are `und`.  Ties go to the first name.  Whole
     texts are encoded; repeated rows and null ids are passed through.
     """
-    docs = docs.select(*[docs[c] for c in dict.fromkeys(("doc_id", "text", *keep))])
+    if missing := [c for c in ("doc_id", "text") if c not in docs.columns]:
+        docs = docs.withColumns({c: F.lit(None).cast("long" if c == "doc_id" else "string") for c in missing})
+    docs = docs.select(*[docs[f"`{c}`"] for c in dict.fromkeys(("doc_id", "text", *keep))])
     kept = [c for c in docs.columns if c != "text" or c in keep]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = classifier(dictionaries)
         for b in batches:
             found = [classify(t.as_py()) for t in b.column("text")]
             out = {n: b.column(n) for n in kept}
-            out |= {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([y for _, y in found], pa.float64())}
-            out["rejected"] = pa.array([x == "und" or y < LEAST_MARGIN for x, y in found], pa.bool_())
+            out |= {names[0]: pa.array([x for x, _ in found], pa.string()), names[1]: pa.array([y for _, y in found], pa.float64())}
+            out[names[2]] = pa.array([x == "und" or y < LEAST_MARGIN for x, y in found], pa.bool_())
             yield pa.RecordBatch.from_pydict(out)
 
     return docs.mapInArrow(each, schema)
@@ -111,8 +118,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, .
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that identify doesn't reject; labels are docs.lang."""
-    found = identify(docs, fit(docs), keep=tuple(docs.columns))
-    return found.filter(~found["rejected"]).select(*docs.columns)
+    names = tuple(fresh(docs, *FOUND))
+    found = identify(docs, fit(docs), tuple(docs.columns), names)
+    return found.filter(~found[names[2]]).select(*[found[f"`{c}`"] for c in docs.columns])
 
 
 def fold(doc_id: Column | str, of: int) -> Column:

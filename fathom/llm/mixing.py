@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, saved
+from .common import saved, whole_rows
 
 #: Rows of the schedules, which are broadcast: (2 x sources + 1) x weights in a round.
 MOST_SCHEDULED = 1_000_000
@@ -67,7 +67,7 @@ def mixed(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int
     columns of keep.  As a source runs out, the others share its slots by their
     weights.  Within a source the order is by MD5 of the id's text, then the id.
 
-    A null source counts as the source ''.  Null ids come first.  Repeated rows take
+    A null source, or no such column, counts as the source ''.  Null ids come first.  Repeated rows take
     a place each.  An empty table gives no rows.  Nothing is dropped or repeated.
     """
     if default < 1 or any(w < 1 for w in weights.values()):
@@ -75,7 +75,8 @@ def mixed(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int
     w = F.lit(default)
     if weights:
         w = F.coalesce(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("source")], w)
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["source"], F.lit("")).alias("source"), *[docs[c].alias(f"_{i}") for i, c in enumerate(keep)])
+    doc_id, source = (docs[c] if c in docs.columns else F.lit(None) for c in ("doc_id", "source"))
+    base = docs.select(doc_id.cast("long").alias("doc_id"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), *[docs[c].alias(f"_{i}") for i, c in enumerate(keep)])
     base = base.withColumn("md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     counts = saved(base.groupBy("source").agg(F.count("*").alias("n")).withColumn("w", w), "sources")
     k, round_, total = counts.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -103,6 +104,15 @@ def mixed(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int = 16) -> DataFrame:
-    """The rows of docs, all and unchanged, in the order of `mixed`."""
-    held = docs.select(*docs.columns, F.struct(*docs.columns).alias("_row")) if docs.columns else docs
-    return mixed(held, weights, default, block, keep=("_row",)).repartitionByRange("position").sortWithinPartitions("position").select("_row.*")
+    """The rows of docs, all and unchanged, in the order of `mixed`.
+
+    Positions have no gaps, so ranges of them are dealt by arithmetic, without a
+    sample; written as files, the order is that of their names and rows.
+    """
+    kinds = {"doc_id": "long", "source": "string"}
+    held = docs.select(*[(docs[c] if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], whole_rows(docs).alias("row"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = -(-docs.count() // parts) or 1
+    placed = mixed(held, weights, default, block, keep=("row",))
+    dealt = placed.repartitionById(parts, F.floor(F.col("position") / each).cast("int")).sortWithinPartitions("position")
+    return dealt.select("row.*")
