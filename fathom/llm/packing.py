@@ -19,19 +19,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, salt, saved
+from .common import columns, filed, salt, saved
 from .tokens import Encoder
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length in a bucket that are ranked by one task.
 BUCKET_ROWS = 50_000
-#: Rounds of multiplicative weights, their step, and how much less than the best a
-#: configuration may be worth, in the first and the last round.
-ROUNDS, STEP, SLACK = 200, 0.3, (0.05, 0.002)
-#: The share of short pieces that is kept for what rounding leaves, and the share of
-#: pieces that the program must place for it to be solved once more.
-HELD_BACK, LEAST_PLACED = 0.5, 0.3
+#: Multiplicative weights end where the cover is within this share of the bound, or
+#: after so many cells of knapsacks (250 rounds where all lengths to 1023 occur, more
+#: where a round costs less); their step; and how much less than the best a
+#: configuration may be worth: a quarter of the gap that is left, within these limits.
+GAP, CELLS, STEP, SLACK = 0.015, 250 << 20, 0.3, (0.002, 0.05)
+MOST_ROUNDS = 3000
+#: The share of short pieces that is kept for what rounding leaves; how often the
+#: program is solved, and the share of pieces that it must place to be solved again.
+HELD_BACK, PASSES, LEAST_PLACED = 0.5, 3, 0.3
+
+#: A document has fewer pieces than this; places are so far apart that one task ranks
+#: the pieces of so many documents, at most.
+MOST_PIECES = 1 << 22
+ORDER_SPAN = BUCKET_ROWS * MOST_PIECES
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,10 +47,13 @@ Plan = list[tuple[dict[int, int], int]]  # configurations: copies of each length
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of each document: its ids and end_id, cut where longer than capacity.
+    """The pieces of each row of docs(doc_id, text, …): its ids and end_id, cut where longer than capacity.
 
-    The first piece takes what is over, so that all later ones are full.
+    The first piece takes what is over, so that all later ones are full.  Further
+    columns are kept with each piece.
     """
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    schema = ", ".join([PIECES, *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in more]])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
@@ -53,9 +64,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 out += [(row, i, x, y - x, zlib.crc32(ids[x:y].tobytes())) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
             at, piece, start, length, crc = np.array(out, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kept = [b.column(c).take(pa.array(at)) for c in ("doc_id", *more)]
+            yield pa.RecordBatch.from_arrays([kept[0], pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), *kept[1:]], ["doc_id", "piece", "start", "length", "ids_crc32", *more])
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(each, PIECES)
+    return docs.mapInArrow(each, schema)
 
 
 def knapsack(value: np.ndarray, asked: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +101,14 @@ def configurations(taken: np.ndarray, first: np.ndarray, demand: np.ndarray, cap
     return np.sort(np.where(nth < demand[held], held, 0), axis=1)
 
 
-def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, whole: np.ndarray | None = None) -> tuple[dict[bytes, float], float]:
+def solve(demand: np.ndarray, capacity: int, whole: np.ndarray | None = None) -> tuple[dict[bytes, float], float]:
     """A fractional cover of demand (by length) by multiplicative weights.
 
     Lengths begin with the weight of their tokens.  A round prices all configurations
     by one knapsack, takes for each length the best one with it, as long as that is
-    within a share (SLACK, from first to last round) of the best of all, and covers
-    the lengths by those together, in proportion to demand; the more a length is
-    covered, the less it weighs from there on.
+    worth nearly as much (SLACK) as the best of all, and covers the lengths by those
+    together, in proportion to demand; the more a length is covered, the less it
+    weighs from there on.
 
     Result: how often to use each configuration (its lengths, ascending, as int16);
     and a bound that no packing of `whole` (the same lengths; demand, if left out)
@@ -106,13 +118,17 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, whole: np.nda
     at, many = np.flatnonzero(asked), demand[asked].astype(float)
     whole = demand if whole is None else whole
     used: dict[bytes, float] = {}
+    total, own = 0.0, 0.0
     covered, weight, value = np.zeros(len(demand)), many * at, np.zeros(len(demand))
-    for i in range(rounds if len(at) else 0):
+    gap = np.inf
+    for _ in range(min(MOST_ROUNDS, CELLS // (capacity * len(at))) if len(at) else 0):
+        if gap <= GAP:
+            break
         value[at] = weight / many
         value /= value.max()
         best, taken = knapsack(value, asked, capacity)
         bound = max(bound, float(value @ whole) / best[capacity])
-        near = value[at] + best[capacity - at] >= (1 - SLACK[0] * (SLACK[1] / SLACK[0]) ** (i / rounds)) * best[capacity]
+        near = value[at] + best[capacity - at] >= (1 - min(max(gap / 4, SLACK[0]), SLACK[1])) * best[capacity]
         first = at[near]
         held = configurations(taken, first, demand, capacity)
         times = demand[first] / (held == first[:, None]).sum(1)
@@ -126,6 +142,9 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, whole: np.nda
         for row, n in zip(held.astype(np.int16), times, strict=True):
             key = row[row > 0].tobytes()
             used[key] = used.get(key, 0) + n
+        total += times.sum()
+        own = max(own, float(value[at] @ many) / best[capacity])
+        gap = total / max(covered[at].min(), 1e-9) / own - 1
     # Lengths that the rounds leave all but uncovered are for best fit: scale by the mean then.
     scale = covered[at].min() if len(at) and covered[at].min() >= 0.5 * covered[at].mean() else covered[at].mean() if len(at) else 1
     return {k: n / scale for k, n in used.items()}, bound
@@ -186,8 +205,8 @@ def plan(demand: np.ndarray, capacity: int) -> tuple[Plan, int, float]:
     """
     held = np.where(np.arange(len(demand)) < capacity // 8, (demand * HELD_BACK).astype(np.int64), 0)
     left, out, bound = demand - held, [], 0.0
-    for rounds in (ROUNDS, ROUNDS // 2, ROUNDS // 2):
-        used, least = solve(left, capacity, rounds, demand)
+    for _ in range(PASSES):
+        used, least = solve(left, capacity, demand)
         bound, before = bound or least, int(left.sum())
         out += rounded(used, left)
         if before - left.sum() < LEAST_PLACED * before:
@@ -211,18 +230,27 @@ def slots(found: Plan) -> dict[int, np.ndarray]:
     return {n: np.array(x, np.int64) for n, x in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, in_order: bool = False) -> DataFrame:
     """Pack docs(doc_id, text) into sequences of at most capacity tokens.
 
     Result, for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and
     offset.  Full pieces are a sequence each.  A null text counts as empty and has
     its end id alone; repeated rows are packed each; null ids are passed through; an
     empty table gives no rows.
+
+    in_order: docs are read from files, in whose order pieces take their places: of
+    pieces of one length earlier ones go to earlier sequences, and sequence_id grows
+    with the first place among a sequence's pieces.
     """
-    found = saved(pieces(docs, tokenizer, capacity), "pieces")
+    found = saved(pieces(filed(docs) if in_order else columns(docs, doc_id="long", text="string"), tokenizer, capacity), "pieces")
+    if in_order:
+        found = saved(_in_file_order(found), "ordered")
     short = found.filter(F.col("length") < capacity)
-    buckets = -(-short.count() // BUCKET_ROWS) or 1
-    short = short.withColumn("bucket", salt("doc_id", "piece", "ids_crc32", of=buckets))
+    if in_order:
+        short, order = short.withColumn("bucket", F.floor(F.col("place") / ORDER_SPAN)), ["place"]
+    else:
+        buckets = -(-short.count() // BUCKET_ROWS) or 1
+        short, order = short.withColumn("bucket", salt("doc_id", "piece", "ids_crc32", of=buckets)), ["doc_id", "piece", "start", "ids_crc32"]
     cells = saved(short.groupBy("length", "bucket").agg(F.count("*").alias("n")), "cells")
     demand = np.zeros(capacity, np.int64)
     for row in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length: capacity at most
@@ -231,9 +259,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
 
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy(*order)
     ranked = short.withColumn("rank", F.row_number().over(within) - 1).join(cells, ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).cast("long").alias("rank"))
+    ranked = ranked.select(*found.columns, (F.col("rank") + F.col("before")).cast("long").alias("rank"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,6 +275,19 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
                 sequence[at], offset[at] = row[:, 2] + nth // row[:, 1], row[:, 3] + nth % row[:, 1] * n
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
-    out = ranked.mapInArrow(placed, f"{PIECES}, sequence_id long, offset long")
+    kinds = ", ".join([PIECES, "place long, sequence_id long, offset long" if in_order else "sequence_id long, offset long"])
+    out = ranked.mapInArrow(placed, kinds)
     full = found.filter(F.col("length") == capacity)
-    return out.unionByName(full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    if not in_order:
+        return out.unionByName(full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    out = out.withColumn("sequence_id", F.min("place").over(Window.partitionBy("sequence_id")))
+    return out.unionByName(full.select("*", F.col("place").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))).drop("place")
+
+
+def _in_file_order(found: DataFrame) -> DataFrame:
+    """Pieces with `place` instead of file and row: distinct, and growing with file, row and piece."""
+    rows = found.filter("piece = 0").groupBy("file").agg((F.max("row") + 1).alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    first = rows.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    place = (F.col("first") + F.col("row")) * MOST_PIECES + F.col("piece")
+    return found.join(first, "file").withColumn("place", place).drop("file", "row", "first")
