@@ -2,8 +2,9 @@
 
 Vectors are dealt to shards by a hash of their id.  A shard's graph (Malkov and
 Yashunin, 2018) is built by one task and stored as flat arrays: vectors, ids and a
-fixed number of neighbours a node and layer.  Every query searches every shard, in
-blocks, and the shards' results are merged.  Searches and insertions go through the
+fixed number of neighbours a node and layer.  The ground layer is built by
+insertion; the layers above, a sixteenth of a shard at most, by exact neighbours.
+Every query searches every shard, in blocks, and the shards' results are merged.  Searches and insertions go through the
 graph in lockstep, many at a time, so that each step is a few numpy calls.
 """
 
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,12 +215,16 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, int]:
     return saved(dealt.groupBy("dim", "shard").applyInPandas(_graph_of, GRAPH), "graphs"), shards
 
 
-def search_shard(graph: pd.Series, q: np.ndarray, own: np.ndarray, k: int, ef: int = EF_SEARCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its row, the ids found and their inner products, k at most, best first."""
-    x = np.frombuffer(graph["vectors"], "<f4").reshape(-1, int(graph["dim"]))
-    ids, starts = np.frombuffer(graph["ids"], "<i8"), np.frombuffer(graph["starts"], "<i8")
+def opened(graph: dict) -> tuple:
+    """The arrays of a shard's row: vectors, the same augmented, ids, where each vector's ids start, layers."""
+    x = np.frombuffer(graph["vectors"], "<f4").reshape(-1, graph["dim"])
     layers = [(np.frombuffer(n, "<i4").astype(np.int64), np.frombuffer(e, "<i4").reshape(len(n) // 4, -1)) for n, e in zip(graph["nodes"], graph["links"], strict=True)]
-    wide, exact = augmented(x), x.astype(np.float64)
+    return x.astype(np.float64), augmented(x), np.frombuffer(graph["ids"], "<i8"), np.frombuffer(graph["starts"], "<i8"), layers
+
+
+def search_shard(shard: tuple, q: np.ndarray, own: np.ndarray, k: int, ef: int = EF_SEARCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: its row, the ids found and their inner products, k at most, best first."""
+    exact, wide, ids, starts, layers = shard
     turned = np.column_stack([q, np.zeros(len(q))]).astype(np.float32)
     for a in range(0, len(q), LANES):
         part = turned[a : a + LANES]
@@ -242,23 +248,45 @@ def nearest(queries: DataFrame, index: DataFrame, shards: int, k: int = 20) -> D
     the smaller id; a query's own id is no candidate.  Vectors of another dimension
     are no candidates either.  Vectors that are null, zero, or hold null or
     non-finite parts take no part, on either side; nor do null ids.  Repeated rows
-    count once.  With fewer than k candidates, all are returned.
+    count once.  Where an id has several vectors, the least of them (component by
+    component) is its query, and its best score counts as a candidate's.  With fewer
+    than k candidates, all are returned.
+
+    The index is shuffled once, whatever the number of queries; every block of
+    queries goes to every shard.
     """
-    rows = usable(queries).dropDuplicates(["vec_id"])
-    blocks = -(-rows.count() // BLOCK_QUERIES) or 1
-    sent = rows.withColumn("block", salt("vec_id", of=blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def searched(asked: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        if len(asked) and len(graphs):
-            own = asked["vec_id"].to_numpy()
-            for i, ids, score in search_shard(graphs.iloc[0], np.stack(asked["v"].to_numpy()), own, k):
-                out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids, "score": score}))
-        return pd.concat(out)
-
-    keys = ["dim", "shard", "block"]
-    found = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(searched, "query_id long, vec_id long, score double")
+    rows = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, ids = b.column("dim").to_numpy(), b.column("vec_id").to_numpy()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                v = b.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(at), dim)
+                for i in range(0, len(at), BLOCK_QUERIES):
+                    block = (ids[at[i : i + BLOCK_QUERIES]].astype("<i8").tobytes(), v[i : i + BLOCK_QUERIES].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block[0]], pa.binary()), pa.array([block[1]], pa.binary())], ["dim", "ids", "vectors"])
+
+    blocks = saved(rows.mapInArrow(packed, "dim int, ids binary, vectors binary"), "blocks")
+    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    sent = sent.select(*[F.col(f.name) if f.name in sent.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema], F.lit(True).alias("asks"))
+    # A shard's graph comes first, then its queries pass by it, a block at a time.
+    streams = index.withColumn("asks", F.lit(False)).unionByName(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, shard = None, ()
+        for b in batches:
+            for row in range(b.num_rows):
+                one = {c: b.column(c)[row].as_py() for c in b.schema.names}
+                if not one["asks"]:
+                    of, shard = (one["dim"], one["shard"]), opened(one)
+                elif of == (one["dim"], one["shard"]):
+                    own = np.frombuffer(one["ids"], "<i8")
+                    out = [(own[[i] * len(ids)], ids, score) for i, ids, score in search_shard(shard, np.frombuffer(one["vectors"], "<f4").reshape(len(own), -1), own, k)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    found = streams.mapInArrow(searched, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
