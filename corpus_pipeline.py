@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 1024 tokens."""
-    return pack(docs, tokenizer="byte_bpe_50k.json", capacity=1024)
+    """Packs the documents into sequences of 1024 tokens, which follow the mixed order of their files."""
+    return pack(docs, tokenizer="byte_bpe_50k.json", capacity=1024, in_order=True)
 
 
 STAGES = [
