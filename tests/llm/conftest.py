@@ -10,11 +10,18 @@ ROWS = [
 ]
 
 
+#: Names that operators give to columns of their own.
+CLASHES = (
+    "print", "digest", "n", "key", "uid", "rank", "bucket", "position", "score", "lang_pred", "rejected", "_row", "row", "_id", "_sha", "id", "sha", "kept", "times", "_gone",
+    "node", "root", "first", "file", "place", "part", "h", "r", "block", "round", "j", "md5", "w", "_source", "_j", "_0", "_meta", "_metadata", "piece", "length", "sequence_id", "t", "spans", "base",
+)
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Odd rows, with further columns whose names clash with those of results."""
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
-    return df.selectExpr("*", "'x' AS print", "'y' AS digest", "1 AS n", "'z' AS key", "0 AS uid", "'q' AS rank", "'w' AS bucket", "'p' AS position")
+    return df.selectExpr("*", *[f"'{c}' AS {c}" for c in CLASHES])
 
 
 @pytest.fixture(scope="session")
