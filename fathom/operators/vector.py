@@ -6,16 +6,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, literal, norm
+from ..sources.scratch import scratch
 
 DEFAULT_K = 10
 #: How rare a dimension is, least candidates, and when to give up.
 RARE_SHARE, CANDIDATES_PER_K, CANDIDATE_SHARE, FULL_SCAN_SHARE = 0.05, 4, 0.01, 0.3
-#: Queries that are sent to every task at once.
-MOST_QUERIES = 10_000
+#: Vectors in a block and about as many as a shard holds; queries in one matrix product.
+BLOCK, SHARD, QUERIES = 4096, 65_536, 256
 
 
 def cosine_top(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int | None = None, norms: str | None = None) -> DataFrame:
@@ -33,63 +35,125 @@ def cosine_top(df: DataFrame, key: str, vector: str, query: Sequence[float], k:
     return rows.filter("_norm > 0").select(F.col(key).alias("key"), score.alias("score")).orderBy(F.desc("score"), "key").limit(k)
 
 
-def cosine_batch(df: DataFrame, key: str, vector: str, queries: dict[int, Sequence[float]], k: int) -> DataFrame:
-    """(query_id, rank, key, score) for many queries in one pass over the vectors.
+def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(dim, keys, data): vectors of unit length in rows of up to BLOCK, as bytes; zero ones left out."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("key is not null and size(v) > 0 and not exists(v, x -> x is null)")
 
-    Each batch of vectors meets all queries in one matrix product and hands on k
-    candidates a query; a window merges them.
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, flat = pc.list_value_length(b.column("v")).to_numpy(), b.column("v").flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(size) - size
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                x = flat[starts[at, None] + np.arange(dim)]
+                length = np.linalg.norm(x, axis=1)
+                at, x = at[length > 0], x[length > 0] / length[length > 0, None]
+                for i in range(0, len(at), BLOCK):
+                    keys = b.column("key").take(pa.array(at[i : i + BLOCK]))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([x[i : i + BLOCK].tobytes()], pa.binary())], ["dim", "keys", "data"])
+
+    return rows.mapInArrow(packed, f"dim int, keys array<{kind}>, data binary")
+
+
+def cosine_batch(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """(query_id, rank, key, score): the k vectors of largest cosine for each of queries(key, vector).
+
+    Vectors and queries go in blocks: a task holds one shard of the vectors and every
+    block of queries passes by it in matrix products; a shard hands on k candidates a
+    query, and a window merges them.  Ties go to the smaller key; digits: scores are
+    rounded before they rank.  Vectors of zeros or of another length are no neighbours.
     """
-    if len(queries) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once")
-    ids = np.array(list(queries), np.int64)
-    q = np.array([list(map(float, v)) for v in queries.values()], np.float64).reshape(len(ids), -1)
-    lengths = np.linalg.norm(q, axis=1)
-    q, ids = (q / np.where(lengths > 0, lengths, 1)[:, None])[lengths > 0], ids[lengths > 0]
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.filter(F.size(vector) == (q.shape[1] or -1)).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    shards = -(-df.count() // SHARD) or 1
+    held, asked = _blocks(df, key, vector), _blocks(queries, key, vector)
+    kinds = [f.dataType.elementType.simpleString() for f in (asked.schema["keys"], held.schema["keys"])]
+    if kinds[0] != kinds[1]:
+        raise ValueError("queries and vectors need keys of one type")
+    held = held.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")).withColumn("asks", F.lit(False))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, parts, shard = None, [], None
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            size = np.linalg.norm(x, axis=1)
-            some = np.flatnonzero(size > 0)
-            score = q @ (x[some] / size[some][:, None]).T
-            n = min(k, score.shape[1])
-            if not n:
-                continue
-            # All that tie with the k-th are handed on, so that ties go by key.
-            least = np.partition(score, -n, axis=1)[:, -n]
-            query, row = np.nonzero(score >= least[:, None] - 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), b.column("key").take(pa.array(some[row])), pa.array(score[query, row])], ["query_id", "key", "score"])
-
-    found = rows.mapInArrow(each, f"query_id long, key {kind}, score double")
+            for row in range(b.num_rows):
+                here, dim, asks = (b.column("shard")[row].as_py(), b.column("dim")[row].as_py()), b.column("dim")[row].as_py(), b.column("asks")[row].as_py()
+                keys, x = b.column("keys")[row].values, np.frombuffer(b.column("data")[row].as_py(), np.float64).reshape(-1, dim)
+                if not asks:
+                    of, parts, shard = here, [*(parts if of == here else []), (keys, x)], None
+                elif of == here:
+                    shard = shard or _shard(parts)
+                    yield from _best(shard, keys, x, k, digits)
+
+    streams = held.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
+    found = streams.mapInArrow(each, f"query_id {kinds[0]}, key {kinds[1]}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "score")
 
 
+def _shard(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """All blocks of a shard as one, by key: columns in the order in which ties go."""
+    keys = pa.concat_arrays([k for k, _ in parts])
+    order = pc.sort_indices(keys)
+    return keys.take(order), np.concatenate([x for _, x in parts])[order.to_numpy()]
+
+
+def _best(shard: tuple[pa.Array, np.ndarray], ids: pa.Array, q: np.ndarray, k: int, digits: int | None) -> Iterator[pa.RecordBatch]:
+    keys, x = shard
+    for a in range(0, len(q), QUERIES):
+        score = q[a : a + QUERIES] @ x.T
+        if digits is not None:
+            score = np.round(score, digits)
+        n = min(k, len(x))
+        query, column = np.nonzero(score >= np.partition(score, -n, axis=1)[:, -n, None])
+        order = np.lexsort((column, -score[query, column], query))
+        query, column = query[order], column[order]
+        first = np.searchsorted(query, np.arange(len(score)))
+        best = np.arange(len(query)) - first[query] < n
+        query, column = query[best], column[best]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + query)), keys.take(pa.array(column)), pa.array(score[query, column])], ["query_id", "key", "score"])
+
+
 def dim_postings(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(dim, key, value) of the positive components."""
     return df.select(F.col(key).alias("key"), F.posexplode(vector).alias("dim", "value")).filter("value > 0")
 
 
-def cosine_pruned(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int = DEFAULT_K, postings: DataFrame | None = None) -> DataFrame:
-    """As cosine_top, over the candidates that share the query's rare dimensions.
+def candidates(df: DataFrame, key: str, query: Sequence[float], k: int, postings: DataFrame) -> DataFrame | None:
+    """(key): vectors of df to score, those that share most of the query's rare dimensions; None: all.
 
     Rare dimensions are positive in the query and in few vectors.  Without any, or
-    with too few or too many candidates, all vectors are scored.
+    with too few or too many candidates, all vectors are scored.  Candidates are
+    written down once; their least overlap comes from a count by steps of overlap, so
+    that no task ranks more than those of one step.
     """
     n = df.count()
-    held = dim_postings(df, key, vector) if postings is None else postings
     asked = [i for i, v in enumerate(query) if v > 0]
-    counts = held.filter(F.col("dim").isin(asked)).groupBy("dim").count().collect()
+    counts = postings.filter(F.col("dim").isin(asked)).groupBy("dim").count().collect()  # a row a dimension
     rare = [r["dim"] for r in counts if 1 <= r["count"] <= max(1, int(RARE_SHARE * n))]
     limit = max(CANDIDATES_PER_K * k, int(CANDIDATE_SHARE * n))
-    if rare and limit < FULL_SCAN_SHARE * n:
-        weight = F.create_map(*[F.lit(x) for d in rare for x in (d, float(query[d]))])[F.col("dim")]
-        shared = held.filter(F.col("dim").isin(rare)).groupBy("key").agg(F.sum(F.col("value").cast("double") * weight).alias("overlap"))
-        top = shared.orderBy(F.desc("overlap"), "key").limit(limit)
-        if top.count() >= limit:
-            return cosine_top(df.join(F.broadcast(top.select(F.col("key").alias("_key"))), F.col(key) == F.col("_key"), "left_semi"), key, vector, query, k)
-    return cosine_top(df, key, vector, query, k)
+    if not rare or limit >= FULL_SCAN_SHARE * n:
+        return None
+    weight = F.create_map(*[F.lit(x) for d in rare for x in (d, float(query[d]))])[F.col("dim")]
+    shared = postings.filter(F.col("dim").isin(rare)).groupBy("key").agg(F.sum(F.col("value").cast("double") * weight).alias("overlap"))
+    folder = scratch(df.sparkSession)
+    shared.write.parquet(folder)
+    shared = df.sparkSession.read.schema(shared.schema).parquet(folder)
+    step, above, least = F.floor(F.log2("overlap") * 64), 0, None
+    for r in shared.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # some thousand steps at most
+        if above + r["count"] >= limit:
+            least = r["step"]
+            break
+        above += r["count"]
+    if least is None:
+        return None
+    last = shared.filter(step == least).orderBy(F.desc("overlap"), "key").limit(limit - above)
+    return shared.filter(step > least).unionByName(last).select("key")
+
+
+def cosine_pruned(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int = DEFAULT_K, postings: DataFrame | None = None, norms: str | None = None) -> DataFrame:
+    """As cosine_top, over the `candidates` alone; postings: those of dim_postings, if held."""
+    postings = dim_postings(df, key, vector) if postings is None else postings
+    chosen = candidates(df, key, query, k, postings)
+    if chosen is not None:
+        df = df.join(chosen.select(F.col("key").alias("_key")), F.col(key) == F.col("_key"), "left_semi")
+    return cosine_top(df, key, vector, query, k, norms)

@@ -218,26 +218,31 @@ def match_porter2(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Vectors
-ASKED = (3, 7, 11, 19)
+ASKED = 3
+#: Batch searches ask with every row whose id is divisible by this, against all rows.
+EVERY = 100
 COSINE = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
-BATCH = f"(SELECT q.vec_id AS query_id, e.vec_id AS key, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN {ASKED})"
+BATCH = f"(SELECT q.vec_id AS query_id, e.vec_id AS key, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0)"
 
 
-def _asked(spark: SparkSession, d: str) -> dict[int, list[float]]:
-    rows = table(spark, d, "embeddings").filter(F.col("vec_id").isin(*ASKED)).collect()
-    return {r["vec_id"]: r["embedding"] for r in rows}
+def _asked(spark: SparkSession, d: str) -> list[float]:
+    return table(spark, d, "embeddings").filter(F.col("vec_id") == ASKED).first()["embedding"]
+
+
+def _batch(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return vector.cosine_batch(e.filter(where), "vec_id", "embedding", e.filter(F.col("vec_id") % EVERY == 0), TOP, digits=6)
 
 
 @query("knn_cosine", f"SELECT e.vec_id AS key, {COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY {COSINE} DESC, e.vec_id LIMIT {TOP}")
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return vector.cosine_top(e, "vec_id", "embedding", _asked(spark, d)[3], TOP).withColumn("score", F.round("score", 6))
+    return vector.cosine_top(e, "vec_id", "embedding", _asked(spark, d), TOP).withColumn("score", F.round("score", 6))
 
 
 @query("knn_batch", f"SELECT query_id, key, score, CAST(rank AS INTEGER) AS rank FROM {BATCH} WHERE rank <= {TOP}")
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
-    found = vector.cosine_batch(table(spark, d, "embeddings"), "vec_id", "embedding", _asked(spark, d), TOP)
-    return found.withColumn("score", F.round("score", 6))
+    return _batch(spark, d)
 
 
 SPARSE = 0.25
@@ -271,7 +276,7 @@ RANKED = "SELECT key, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, key))
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     found = text.match(_index(spark, d), QUERY_TEXT, digits=6).select(F.col("doc_id").alias("key"), "score")
     e = table(spark, d, "embeddings")
-    asked = F.array(*[F.lit(float(x)) for x in _asked(spark, d)[3]])
+    asked = F.array(*[F.lit(float(x)) for x in _asked(spark, d)])
     cosine = F.round(dot(F.col("embedding"), asked) / (norm(F.col("embedding")) * norm(asked)), 6)
     seen = e.select(F.col("vec_id").cast("string").alias("key"), cosine.alias("score"))
     return tuple(x.orderBy(F.desc("score"), "key").limit(DEEP) for x in (seen, found))
@@ -296,12 +301,11 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(F.broadcast(scores), "key", "right").select("key", "lang", "fused_score", "visual_score", "text_score")
 
 
-HALF = "(SELECT q.vec_id AS query_id, e.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY " + COSINE + " DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN " + str(ASKED) + " AND e.label < 5)"
+HALF = "(SELECT q.vec_id AS query_id, e.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY " + COSINE + f" DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0 AND e.label < 5)"
 
 
 def _found_true(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e, asked = table(spark, d, "embeddings"), _asked(spark, d)
-    return tuple(vector.cosine_batch(x, "vec_id", "embedding", asked, TOP).select("query_id", "key") for x in (e.filter("label < 5"), e))
+    return tuple(_batch(spark, d, where).select("query_id", "key") for where in ("label < 5", "true"))
 
 
 SETS = f"t AS (SELECT query_id, list(key) AS t FROM {BATCH} WHERE rank <= {TOP} GROUP BY query_id), f AS (SELECT query_id, list(key) AS f FROM {HALF} WHERE rank <= {TOP} GROUP BY query_id)"
