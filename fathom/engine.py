@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -30,6 +31,9 @@ class Result:
     plan: Plan | None = None
     lines: list[tuple[int, str]] = field(default_factory=list)
     elapsed_ms: float = 0.0
+    reads: int = 0  # files
+    writes: int = 0
+    done: Callable[[Result], None] | None = None
     _rows: list[Row] | None = None
 
     def rows(self) -> list[Row]:
@@ -38,7 +42,10 @@ class Result:
             self._rows = self.df.collect()
             self.elapsed_ms = round((time.perf_counter() - began) * 1e3, 3)
             if self.plan:
-                self.lines = explain.select_lines(self.plan, self.elapsed_ms, len(self._rows))
+                self.reads = len(self.df.inputFiles())
+                self.lines = explain.select_lines(self.plan, explain.Cost(self.elapsed_ms, len(self._rows), self.reads, self.writes))
+            if self.done:
+                self.done(self)
         return self._rows
 
     @property
@@ -59,28 +66,36 @@ class Engine:
     def __init__(self, spark: SparkSession, warehouse: str, resolver: Any = None, analyzer: str = "rule"):
         self.spark, self.storage, self.resolver, self.analyzer = spark, Storage(spark, warehouse), resolver, analyzer
         self.last_sql: str | None = None
-        self.totals = {"statements": 0, "elapsed_ms": 0.0}
+        self.reset_metrics()
 
     def reset_metrics(self) -> None:
-        self.totals = {"statements": 0, "elapsed_ms": 0.0}
+        """Totals over statements: their number, milliseconds, and files read and written."""
+        self.totals = {"statements": 0, "elapsed_ms": 0.0, "reads": 0, "writes": 0}
+
+    def _counted(self, result: Result) -> None:
+        self.totals["reads"] += result.reads
 
     def tables(self) -> list[str]:
         return sorted(self.storage.tables)
 
     def sql(self, text: str) -> Result:
-        self.last_sql, began = text, time.perf_counter()
+        self.last_sql, began, written = text, time.perf_counter(), self.storage.written
         ast = parse(text)
         run = {CreateTable: self._create, DropTable: self._drop, CreateIndex: self._index, Insert: self._insert, Delete: self._delete, Select: self._select}[type(ast)]
         out = run(ast)
         self.totals["statements"] += 1
         self.totals["elapsed_ms"] += (time.perf_counter() - began) * 1e3
+        self.totals["writes"] += self.storage.written - written
+        out.writes, out.done = self.storage.written - written, self._counted
         return out
 
     # Definition
-    def _done(self, label: str, table: str, affected: int, began: float, cond: str | None = None) -> Result:
+    def _done(self, label: str, table: str, affected: int, began: float, cond: str | None = None, written: int | None = None) -> Result:
+        written = self.storage.written if written is None else written
         ms = round((time.perf_counter() - began) * 1e3, 3)
         df = self.spark.createDataFrame([(affected,)], "affected long")
-        return Result(df, affected=affected, lines=explain.write_lines(label, table, ms, affected, cond), elapsed_ms=ms, _rows=[Row(affected=affected)])
+        cost = explain.Cost(ms, 1, 0, self.storage.written - written)
+        return Result(df, affected=affected, lines=explain.write_lines(label, table, cost, affected, cond), elapsed_ms=ms, _rows=[Row(affected=affected)])
 
     def _create(self, ast: CreateTable) -> Result:
         began = time.perf_counter()
@@ -96,10 +111,10 @@ class Engine:
         began, kind = time.perf_counter(), ast.kind.lower()
         if kind not in INDEX_KINDS:
             raise SqlError(f"unknown index kind: {ast.kind}")
-        size = ast.options.get("vocabulary")
+        size, exact = ast.options.get("vocabulary"), ast.options.get("exact")
         if "vocabulary" in ast.options and (isinstance(size, bool) or not isinstance(size, int) or size < 1):
             raise SqlError("vocabulary must be a positive whole number")
-        self.storage.add_index(ast.table, ast.column, kind, {"vocabulary": size} if size else {})
+        self.storage.add_index(ast.table, ast.column, kind, {k: v for k, v in (("vocabulary", size), ("exact", exact)) if v})
         return self._done(f"Create Index using {kind}", ast.table, 0, began)
 
     # Changes
@@ -131,7 +146,8 @@ class Engine:
             rows.append(row)
         fields = [f for f in table.schema() if f.name != ROW]
         df = self.spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], T.StructType(fields)).coalesce(1)
-        return self._done("Insert", ast.table, self.storage.append(ast.table, df), began)
+        written = self.storage.written
+        return self._done("Insert", ast.table, self.storage.append(ast.table, df), began, written=written)
 
     def load(self, name: str, df: DataFrame) -> int:
         """Bulk insert of a DataFrame: one write, whatever its size."""
@@ -149,10 +165,10 @@ class Engine:
             raise SqlError("DELETE takes a comparison or BETWEEN")
         df = self.storage.read(ast.table)
         hit = self._filter(ast.table, df, kind, p).select(ROW)
-        affected = hit.count()
+        affected, written = hit.count(), self.storage.written
         if affected:
             self.storage.replace(ast.table, df.join(hit, ROW, "left_anti"))
-        return self._done("Delete", ast.table, affected, began, explain.condition(kind, p))
+        return self._done("Delete", ast.table, affected, began, explain.condition(kind, p), written)
 
     def _filter(self, table: str, df: DataFrame, kind: str, p: Any) -> DataFrame:
         column = column_of(kind, p)
@@ -218,8 +234,12 @@ class Engine:
         return self.storage.derived(table, f"{column}-vectors", lambda: layout.vectors(self.storage.read(table).withColumn("_key", self._key(table, column)), "_key", column))
 
     def _ranked(self, table: str, p: Knn) -> DataFrame:
-        query = self._vector(p.query)[0]
-        return vector.cosine_top(self._vectors(table, p.column), "key", "vec", query, p.k, norms="norm")
+        query, held = self._vector(p.query)[0], self._vectors(table, p.column)
+        index = self.storage.get(table).indexes.get(p.column, {})
+        if index.get("kind") != "knn" or index["options"].get("exact"):
+            return vector.cosine_top(held, "key", "vec", query, p.k, norms="norm")
+        dims = self.storage.derived(table, f"{p.column}-dims", lambda: vector.dim_postings(held, "key", "vec").repartitionByRange("dim").sortWithinPartitions("dim"))
+        return vector.cosine_pruned(held, "key", "vec", query, vector.DEFAULT_K if p.k is None else p.k, dims, "norm")
 
     def _knn(self, table: str, p: Knn, wanted: list[str]) -> DataFrame:
         found = self._ranked(table, p)
@@ -230,14 +250,17 @@ class Engine:
 
     def text_index(self, table: str, column: str) -> text_ops.TextIndex:
         held = self.storage.get(table).indexes.get(column, {}).get("options", {})
-        base = text_ops.index_text(self.storage.read(table), ROW, column, held.get("vocabulary"), self.analyzer)
-        chunks = self.storage.derived(table, f"{column}-chunks", lambda: base.chunks)
-        postings = self.storage.derived(table, f"{column}-postings", lambda: base.postings.repartitionByRange("term").sortWithinPartitions("term"))
-        return text_ops.TextIndex(chunks, postings, base.vocabulary, self.analyzer)
+
+        def part(rows: DataFrame) -> text_ops.TextIndex:
+            return text_ops.index_text(rows, ROW, column, held.get("vocabulary"), self.analyzer)
+
+        chunks = self.storage.derived_parts(table, f"{column}-chunks", lambda rows: part(rows).chunks)
+        postings = self.storage.derived_parts(table, f"{column}-postings-{self.analyzer}", lambda rows: part(rows).postings.repartitionByRange("term").sortWithinPartitions("term"))
+        return text_ops.TextIndex(chunks, postings, held.get("vocabulary"), self.analyzer)
 
     def _match(self, table: str, p: Match, k: int | None) -> DataFrame:
         index = self.text_index(table, p.column)
-        norms = self.storage.derived(table, f"{p.column}-norms", index.norms)
+        norms = self.storage.derived(table, f"{p.column}-norms-{self.analyzer}", index.norms)
         found = text_ops.match(index, p.terms, k, norms).select(F.col("doc_id").cast("long").alias(ROW), "score", "best_chunk")
         return self.storage.read(table).join(found, ROW).orderBy(F.desc("score"), "best_chunk")
 

@@ -51,4 +51,4 @@ def layout(storage: Storage, name: str, column: str) -> DataFrame:
     build = {"bplus": ordered, "isam": ordered, "hash": hashed, "rtree": spatial}.get(kind)
     if build is None:
         return storage.read(name)
-    return storage.derived(name, f"{column}-{kind}", lambda: build(storage.read(name), column))
+    return storage.derived_parts(name, f"{column}-{kind}", lambda rows: build(rows, column))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW = "_rid"  # order of insertion
+#: Parts of a table from which on the newer half is merged.
+MOST_PARTS = 16
 TYPES = {"INT": T.LongType(), "FLOAT": T.DoubleType(), "TEXT": T.StringType(), "VARCHAR": T.StringType(), "VECTOR": T.ArrayType(T.DoubleType()), "BOOL": T.BooleanType()}
 
 
@@ -41,6 +44,7 @@ class Storage:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.tables: dict[str, Table] = {}
+        self.written = 0  # files, since the session began
         text = self._read("catalog.json")
         for x in json.loads(text) if text else []:
             self.tables[x["name"]] = Table(**x | {"columns": [tuple(c) for c in x["columns"]]})
@@ -60,9 +64,17 @@ class Storage:
         stream = fs.create(new, True)
         stream.write(bytearray(json.dumps([asdict(t) for t in self.tables.values()]).encode()))
         stream.close()
-        path = self._path("catalog.json")[1]
-        fs.delete(path, False)
-        fs.rename(new, path)
+        # One rename puts it in place of the old one, so a catalog is there at every moment.
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(new), fs.makeQualified(self._path("catalog.json")[1]), options)
+
+    def _count(self, folder: str) -> None:
+        fs, path = self._path(folder)
+        self.written += sum(s.getPath().getName().startswith("part-") for s in fs.listStatus(path))
 
     def get(self, name: str) -> Table:
         if name not in self.tables:
@@ -92,23 +104,32 @@ class Storage:
         table.version += 1
         self.save()
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, parts: list[str] | None = None) -> DataFrame:
         table = self.get(name)
-        reader = self.spark.read.schema(table.schema())
-        return reader.parquet(*[f"{self.folder}/{p}" for p in table.parts]) if table.parts else self.spark.createDataFrame([], table.schema())
+        reader, parts = self.spark.read.schema(table.schema()), table.parts if parts is None else parts
+        return reader.parquet(*[f"{self.folder}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], table.schema())
 
     def append(self, name: str, rows: DataFrame) -> int:
-        """Add rows, in their order where they are few; one bulk write whatever their number."""
+        """Add rows, in their order where they are few; one bulk write whatever their number.
+
+        The rows are evaluated once; their number comes from what was written.  From
+        MOST_PARTS parts on, the newer half becomes one.
+        """
         table = self.get(name)
-        n = rows.count()
+        numbered = rows.withColumn(ROW, F.monotonically_increasing_id() + table.next_row)
+        part = f"{name}/v{table.version + 1}"
+        numbered.select(*[F.col(f.name).cast(f.dataType) for f in table.schema()]).write.mode("overwrite").parquet(f"{self.folder}/{part}")
+        self._count(part)
+        n, last = self.read(name, [part]).agg(F.count("*"), F.max(ROW)).first()
         if not n:
             return 0
-        table.version += 1
-        numbered = rows.withColumn(ROW, F.monotonically_increasing_id() + table.next_row)
-        part = f"{name}/v{table.version}"
-        numbered.select(*[F.col(f.name).cast(f.dataType) for f in table.schema()]).write.parquet(f"{self.folder}/{part}")
+        table.version, table.next_row = table.version + 1, last + 1
         table.parts.append(part)
-        table.next_row = 1 + self.spark.read.parquet(f"{self.folder}/{part}").agg(F.max(ROW)).first()[0]
+        if len(table.parts) >= MOST_PARTS:
+            kept, new = table.parts[: MOST_PARTS // 2], f"{name}/v{table.version}m"
+            self.read(name, table.parts[len(kept) :]).write.mode("overwrite").parquet(f"{self.folder}/{new}")
+            self._count(new)
+            table.parts = [*kept, new]
         self.save()
         return n
 
@@ -117,13 +138,36 @@ class Storage:
         table.version += 1
         part = f"{name}/v{table.version}"
         rows.write.parquet(f"{self.folder}/{part}")
+        self._count(part)
         table.parts = [part]
         self.save()
 
-    def derived(self, name: str, what: str, build) -> DataFrame:
-        """A table derived from the present snapshot, built when first asked for."""
-        at = f"{name}/i{self.get(name).version}-{what}"
+    def _built(self, at: str, build) -> DataFrame:
         fs, path = self._path(f"{at}/_SUCCESS")
         if not fs.exists(path):
             build().write.mode("overwrite").parquet(f"{self.folder}/{at}")
+            self._count(at)
         return self.spark.read.parquet(f"{self.folder}/{at}")
+
+    def derived(self, name: str, what: str, build) -> DataFrame:
+        """A table derived from the present snapshot, built when first asked for."""
+        return self._built(f"{name}/i{self.get(name).version}-{what}", build)
+
+    def derived_parts(self, name: str, what: str, build) -> DataFrame:
+        """A table whose rows follow from one row of the snapshot each: build(rows), part by part.
+
+        After an INSERT only the new part is built; the others stay as they are.
+        """
+        parts = self.get(name).parts
+        built = [self._built(f"{p}-{what}", lambda p=p: build(self.read(name, [p]))) for p in parts]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), built) if built else build(self.read(name))
+
+    def vacuum(self, name: str) -> int:
+        """Delete folders that the catalog no longer needs; how many.  For times without readers."""
+        table, gone = self.get(name), 0
+        fs, path = self._path(name)
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            at = f"{name}/{status.getPath().getName()}"
+            if not (at.startswith(f"{name}/i{table.version}-") or any(at == p or at.startswith(f"{p}-") for p in table.parts)):
+                gone += bool(fs.delete(status.getPath(), True))
+        return gone
