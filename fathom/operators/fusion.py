@@ -20,7 +20,7 @@ def _cut(df: DataFrame, k: int | None) -> DataFrame:
 def reciprocal_rank(rankings: list[DataFrame], k: int | None = None, k0: int = RRF_K0) -> DataFrame:
     """(key, score): the sum of 1 / (k0 + rank) over rankings(key, score); ties by key.
 
-    Rankings are short lists; each is ranked as a whole.
+    Rankings are short lists, the results of top-k searches; each is ranked as a whole.
     """
     if k0 < 1:
         raise ValueError("k0 must be at least 1")

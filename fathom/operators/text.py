@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.text import WINDOW, spread, terms, with_chunks
 
 
+#: A capped vocabulary of up to so many terms is broadcast.
+BROADCAST_TERMS = 500_000
+
+
 @dataclass
 class TextIndex:
     """chunks(doc_id, chunk_no, chunk_id), postings(term, chunk_id, tf), the cap, N and the analyzer."""
@@ -29,8 +33,8 @@ class TextIndex:
         """The postings of the `vocabulary` most frequent terms, ties by term; all without a cap."""
         if self.vocabulary is None:
             return self.postings
-        top = self.postings.groupBy("term").agg(F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(self.vocabulary)
-        return self.postings.join(F.broadcast(top.select("term")), "term", "left_semi")
+        top = self.postings.groupBy("term").agg(F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(self.vocabulary).select("term")
+        return self.postings.join(F.broadcast(top) if self.vocabulary <= BROADCAST_TERMS else top, "term", "left_semi")
 
     def idf(self, of: DataFrame | None = None) -> DataFrame:
         """(term, df, idf): ln((N + 1) / (df + 1)) + 1 over N chunks."""
@@ -38,11 +42,11 @@ class TextIndex:
         counted = (self.visible() if of is None else of).groupBy("term").agg(F.count("*").alias("df"))
         return counted.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
-    def norms(self) -> DataFrame:
-        """(chunk_id, norm): the length of each chunk's weighted terms."""
+    def norms(self, of: DataFrame | None = None) -> DataFrame:
+        """(chunk_id, norm): the length of each chunk's weighted terms; of the chunks in of(chunk_id) alone, if given."""
         seen = self.visible()
-        weight = F.col("tf") * F.col("idf")
-        return seen.join(self.idf(seen), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+        weight, held = F.col("tf") * F.col("idf"), seen if of is None else seen.join(of, "chunk_id", "left_semi")
+        return held.join(self.idf(seen), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
 def chunk_table(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
@@ -72,7 +76,7 @@ def frozen(index: TextIndex) -> TextIndex:
 def query_terms(index: TextIndex, query: str) -> dict[str, int]:
     """The query's terms and how often it has them: a few rows, on the driver."""
     spark = index.chunks.sparkSession
-    rows = terms(spark.createDataFrame([(query,)], "q string"), "q", [], index.analyzer).collect()
+    rows = terms(spark.sql("SELECT :q AS q", args={"q": query}), "q", [], index.analyzer).collect()
     return reduce(lambda d, r: d | {r["term"]: d.get(r["term"], 0) + 1}, rows, {})
 
 
@@ -86,7 +90,7 @@ def match_chunks(index: TextIndex, query: str, norms: DataFrame | None = None) -
         return hits.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     weight = F.create_map(*[F.lit(x) for t, w in known.items() for x in (t, w * asked[t] * w)])[F.col("term")]
     dots = hits.groupBy("chunk_id").agg(F.sum(F.col("tf") * weight).alias("dot"))
-    lengths = index.norms() if norms is None else norms
+    lengths = index.norms(dots.select("chunk_id")) if norms is None else norms
     return dots.join(lengths, "chunk_id").filter("norm > 0").select("chunk_id", (F.col("dot") / (F.col("norm") * F.lit(length))).alias("score"))
 
 
