@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import flattened
 
@@ -75,10 +76,12 @@ def tracks(spark: SparkSession, tracks_csv: str, audio: str) -> Dataset:
     """Track metadata with the first genre's title, for tracks that have an audio file."""
     meta = read_csv(spark, tracks_csv).filter("trim(track_id) <> ''").withColumn("_left", F.monotonically_increasing_id())
     meta = meta.withColumn("number", F.col("track_id").cast("long")).withColumn("stem", F.lpad(F.col("number").cast("string"), 6, "0"))
-    names = file_names(spark, audio, "*{" + ",".join(AUDIO) + "}")
-    ending = F.regexp_extract("name", r"(\.[^.]+)$", 1)
-    rank = F.array_position(F.array(*map(F.lit, AUDIO)), ending)
-    best = names.groupBy(F.regexp_extract("name", r"^(.*)\.[^.]+$", 1).alias("stem")).agg(F.min_by("name", rank).alias("audio"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(AUDIO) + "}").load(audio)
+    parts = files.select(F.split("path", "/").alias("p")).select(F.element_at("p", -1).alias("name"), F.element_at("p", -2).alias("folder"))
+    parts = parts.withColumn("stem", F.regexp_extract("name", r"^(.*)\.[^.]+$", 1))
+    # A folder named by the first three digits comes before the top one, then the ending counts.
+    rank = F.struct((F.col("folder") != F.substring("stem", 1, 3)).alias("top"), F.array_position(F.array(*map(F.lit, AUDIO)), F.regexp_extract("name", r"(\.[^.]+)$", 1)).alias("ending"))
+    best = parts.groupBy("stem").agg(F.min_by("name", rank).alias("audio"))
     rows = numbered(meta.join(best, "stem"), "_left")
     genre = F.regexp_extract(F.coalesce("track_genres", F.lit("")), r"'genre_title': '([^']*)'", 1)
     rows = rows.select("id", F.col("number").cast("string").alias("track_id"), F.col("track_title").alias("title"), F.col("artist_name").alias("artist"), genre.alias("genre"), "audio")
@@ -86,10 +89,67 @@ def tracks(spark: SparkSession, tracks_csv: str, audio: str) -> Dataset:
     return Dataset("fma_tracks", columns, [("id", "bplus", {}), ("genre", "hash", {})], rows)
 
 
-def import_dataset(engine, data: Dataset, limit: int | None = None) -> dict:
-    """Create the table, its indexes, and load the rows in one write."""
+@dataclass
+class ImportReport:
+    table: str
+    rows_inserted: int = 0
+    batches: int = 0
+    indexes: list[str] = field(default_factory=list)  # column:kind
+
+
+def import_dataset(engine, data: Dataset, limit: int | None = None, batches: int = 1) -> ImportReport:
+    """Create the table and its indexes, then load the rows in so many writes; one does for any size.
+
+    Texts are flattened and floats kept to twelve decimals.  Booleans and nulls have
+    no literal in the dialect and are refused before anything is made.
+    """
+    if batches < 1:
+        raise ValueError("at least one batch")
+    rows = data.rows.select(*[c for c, _ in data.columns])
+    if refused := [f.name for f in rows.schema if isinstance(f.dataType, T.BooleanType)]:
+        raise TypeError(f"booleans can't be imported: {', '.join(refused)}")
+    rows = rows if limit is None else rows.orderBy(rows.columns[0]).limit(limit)
+    empty = rows.agg(*[F.max(F.col(c).isNull()).alias(c) for c in rows.columns]).first().asDict()
+    if nulls := [c for c, some in empty.items() if some]:
+        raise TypeError(f"nulls can't be imported: {', '.join(nulls)}")
+    rows = rows.select(*[_literal(f) for f in rows.schema])
     engine.storage.create(data.name, data.columns)
+    report = ImportReport(data.name)
     for column, kind, options in data.indexes:
         engine.storage.add_index(data.name, column, kind, options)
-    rows = data.rows if limit is None else data.rows.orderBy("id").limit(limit)
-    return {"table": data.name, "rows": engine.load(data.name, rows), "indexes": len(data.indexes)}
+        report.indexes.append(f"{column}:{kind}")
+    for i in range(batches):
+        part = rows if batches == 1 else rows.filter(F.pmod(F.xxhash64(rows.columns[0]), F.lit(batches)) == i)
+        n = engine.load(data.name, part)
+        report.rows_inserted, report.batches = report.rows_inserted + n, report.batches + (n > 0)
+    return report
+
+
+def _literal(f: T.StructField) -> F.Column:
+    """A column's values as the dialect's literals would give them."""
+    if isinstance(f.dataType, T.StringType):
+        return flattened(F.col(f.name)).alias(f.name)
+    return F.round(f.name, 12).alias(f.name) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name)
+
+
+class FeatureResolver:
+    """Vectors for file names from a CSV of audio features: its row of the file's stem.
+
+    Of rows that repeat a track_id the last counts; missing or empty values are 0.
+    """
+
+    def __init__(self, spark: SparkSession, features_csv: str):
+        rows = read_csv(spark, features_csv).withColumn("_at", F.monotonically_increasing_id())
+        rows = rows.withColumn("track_id", F.trim("track_id")).filter("track_id <> ''")
+        values = F.array(*[F.coalesce((F.col(c) if c in rows.columns else F.lit(None)).cast("double"), F.lit(0.0)) for c in FEATURES[:-1]])
+        self.rows = rows.groupBy("track_id").agg(F.max_by(values, "_at").alias("vec"))
+
+    def handles(self, name: str) -> bool:
+        return True
+
+    def resolve(self, name: str) -> list[float]:
+        stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        row = self.rows.filter(F.col("track_id") == stem).first()
+        if row is None:
+            raise ValueError(f"no features of {stem}")
+        return list(row["vec"])
