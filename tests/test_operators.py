@@ -2,84 +2,169 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathom.functions.porter2 import stem
-from fathom.operators import evaluate, fusion, text, vector
+from fathom.operators import evaluate, fusion, synthetic, text, vector
 
 
-def ranking(spark, *pairs):
-    return spark.createDataFrame(list(pairs), "key string, score double")
+def ranked(spark, **scores):
+    return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "key string, score double")
 
 
-def rows(df):
-    return [(r[0], round(r[1], 9)) for r in df.collect()]
+def slow_rrf(rankings, k0):
+    out = {}
+    for r in rankings:
+        for place, key in enumerate(sorted(r, key=lambda k: (-r[k], k)), 1):
+            out[key] = out.get(key, 0) + 1 / (k0 + place)
+    return sorted(out.items(), key=lambda x: (-x[1], x[0]))
 
 
-def test_reciprocal_rank(spark):
-    a, b = ranking(spark, ("a", 0.9), ("b", 0.5)), ranking(spark, ("b", 0.8), ("c", 0.7))
-    want = [("b", 1 / 61 + 1 / 62), ("a", 1 / 61), ("c", 1 / 62)]
-    assert rows(fusion.reciprocal_rank([a, b])) == [(k, round(s, 9)) for k, s in want]
-    assert len(rows(fusion.reciprocal_rank([a, b], 2))) == 2
-    with pytest.raises(ValueError):
-        fusion.reciprocal_rank([a], k0=0)
+@pytest.mark.parametrize("k0", [1, 60])
+def test_reciprocal_ranks(spark, k0):
+    sides = [{"oslo": 4, "rome": 4, "bern": 1}, {"bern": 0.2, "oslo": 0.1}, {"kiev": -3}]
+    got = fusion.reciprocal_rank([ranked(spark, **s) for s in sides], k0=k0).collect()
+    want = slow_rrf(sides, k0)
+    assert [r["key"] for r in got] == [k for k, _ in want]
+    assert np.allclose([r["score"] for r in got], [s for _, s in want])
+    assert [r["key"] for r in fusion.reciprocal_rank([ranked(spark, **s) for s in sides], 1, k0).collect()] == [want[0][0]]
 
 
-def test_weighted_sum(spark):
-    a, b = ranking(spark, ("a", 1.0), ("b", 0.5), ("c", 0.0)), ranking(spark, ("c", 1.0), ("a", 0.0))
-    assert rows(fusion.weighted_sum(a, b, 0.6)) == [("a", 0.6), ("c", 0.4), ("b", 0.3)]
+@pytest.mark.parametrize("wrong", [lambda r: fusion.reciprocal_rank([r], k0=-1), lambda r: fusion.reciprocal_rank([]), lambda r: fusion.weighted_sum(r, r, -0.1)])
+def test_fusion_refuses(spark, wrong):
     with pytest.raises(ValueError):
-        fusion.weighted_sum(a, b, 1.5)
+        wrong(ranked(spark, x=1))
+
+
+def test_weighted_sums_scale_each_side(spark):
+    first, second = ranked(spark, oslo=30, rome=20, bern=10), ranked(spark, bern=7, kiev=7)
+    got = {r["key"]: r["score"] for r in fusion.weighted_sum(first, second, 0.25).collect()}
+    assert got == pytest.approx({"oslo": 0.25, "rome": 0.125, "bern": 0.75, "kiev": 0.75})  # equal scores scale to one
+
+
+def cosines(x, q):
+    with np.errstate(invalid="ignore"):
+        return x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    x = np.random.default_rng(12).normal(size=(700, 12)).round(2)
+    x[50:90], x[5] = x[50], 0
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "no long, v array<double>")
+
+
+def test_cosine_top(spark, cloud):
+    x, df = cloud
+    score = np.where(np.linalg.norm(x, axis=1) > 0, cosines(x, x[50]), -9)
+    want = sorted(range(700), key=lambda i: (-round(score[i], 9), i))[:45]
+    got = [r["key"] for r in vector.cosine_top(df, "no", "v", x[50].tolist(), 45).collect()]
+    assert set(got) == set(want) and not vector.cosine_top(df, "no", "v", [0.0] * 12).count() and not vector.cosine_top(df, "no", "v", [1.0]).count()
+
+
+@pytest.mark.parametrize("shard", [100, 65_536])
+def test_batches_against_brute_force(spark, cloud, monkeypatch, shard):
+    x, df = cloud
+    monkeypatch.setattr(vector, "SHARD", shard)
+    monkeypatch.setattr(vector, "BLOCK", 64)
+    asked = df.filter("no % 100 = 0 or no = 5").unionByName(spark.createDataFrame([(9000, [1.0]), (9001, None)], "no long, v array<double>"))
+    got = {}
+    for r in vector.cosine_batch(df.unionByName(spark.createDataFrame([(800, None), (None, x[0].tolist())], df.schema)), "no", "v", asked, 15, digits=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["key"], r["score"]))
+    assert sorted(got) == list(range(0, 700, 100))
+    for q, found in got.items():
+        score = np.where(np.linalg.norm(x, axis=1) > 0, np.round(cosines(x, x[q]), 6), -9)
+        assert [k for k, _ in found] == sorted(range(700), key=lambda i: (-score[i], i))[:15]
+    assert vector.cosine_batch(df.limit(0), "no", "v", asked, 3).count() == 0 == vector.cosine_batch(df, "no", "v", asked.limit(0), 3).count()
+
+
+def test_pruned_candidates_are_the_best_overlaps(spark):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((2000, 80)) < 0.03, rng.random((2000, 80)), 0)
+    q = np.where(rng.random(80) < 0.5, rng.random(80), 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "no long, v array<double>")
+    few = (x > 0).sum(0)
+    rare = np.flatnonzero((q > 0) & (few >= 1) & (few <= 100))
+    overlap = x[:, rare] @ q[rare]
+    want = sorted(np.flatnonzero(overlap > 0), key=lambda i: (-round(overlap[i], 12), i))[:40]
+    got = vector.candidates(df, "no", q.tolist(), 10, vector.dim_postings(df, "no", "v"))
+    assert sorted(r["key"] for r in got.collect()) == sorted(want)
+    pruned = [r["key"] for r in vector.cosine_pruned(df, "no", "v", q.tolist(), 10).collect()]
+    score = cosines(x[sorted(want)], q)
+    assert pruned == [sorted(want)[i] for i in np.lexsort((sorted(want), -score))[:10]]
+    assert vector.candidates(df.limit(50), "no", q.tolist(), 10, vector.dim_postings(df.limit(50), "no", "v")) is None
 
 
-def test_cosine(spark):
-    v = spark.createDataFrame([("1", [1.0, 0.0, 0.0, 0.0]), ("2", [1.0, 1.0, 0.0, 0.0]), ("3", [1.0, 1.0, 1.0, 0.0]), ("4", [0.0, 0.0, 0.0, 1.0]), ("5", [1.0] * 4), ("0", [0.0] * 4)], "key string, vec array<double>")
-    assert [r["key"] for r in vector.cosine_top(v, "key", "vec", [1, 0, 0, 0], 3).collect()] == ["1", "2", "3"]
-    assert vector.cosine_top(v, "key", "vec", [0, 0, 0, 0], 3).count() == 0
-    batch = vector.cosine_batch(v, "key", "vec", {7: [1, 0, 0, 0], 8: [0, 0, 0, 0]}, 3).orderBy("rank").collect()
-    assert [(r["query_id"], r["key"]) for r in batch] == [(7, "1"), (7, "2"), (7, "3")]
+def test_recall_and_overlap(spark):
+    def sets(*s):
+        return spark.createDataFrame([(i, k) for i, x in enumerate(s) for k in x], "query_id int, key int")
 
+    truth = sets([1, 2, 3, 4], [5, 6])
+    assert evaluate.recall(sets([2, 3, 9], [5, 6]), truth).first()[0] == 0.75
+    assert evaluate.recall(sets([2, 3, 9]), truth).first()[0] == 0.25
+    assert evaluate.jaccard(sets([1, 2], [7]), truth).first()[0] == 0.25
+    assert evaluate.jaccard(truth, truth).first()[0] == 1
 
-def test_pruned_agrees_with_exact_on_its_candidates(spark):
-    x = np.where(np.random.default_rng(1).random((300, 64)) < 0.04, 1.0, 0.0)
-    x[:, 0] += 0.01
-    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "key int, vec array<double>")
-    q = x[5].tolist()
-    exact, pruned = ([r["key"] for r in f(df, "key", "vec", q, 1).collect()] for f in (vector.cosine_top, vector.cosine_pruned))
-    assert exact == pruned
 
+def slow_chunks(body, window):
+    import re
 
-def test_recall_and_overlap(spark):
-    def sets(*s):
-        return spark.createDataFrame([(i, k) for i, x in enumerate(s) for k in x], "query_id int, key string")
+    paragraphs = [p for p in (re.sub(r"^\s+|\s+$", "", p, flags=re.A) for p in re.split(r"\n\s*\n", body or "", flags=re.A)) if p]
+    if not paragraphs:
+        return [body or ""]
+    words = paragraphs[0].split()
+    if len(paragraphs) > 1 or len(words) <= window:
+        return paragraphs
+    return [" ".join(words[i : i + window]) for i in range(0, len(words), window)]
 
-    truth = sets("0", "1", "2")
-    assert evaluate.recall(sets("0", "1", "9"), truth).first()[0] == 0.667
-    assert evaluate.jaccard(sets("ab"), sets("ac")).first()[0] == 0.333
-    assert evaluate.jaccard(sets("ab"), sets("ab")).first()[0] == 1.0
 
+def test_chunks_against_a_loop(spark):
+    bodies = {"tide": "low\n\nhigh \n\t\n  slack", "calm": "  no\nwind ", "void": "", "blank": " \n\n ", "long": " ".join(f"mile{i}" for i in range(11)), "none": None, "fits": "a b c d e"}
+    docs = spark.createDataFrame(list(bodies.items()), "name string, log string")
+    got = {}
+    for r in text.chunk_table(docs, "name", "log", 5).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+        assert r["chunk_id"] == (r["doc_id"] if len(slow_chunks(bodies[r["doc_id"]], 5)) == 1 else f"{r['doc_id']}#{r['chunk_no']}")
+    assert got == {k: slow_chunks(v, 5) for k, v in bodies.items()}
 
-def test_chunks(spark):
-    ten = " ".join(f"w{i}" for i in range(10))
-    docs = spark.createDataFrame([("p", "a b\n\nc d\n \ne"), ("one", " x\ny "), ("empty", ""), ("ten", ten), ("null", None)], "id string, body string")
-    found = {(r["doc_id"], r["chunk_no"]): (r["chunk_id"], r["chunk"]) for r in text.chunk_table(docs, "id", "body", 4).collect()}
-    assert [found["p", i] for i in range(3)] == [("p#0", "a b"), ("p#1", "c d"), ("p#2", "e")]
-    assert found["one", 0] == ("one", "x\ny") and found["empty", 0] == ("empty", "") == found["null", 0][:0] + ("empty", "")
-    assert [len(found["ten", i][1].split()) for i in range(3)] == [4, 4, 2]
 
+def test_a_document_is_found_once_by_its_best_chunk(spark):
+    docs = spark.createDataFrame([("kelp", "slow drift\n\nred kelp forest deep\n\nred kelp"), ("reef", "red coral"), ("sand", "pale dunes")], "name string, log string")
+    index = text.index_text(docs, "name", "log")
+    found = text.match(index, "red kelp").collect()
+    assert [(r["doc_id"], r["best_chunk"]) for r in found] == [("kelp", "kelp#2"), ("reef", "reef")]
+    # Lengths of the chunks that were hit are enough, and are those of all.
+    whole = text.match(index, "red kelp", norms=index.norms()).collect()
+    assert [r["score"] for r in found] == pytest.approx([r["score"] for r in whole])
 
-def test_parents_come_once(spark):
-    docs = spark.createDataFrame([("1", "storage layout basics\n\nvisual search ranking\n\nvisual search quality"), ("2", "audio codecs"), ("3", "visual rendering")], "id string, body string")
-    assert [r["doc_id"] for r in text.match(text.index_text(docs, "id", "body"), "visual search").collect()] == ["1", "3"]
 
+def test_a_frozen_vocabulary_and_its_norms(spark):
+    docs = spark.createDataFrame([("x", "gull crab gull"), ("y", "crab gull eel")], "name string, log string")
+    index = text.frozen(text.index_text(docs, "name", "log", 1))
+    assert {r["term"] for r in index.postings.collect()} == {"gull"}
+    idf = math.log(3 / 3) + 1
+    assert {r["chunk_id"]: r["norm"] for r in index.norms().collect()} == pytest.approx({"x": 2 * idf, "y": idf})
 
-def test_frozen_vocabulary_and_norms(spark):
-    docs = spark.createDataFrame([("1", "zeta alpha momo"), ("2", "momo zeta alpha")], "id string, body string")
-    index = text.frozen(text.index_text(docs, "id", "body", 2))
-    assert {r["term"] for r in index.postings.collect()} == {"alpha", "momo"}
-    weight = math.log(3 / 3) + 1
-    assert all(math.isclose(r["norm"], math.sqrt(2) * weight) for r in index.norms().collect())
 
-
-@pytest.mark.parametrize("word, want", [("databases", "databas"), ("running", "run"), ("retrieved", "retriev"), ("generously", "generous"), ("hopping", "hop"), ("hoping", "hope"), ("ponies", "poni"), ("ties", "tie"), ("relational", "relat"), ("sky", "sky")])
+@pytest.mark.parametrize("word, want", [("sailing", "sail"), ("planned", "plan"), ("tides", "tide"), ("buoys", "buoy"), ("happily", "happili"), ("rational", "ration"), ("cries", "cri"), ("dying", "die"), ("news", "news"), ("by", "by")])
 def test_porter2(word, want):
     assert stem(word) == want
+
+
+def test_synthetic_tables(spark, tmp_path):
+    docs = synthetic.documents(spark, 400).cache()
+    words = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").count().orderBy(F.desc("count")).collect()
+    assert sum(r["count"] for r in words) == 400 * synthetic.WORDS and words[0]["w"] == "word000" and words[0]["count"] > 5 * words[20]["count"]
+    assert docs.exceptAll(synthetic.documents(spark, 400).repartition(3)).count() == 0
+    v = np.array([r["vec"] for r in synthetic.vectors(spark, 300).collect()])
+    assert np.allclose(np.linalg.norm(v, axis=1), 1) and 0.08 < (v > 0).mean() < 0.12
+    asked = [r["query"].split() for r in synthetic.queries(docs, 7).collect()]
+    assert len(asked) == 7 and all(len(q) == 2 and all(len(w) >= 4 for w in q) for q in asked)
+    few = spark.createDataFrame([(f"k{i}", [float(i)]) for i in range(5)], "key string, vec array<double>")
+    more = synthetic.resampled(few, 23).collect()
+    assert sorted(r["nth"] for r in more) == list(range(23)) and {r["key"] for r in more} == {f"k{i}" for i in range(5)}
+    with pytest.raises(ValueError):
+        synthetic.resampled(few.limit(0), 3)
+    synthetic.write_results(spark, [{"engine": "fathom", "size": 10}], str(tmp_path / "r"))
+    row = spark.read.csv(str(tmp_path / "r"), header=True).first()
+    assert tuple(row.asDict()) == synthetic.RESULT_COLUMNS and row["size"] == "10" and row["modality"] is None
