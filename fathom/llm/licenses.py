@@ -17,21 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import columns
-
-#: Public license texts and notices.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-}
+from .license_texts import TEMPLATES
 
 #: The share of a template's words that must be aligned.
 LEAST_COVERAGE = 0.85
@@ -105,54 +91,97 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common_length(a: list[str], masks: dict[str, int], size: int) -> int:
+    """The length of a longest common subsequence with a template of so many words, by bits.
+
+    masks: a bit for each place that a word has in the template (Hyyro, 2004).
+    """
+    whole = (1 << size) - 1
+    row = whole
+    for word in a:
+        if mask := masks.get(word):
+            both = row & mask
+            row = (row + both | row - both) & whole
+    return size - row.bit_count()
+
+
+class Template:
+    def __init__(self, name: str, words: list[str], least: float):
+        self.name, self.words, self.many = name, words, Counter(words)
+        self.need, self.span = int(-(-len(words) * least // 1)), 2 * len(words) + 16
+        self.masks: dict[str, int] = {}
+        for i, w in enumerate(words):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+
+    def aligned(self, window: list[str]) -> list[tuple[int, int]] | None:
+        """The alignment of the first occurrence in a window that may hold two, or None."""
+        pairs = align(window, self.words)
+        if len(pairs) < self.need:
+            return None
+        near = len(self.words) + 16
+        # A copy with words changed must not take them from the next one.
+        if pairs[-1][0] >= near and len(first := align(window[:near], self.words)) >= self.need:
+            rest = first[-1][0] + 1
+            if len(align(window[rest : rest + self.span], self.words)) >= self.need:
+                return first
+        return pairs
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
-        self.templates = [(name, words, Counter(words), -(-len(words) * least // 1)) for name, t in templates.items() if (words := words_of(t))]
-        self.known = {w for _, words, _, _ in self.templates for w in words}
+        self.templates = [Template(name, words, least) for name, t in templates.items() if (words := words_of(t))]
+        self.known = {w for t in self.templates for w in t.words}
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word) of each occurrence, by place.
 
-        An occurrence lies within twice the template's words and 16 more.  A window
-        is aligned if it holds enough of the template's words, counted with their
-        repeats, for the coverage asked for: fewer can't be aligned to that share.
+        An occurrence lies within twice the template's words and 16 more: one with
+        more words in between is none.
         """
-        found, words = [], words_of(text or "")
+        words = words_of(text or "")
         at = [i for i, w in enumerate(words) if w in self.known]
-        held = Counter(words[i] for i in at)
-        for name, template, many, need in self.templates:
-            if sum(min(k, held.get(w, 0)) for w, k in many.items()) < need:
-                continue
-            hits, span = [i for i in at if words[i] in many], 2 * len(template) + 16
-            inside: Counter[str] = Counter()
-            have, left, right, tried = 0, 0, 0, -1
-            while left < len(hits):
-                while right < len(hits) and hits[right] < hits[left] + span:
-                    w = words[hits[right]]
-                    inside[w] += 1
-                    have += inside[w] <= many[w]
-                    right += 1
-                after = hits[left] + 1
-                if have >= need and hits[left] > tried:
-                    window = words[hits[left] : hits[left] + span]
-                    pairs = align(window, template)
-                    if len(pairs) >= need:
-                        # A copy with words changed must not take them from the next one.
-                        if pairs[-1][0] >= len(template) + 16:
-                            near = align(window[: len(template) + 16], template)
-                            if len(near) >= need:
-                                rest = hits[left] + near[-1][0] + 1
-                                pairs = near if len(align(words[rest : rest + span], template)) >= need else pairs
-                        first, last = hits[left] + pairs[0][0], hits[left] + pairs[-1][0]
-                        found.append((name, len(pairs) / len(template), first, last))
-                        after = last + 1
-                while left < len(hits) and hits[left] < after:
-                    w = words[hits[left]]
-                    have -= inside[w] <= many[w]
-                    inside[w] -= 1
-                    left += 1
+        held, found = Counter(words[i] for i in at), []
+        for t in self.templates:
+            if sum(min(k, held.get(w, 0)) for w, k in t.many.items()) >= t.need:
+                found += self._occurrences(t, words, [i for i in at if words[i] in t.many])
         return sorted(found, key=lambda x: (x[2], x[3], x[0]))
 
+    def _occurrences(self, t: Template, words: list[str], hits: list[int]) -> list[tuple[str, float, int, int]]:
+        """The template's occurrences, from left to right; hits: where words of it are.
+
+        Windows begin at hits.  Two bounds tell, cheaply, that a window can't be
+        aligned to the coverage asked for: its words of the template, counted with
+        their repeats, and the longest common subsequence.  A hit that leaves a window
+        and one that enters it change the latter by one each, so as many hits as are
+        lacking can be passed over at once.
+        """
+        out, left, right, have = [], 0, 0, 0
+        inside: Counter[str] = Counter()
+        while left < len(hits):
+            while right < len(hits) and hits[right] < hits[left] + t.span:
+                word = words[hits[right]]
+                inside[word] += 1
+                have += inside[word] <= t.many[word]
+                right += 1
+            to = left + 1
+            if have >= t.need:
+                lacking = t.need - common_length([words[i] for i in hits[left:right]], t.masks, len(t.words))
+                pairs = None if lacking > 0 else t.aligned(words[hits[left] : hits[left] + t.span])
+                if pairs:
+                    first, last = hits[left] + pairs[0][0], hits[left] + pairs[-1][0]
+                    out.append((t.name, len(pairs) / len(t.words), first, last))
+                    to = bisect_left(hits, last + 1, left)
+                elif lacking > 0:
+                    # Until `lacking` more hits have entered, no window is long enough.
+                    enter = right + lacking - 1
+                    to = bisect_left(hits, hits[enter] - t.span + 1, left + 1) if enter < len(hits) else len(hits)
+            for i in range(left, min(to, right)):
+                word = words[hits[i]]
+                have -= inside[word] <= t.many[word]
+                inside[word] -= 1
+            left, right = to, max(to, right)
+        return out
+
 
 SCANNED = "doc_id long, n_licenses int, license string, coverage double, start int, end int, licenses string"
 
@@ -164,14 +193,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     (characters) of the one with most aligned words, the first on a tie; licenses, the
     names of all by place, comma-joined.  Without one: 0, nulls and ''.
 
-    Nulls and empty texts have none; repeated rows and null ids are passed through;
+    An occurrence spans at most twice its template's words and 16 more.  Nulls and
+    empty texts have none; repeated rows and null ids are passed through;
     whole texts are scanned; an empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, least)
-        size = {name: len(words) for name, words, _, _ in scanner.templates}
+        size = {t.name: len(t.words) for t in scanner.templates}
         for b in batches:
             out = []
             for text in b.column("text"):
