@@ -17,8 +17,10 @@ from .common import columns
 
 MARK = "\\u0001"
 DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
-#: Characters before a span in which its context words are looked for.
+#: Characters before and after a span in which its context words are looked for.
 CONTEXT = 48
+#: Words that name a secret which is assigned after them.
+SECRET_WORDS = "token|secret|password|passwd|api[_-]?key|access[_-]?key"
 #: A pattern alone, a checksum that holds and a context word are worth so much.
 WORTH = {"pattern": 0.35, "checksum": 0.45, "context": 0.3}
 #: Spans of kinds beside the base ones are taken from this score on.
@@ -55,6 +57,7 @@ KINDS = (
     Kind("phone", "instr(t, '+') > 0", r"()(\\+[0-9][ ().0-9-]+[0-9])", f"length({DIGITS}) between 9 and 15", False, "phone|call|tel|mobile", True),
     Kind("iban", "true", r"(^|[^A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)", f"not (substring(t, x.e + 1, 1) rlike '[A-Za-z0-9]') and length(replace(x.m, ' ', '')) between 15 and 34 and {mod97("replace(x.m, ' ', '')")}", True, "iban|account|bank", False),
     Kind("ssn", "instr(t, '-') > 0", r"(^|[^A-Za-z0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})", "not (substring(t, x.e + 1, 1) rlike '[A-Za-z0-9-]')", False, "ssn|social security", False),
+    Kind("secret", f"lower(t) rlike '{SECRET_WORDS}'", rf'((?:^|[^A-Za-z0-9_])(?i:{SECRET_WORDS}) ?[=:] ?"?)([A-Za-z0-9_./+-]{{20,}})', "true", False, SECRET_WORDS, False),
 )
 
 
@@ -66,7 +69,8 @@ def _spans(kind: Kind) -> str:
     step = "named_struct('pos', a.pos + length(x), 'inside', not a.inside, 'out', if(a.inside, concat(a.out, array(named_struct('s', a.pos, 'e', a.pos + length(x), 'm', x))), a.out))"
     found = f"filter(aggregate({parts}, {start}, (a, x) -> {step}, a -> a.out), x -> {kind.holds})"
     known = WORTH["pattern"] + WORTH["checksum"] * kind.checksum
-    near = f"lower(substring(t, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))) rlike '{kind.words}'"
+    before, after = f"substring(t, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))", f"substring(t, x.e + 1, {CONTEXT})"
+    near = f"lower(concat({before}, ' ', {after})) rlike '{kind.words}'"
     score = f"cast(least(1D, {known}D + if({near}, {WORTH['context']}D, 0D)) as double)"
     out = f"transform({found}, x -> named_struct('kind', '{kind.name}', 's', x.s, 'e', x.e, 'score', {score}, 'base', {str(kind.base).lower()}))"
     out = out if kind.base else f"filter({out}, x -> x.score >= {LEAST_SCORE}D)"
@@ -77,7 +81,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row of docs(doc_id, text).
 
     spans: structs of kind, s, e, score and base, by kind (email, ip, card, phone,
-    iban, ssn), then place.  The first four are the base kinds; a span of the others
+    iban, ssn, secret), then place.  The first four are the base kinds; a span of the others
     is taken if pattern, checksum and context give LEAST_SCORE, and where it overlaps
     no base span.  A null or empty text has no spans; repeated rows and null ids are
     passed through; an empty table gives no rows.
@@ -90,7 +94,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts and digests of find_pii's spans."""
+    """Counts and digests of find_pii's spans: the base kinds' counts, all spans' number, spans and scores."""
     listed = "array_join(transform({}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k.name}')) as long)").alias(f"n_{k.name}") for k in KINDS if k.base]
-    return found.select("doc_id", *counts, F.sha2(F.expr(listed.format("filter(spans, x -> x.base)")), 256).alias("base_sha256"), F.expr(listed.format("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(listed.format("filter(spans, x -> x.base)")), 256).alias("base_sha256"), F.expr(listed.format("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.expr("array_join(transform(spans, x -> cast(x.score as decimal(3,2))), ',')").alias("scores"))
