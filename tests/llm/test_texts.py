@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -95,6 +96,54 @@ def test_alignment_is_a_common_subsequence():
         assert len(pairs) <= longest_common(a, b)
 
 
+def test_lengths_of_common_subsequences():
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ([r.choice("abcdefgh") for _ in range(r.randint(1, 40))] for _ in range(2))
+        assert licenses.common_length(a, licenses.Template("t", b, 0.5).masks, len(b)) == longest_common(a, b)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_scan_against_all_windows(seed):
+    """What is found covers enough of the template, and no window is left that is an exact or nearly exact copy."""
+    r = random.Random(seed)
+    template = [r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("aeiou") for _ in range(30)]
+    words, copies = [], 0
+    for _ in range(12):
+        words += [r.choice(template) if r.random() < 0.4 else "yy" for _ in range(r.randint(0, 90))]
+        if r.random() < 0.6:
+            copy = template.copy()
+            for _ in range(r.randint(0, 2)):
+                copy[r.randrange(30)] = "zz"
+            words, copies = words + copy, copies + 1
+    scanner = licenses.Scanner({"t": " ".join(template)}, 0.85)
+    t = scanner.templates[0]
+    found = scanner.scan(" ".join(words))
+    assert len(found) >= copies
+    covered = [False] * len(words)
+    for _, coverage, first, last in found:
+        assert longest_common(words[first : last + 1], template) / 30 >= coverage >= 0.85 and last - first < t.span
+        assert not any(covered[first : last + 1])
+        covered[first : last + 1] = [True] * (last + 1 - first)
+    for i in range(len(words) - 29):  # brute force: a free window of the template's length holds no copy
+        assert any(covered[i : i + 30]) or longest_common(words[i : i + 30], template) < 28
+
+
+def test_shuffled_words_of_licenses_stay_cheap():
+    r, words = random.Random(5), licenses.words_of(licenses.TEMPLATES["MIT"])
+    text = " ".join(r.choice(words) for _ in range(40_000))
+    began = time.process_time()
+    assert licenses.Scanner({"MIT": licenses.TEMPLATES["MIT"]}, 0.85).scan(text) == []
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_template_is_found_where_it_stands(name):
+    assert len(licenses.TEMPLATES) >= 30
+    found = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE).scan(f"some words before. {licenses.TEMPLATES[name]}\nand after " * 3)
+    assert [x[1] for x in found if x[0] == name] == [1.0] * 3
+
+
 def test_licenses(odd, none, spark):
     mit = licenses.TEMPLATES["MIT"]
     cut = " ".join(mit.split()[:40] + ["changed", "words"] + mit.split()[45:])
