@@ -54,7 +54,7 @@ def with_chunks(df: DataFrame, text: str, keep: list[str], window: int = WINDOW)
     is one chunk, untouched.  Each step is a column of its own, so that nothing is
     computed twice; windows are cut by one pass of a pattern.
     """
-    trimmed = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    trimmed = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.btrim(p, F.lit(" \t\n\x0b\f\r"))), lambda p: p != "")
     steps = df.select(*keep, F.col(text).alias("_text"), trimmed.alias("_ps"))
     cut = F.regexp_extract_all(F.col("_ps")[0], F.lit(rf"(?:\S++\s++){{0,{window - 1}}}\S++"), 0)
     steps = steps.select(*keep, "_text", "_ps", F.when(F.size("_ps") == 1, cut).alias("_ws"))

@@ -11,4 +11,6 @@ from pyspark.sql import SparkSession
 def scratch(spark: SparkSession) -> str:
     """A fresh folder in the shared one that the cluster names; a local one where it names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that driver and executors share")
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="fathom-tables-")
