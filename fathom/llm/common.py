@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("fathom.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="fathom-")
         spark.conf.set("fathom.shared.dir", folder)
     return folder.rstrip("/")
