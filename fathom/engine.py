@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.text import Analyzer, name_of, with_chunks
 from .operators import fusion, lookup, spatial, vector
 from .operators import text as text_ops
 from .plans import explain
@@ -20,6 +21,9 @@ from .sources import layout
 from .sources.storage import ROW, Storage
 
 
+Fuse = Callable[[list[DataFrame], int], DataFrame]
+
+
 @dataclass
 class Result:
     """df is lazy; rows() runs it once and then knows time and plan lines."""
@@ -60,10 +64,13 @@ class Result:
 class Engine:
     """Tables, indexes and queries over a warehouse folder.
 
-    resolver: turns a media file name into a vector (see sources.media).
+    resolver: turns a media file name into a vector (see sources.media); analyzer,
+    chunker: how texts become terms and chunks; fuse: how a hybrid search joins two
+    rankings (key, score) to the k best.
     """
 
-    def __init__(self, spark: SparkSession, warehouse: str, resolver: Any = None, analyzer: str = "rule"):
+    def __init__(self, spark: SparkSession, warehouse: str, resolver: Any = None, analyzer: Analyzer = "rule", chunker: text_ops.Chunker = with_chunks, fuse: Fuse = fusion.reciprocal_rank):
+        self.chunker, self.fuse = chunker, fuse
         self.spark, self.storage, self.resolver, self.analyzer = spark, Storage(spark, warehouse), resolver, analyzer
         self.last_sql: str | None = None
         self.reset_metrics()
@@ -177,6 +184,8 @@ class Engine:
             raise SqlError(f"no column {table}.{column}")
         if kind == "range":
             return df.filter(p[1].column(F.col(column)))
+        if declared == "VECTOR" and isinstance(p.value, str):
+            return df.filter(F.col(f"{column}_ref") == p.value)
         if declared == "VECTOR":
             return df.filter(F.col(column) == F.array(*[F.lit(float(v)) for v in p.value]))
         return lookup.equal(df, column, p.value)
@@ -252,15 +261,15 @@ class Engine:
         held = self.storage.get(table).indexes.get(column, {}).get("options", {})
 
         def part(rows: DataFrame) -> text_ops.TextIndex:
-            return text_ops.index_text(rows, ROW, column, held.get("vocabulary"), self.analyzer)
+            return text_ops.index_text(rows, ROW, column, held.get("vocabulary"), self.analyzer, chunker=self.chunker)
 
-        chunks = self.storage.derived_parts(table, f"{column}-chunks", lambda rows: part(rows).chunks)
-        postings = self.storage.derived_parts(table, f"{column}-postings-{self.analyzer}", lambda rows: part(rows).postings.repartitionByRange("term").sortWithinPartitions("term"))
+        chunks = self.storage.derived_parts(table, f"{column}-chunks-{self.chunker.__name__}", lambda rows: part(rows).chunks)
+        postings = self.storage.derived_parts(table, f"{column}-postings-{self.chunker.__name__}-{name_of(self.analyzer)}", lambda rows: part(rows).postings.repartitionByRange("term").sortWithinPartitions("term"))
         return text_ops.TextIndex(chunks, postings, held.get("vocabulary"), self.analyzer)
 
     def _match(self, table: str, p: Match, k: int | None) -> DataFrame:
         index = self.text_index(table, p.column)
-        norms = self.storage.derived(table, f"{p.column}-norms-{self.analyzer}", index.norms)
+        norms = self.storage.derived(table, f"{p.column}-norms-{self.chunker.__name__}-{name_of(self.analyzer)}", index.norms)
         found = text_ops.match(index, p.terms, k, norms).select(F.col("doc_id").cast("long").alias(ROW), "score", "best_chunk")
         return self.storage.read(table).join(found, ROW).orderBy(F.desc("score"), "best_chunk")
 
@@ -270,7 +279,7 @@ class Engine:
         seen = self._ranked(table, Knn(p.media_column, p.file, fetch))
         texts = self._match(table, Match(p.text_column, p.terms), fetch).withColumn("key", self._key(table, p.media_column))
         texts = texts.groupBy("key").agg(F.max("score").alias("score"))
-        fused = fusion.reciprocal_rank([seen, texts], p.k).withColumnRenamed("score", "fused_score")
+        fused = self.fuse([seen, texts], p.k).withColumnRenamed("score", "fused_score")
         scores = fused.join(seen.withColumnRenamed("score", "visual_score"), "key", "left").join(texts.withColumnRenamed("score", "text_score"), "key", "left")
         last = Window.partitionBy("key").orderBy(F.desc(ROW))
         base = self.storage.read(table).withColumn("key", self._key(table, p.media_column)).join(F.broadcast(scores), "key", "right")

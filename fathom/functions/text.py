@@ -5,6 +5,8 @@ The expressions are written so that Spark and other SQL engines read them alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +76,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def terms(df: DataFrame, text: str, keep: list[str], analyzer: str = "rule") -> DataFrame:
+#: A stemmer by its name, or any function from the column of tokens to that of terms.
+Analyzer = str | Callable[[Column], Column]
+
+
+def name_of(analyzer: Analyzer) -> str:
+    return analyzer if isinstance(analyzer, str) else analyzer.__name__
+
+
+def terms(df: DataFrame, text: str, keep: list[str], analyzer: Analyzer = "rule") -> DataFrame:
     """One row for each term of a text, stemmed and without stop words: the columns of keep, and term."""
     words = df.select(*keep, F.explode(tokens_of(F.col(text))).alias("token"))
     words = words.filter((F.length("token") >= MIN_TOKEN) & ~F.col("token").isin(*STOPWORDS))
-    if analyzer == "rule":
+    if callable(analyzer):
+        stemmed = words.withColumn("term", analyzer(F.col("token")))
+    elif analyzer == "rule":
         stemmed = words.withColumn("term", F.expr(stem_sql("token")))
     elif analyzer == "porter2":
         from .porter2 import stem_column

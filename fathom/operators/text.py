@@ -7,13 +7,17 @@ shuffles sort, spill and merge; a query touches the postings of its terms alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WINDOW, spread, terms, with_chunks
+from ..functions.text import WINDOW, Analyzer, spread, terms, with_chunks
+
+#: A way to cut texts, as with_chunks does.
+Chunker = Callable[[DataFrame, str, list[str], int], DataFrame]
 
 
 #: A capped vocabulary of up to so many terms is broadcast.
@@ -27,7 +31,16 @@ class TextIndex:
     chunks: DataFrame
     postings: DataFrame
     vocabulary: int | None = None
-    analyzer: str = "rule"
+    analyzer: Analyzer = "rule"
+
+    def posting_files(self) -> int:
+        """How many files hold the postings."""
+        return len(self.postings.inputFiles())
+
+    def document_norm(self, chunk_id: str) -> float:
+        """The length of one chunk's weighted terms; 0 where it has none."""
+        row = self.norms(self.chunks.filter(F.col("chunk_id") == chunk_id).select("chunk_id")).first()
+        return row["norm"] if row else 0.0
 
     def visible(self) -> DataFrame:
         """The postings of the `vocabulary` most frequent terms, ties by term; all without a cap."""
@@ -49,16 +62,17 @@ class TextIndex:
         return held.join(self.idf(seen), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def chunk_table(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
+def chunk_table(df: DataFrame, key: str, text: str, window: int = WINDOW, chunker: Chunker = with_chunks) -> DataFrame:
     """(doc_id, chunk_no, chunk_id, chunk): a lone chunk has the document's id, others add #number."""
     named = spread(df).select(F.col(key).cast("string").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    each = with_chunks(named, "text", ["doc_id"], window).select("doc_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("chunk_no", "chunk"))
+    each = chunker(named, "text", ["doc_id"], window).select("doc_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("chunk_no", "chunk"))
     chunk_id = F.when(F.col("n") == 1, F.col("doc_id")).otherwise(F.concat_ws("#", "doc_id", F.col("chunk_no").cast("string")))
     return each.select("doc_id", "chunk_no", chunk_id.alias("chunk_id"), "chunk")
 
 
-def index_text(df: DataFrame, key: str, text: str, vocabulary: int | None = None, analyzer: str = "rule", window: int = WINDOW) -> TextIndex:
-    chunks = chunk_table(df, key, text, window)
+def index_text(df: DataFrame, key: str, text: str, vocabulary: int | None = None, analyzer: Analyzer = "rule", window: int = WINDOW, chunker: Chunker = with_chunks) -> TextIndex:
+    """chunker: from (rows, text column, columns to keep, window) to those columns and `chunks`, an array."""
+    chunks = chunk_table(df, key, text, window, chunker)
     postings = terms(chunks, "chunk", ["chunk_id"], analyzer).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
     return TextIndex(chunks.drop("chunk"), postings, vocabulary, analyzer)
 
