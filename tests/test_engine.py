@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathom.engine import Engine
 from fathom.plans.parser import SqlError
@@ -176,3 +177,38 @@ def test_pruned_search_is_used_and_can_be_left_out(spark, tmp_path):
         assert sorted(column(found, "no")) == [127, 187] or sorted(column(found, "no")) == [127, 7]
     folders = [s.getPath().getName() for s in e.storage._path("pruned")[0].listStatus(e.storage._path("pruned")[1])]
     assert any("v-dims" in f for f in folders)
+
+
+def by_line(df, text, keep, window):
+    return df.select(*keep, F.split(text, "/").alias("chunks"))
+
+
+def first_letters(token):
+    return F.left(token, F.lit(3))
+
+
+def second_only(rankings, k):
+    return rankings[1].orderBy(F.desc("score"), "key").limit(k)
+
+
+def test_analyzer_chunker_and_fusion_can_be_given(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "own"), resolver=Swatches(), analyzer=first_letters, chunker=by_line, fuse=second_only)
+    e.sql("CREATE TABLE paints (code INT, swatch VECTOR, label TEXT)")
+    e.sql("CREATE INDEX ON paints (swatch) USING knn")
+    e.sql("CREATE INDEX ON paints (label) USING inverted")
+    e.sql('INSERT INTO paints VALUES (7, "red.png", "glossy/outdoor"), (8, "lime.png", "matte/glossary")')
+    assert column(e.sql('SELECT code FROM paints WHERE MATCH(label, "gloss")'), "code") == [7, 8]
+    index = e.text_index("paints", "label")
+    assert {r["chunk_id"] for r in index.chunks.collect()} == {"0#0", "0#1", "1#0", "1#1"} and index.posting_files() > 0
+    assert index.document_norm("0#0") == pytest.approx(index.norms().filter("chunk_id = '0#0'").first()["norm"]) and index.document_norm("9") == 0
+    assert column(e.sql('SELECT code FROM paints WHERE HYBRID(swatch, "lime.png", label, "outside", 1)'), "code") == [7]
+
+
+def test_deleting_by_media_file(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "own"), resolver=Swatches())
+    e.sql("CREATE TABLE paints (code INT, swatch VECTOR)")
+    e.sql("CREATE INDEX ON paints (swatch) USING knn")
+    e.sql('INSERT INTO paints VALUES (7, "red.png"), (8, "lime.png"), (9, "red.png")')
+    assert column(e.sql("SELECT code FROM paints WHERE KNN(swatch, [1, 0, 0], 9)"), "code") == [9, 8]
+    assert e.sql('DELETE FROM paints WHERE swatch = "red.png"').affected == 2
+    assert column(e.sql("SELECT code FROM paints WHERE KNN(swatch, [1, 0, 0], 9)"), "key") == ["lime.png"]
