@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, join_unique, saved
+from .common import columns, components, fresh, join_unique, saved
 
 BITS = 64
-#: Buckets of more fingerprints are cut further (three keys for each member).
-HOT_BUCKET = 20_000
+#: Buckets that may have more fingerprints are cut further, a key for each of a
+#: member's pieces outside the bucket's segment; at most so many values of a segment
+#: make such buckets, which a thousand million fingerprints don't reach.
+HOT_BUCKET, HOT_VALUES = 20_000, 100_000
 #: Up to so many members all distances of a bucket are computed, in blocks.
 DENSE = 4096
 
@@ -82,19 +84,6 @@ def variants(prints: np.ndarray, segments: list[tuple[int, int]]) -> np.ndarray:
     return np.stack(out)
 
 
-def first_shared(x: np.ndarray, y: np.ndarray, segments: list[tuple[int, int]]) -> np.ndarray:
-    """The key of the first variant that each pair of fingerprints shares; they must share one."""
-    out, found = np.zeros(len(x), np.uint64), np.zeros(len(x), bool)
-    for first, bits in segments:
-        mask = np.uint64((1 << bits) - 1 << first)
-        differ = (x ^ y) & mask
-        wild = np.where(differ == 0, np.uint64(1 << first), differ)
-        key = _mix((x & mask & ~wild) ^ _mix(np.bitwise_count(wild - np.uint64(1)).astype(np.uint64) + np.uint64(1)))
-        here = ~found & (np.bitwise_count(differ) <= 1)
-        out[here], found = key[here], found | here
-    return out
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits (the finaliser of SplitMix64), so keys never collide by it."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -156,18 +145,18 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | No
     segments = segments or segments_for(distance)
     spark = prints.sparkSession
     prints = saved(prints.select("print").distinct(), "prints")
-    hot = _hot_variants(prints, segments)
+    hot = spark.sparkContext.broadcast(_hot_variants(prints, segments))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = b.column("print").to_numpy(zero_copy_only=False).view(np.uint64)
             for part in np.array_split(whole, -(-len(whole) // 1000) or 1):
-                keys = variants(part, segments)
-                member = np.broadcast_to(part, keys.shape)
-                if len(hot):
-                    large = np.isin(keys, hot)
-                    again = [_mix(keys[large] + np.uint64(i) ^ _mix(member[large] >> np.uint64(16 * i) & np.uint64(0xFFFF))) for i in range(4)]
-                    keys, member = np.concatenate([keys[~large], *again]), np.concatenate([member[~large], *[member[large]] * 4])
+                keys, of = variants(part, segments), np.repeat(np.arange(len(segments)), [n for _, n in segments])
+                member, of = np.broadcast_to(part, keys.shape), np.broadcast_to(of[:, None], keys.shape)
+                if len(hot.value):
+                    large = np.isin(keys, hot.value)
+                    again = cut_further(keys[large], member[large], of[large], segments, distance)
+                    keys, member = np.concatenate([keys[~large], again.ravel()]), np.concatenate([member[~large], np.tile(member[large], len(again))])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(member.ravel().view(np.int64))], ["key", "print"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +181,32 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[int, int]] | No
     return saved(dealt.mapInArrow(verified, "a long, b long").distinct(), "links")
 
 
+def cut_further(keys: np.ndarray, prints: np.ndarray, of: np.ndarray, segments: list[tuple[int, int]], distance: int) -> np.ndarray:
+    """Keys (pieces, members) that cut large buckets; of: the segment that each key is a variant of.
+
+    The bits outside the segment are cut into pieces, one more than may differ (three
+    at most), so two fingerprints that link share one of them.  Pieces of the segment
+    itself cut nothing: all members have them.
+    """
+    pieces = min(distance, 2) + 1
+    out = np.zeros((pieces, len(keys)), np.uint64)
+    for s, (first, bits) in enumerate(segments):
+        mine = of == s
+        rest = [b for b in range(BITS) if not first <= b < first + bits]
+        for i in range(pieces):
+            mask = np.uint64(sum(1 << b for b in rest[len(rest) * i // pieces : len(rest) * (i + 1) // pieces]))
+            out[i, mine] = _mix(keys[mine] + np.uint64(i) ^ _mix(prints[mine] & mask))
+    return out
+
+
 def _hot_variants(prints: DataFrame, segments: list[tuple[int, int]]) -> np.ndarray:
     """Keys of the buckets that may be large, from how often each segment's value occurs.
 
     A bucket has two values of a segment, so one of them has half its members.  Of
-    values with HOT_BUCKET / 2 fingerprints, or a 2000th of all if that is more,
-    there are at most 2000 a segment: bounded, whatever the input.
+    values with HOT_BUCKET / 2 fingerprints there are at most HOT_VALUES a segment, up
+    to a thousand million fingerprints; beyond, the threshold grows to keep that bound.
     """
-    least = max(HOT_BUCKET // 2, prints.count() // 2000)
+    least = max(HOT_BUCKET // 2, prints.count() // HOT_VALUES)
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("print").bitwiseAND(F.lit(_signed((1 << n) - 1 << a))).alias("v")) for i, (a, n) in enumerate(segments)])).alias("c")
     found = prints.select(cells).groupBy("c.i", "c.v").count().filter(F.col("count") >= least).select("i", "v").collect()
     out = [variants(np.array([r["v"]], np.int64).view(np.uint64), [segments[r["i"]]]) for r in found]
@@ -254,6 +261,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+class _Words(dict):
+    """XXH64 of words, held while they are few enough."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return found
+
+
+def shingle_set(text: str | None, words: int, held: _Words) -> np.ndarray:
+    """The distinct hashes, ascending, of a text's shingles; made from the hashes of their words.
+
+    As in `shingles`, A-Z are lower-cased, and a text of fewer words is one shingle.
+    """
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    word = np.fromiter(map(held.__getitem__, found), np.uint64, len(found))
+    words = min(words, len(word))
+    out = np.full(len(word) - words + 1, words, np.uint64)
+    for i in range(words):
+        out = _mix(out) ^ word[i : i + len(out)]
+    return np.unique(_mix(out))
+
+
 def sketch(grams: np.ndarray) -> bytes:
     """How many of a set's hashes fall in each of as many bins as it has, rounded up to a power of two."""
     bins = 1 << max(len(grams) - 1, 0).bit_length()
@@ -271,16 +304,19 @@ def may_reach(x: bytes, y: bytes, sizes: tuple[int, int], least: float) -> bool:
     return both >= least * (sum(sizes) - both)
 
 
-#: For shingles whose similarity decides: the fingerprints that propose first (words
-#: of a shingle), and how far apart they may be.
-PROPOSE_WORDS, PROPOSE_DISTANCE, PROPOSE_SEGMENTS = (2, 3), 12, 7
+#: How far apart fingerprints may be whose texts are proposed first: two segments
+#: do for that, long enough that texts which have nothing in common hardly meet.
+PROPOSE_DISTANCE = 3
 #: Documents whose shingles are counted, one in so many, and how many of the most
 #: frequent are put last.  They decide the cost alone: any order finds all pairs.
 COUNTED_SHARE, COUNTED_LEAST, COMMON_SHINGLES = 16, 4, 500_000
-#: A row for each hash of a prefix: its document, the size of the set, its place, two parities.
-PREFIXES = ("key", "doc_id", "size", "at", "p", "q")
+#: A document in the bucket of a hash of its prefix: its set's size, the hash's place, two parities.
+MEMBER = ("key", "doc_id", "size", "at", "p", "q")
 #: Documents whose ids may be broadcast.
 BROADCAST_IDS = 500_000
+#: Words whose hashes a task holds; cells of a bucket that are compared at once; and
+#: rows of buckets, or pairs, that are handled together.
+HELD_WORDS, CELLS, ROWS = 100_000, 1 << 20, 200_000
 
 
 def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
@@ -306,33 +342,60 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def across(root: np.ndarray, size: np.ndarray, at: np.ndarray, p: np.ndarray, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket's members, of different roots, that could be as similar as `least`.
-
-    Sets that are similar pass in the bucket of the first hash that they share: from
-    there on at most the rest of the smaller is in common.  Each bit in which the
-    parities differ takes a hash that only one of the sets has.
-    """
-    kinds, where, many = np.unique(root, return_inverse=True, return_counts=True)
-    if len(kinds) < 2:
-        return
-    outer = np.flatnonzero(where != many.argmax())
-    rows = max(1, (1 << 21) // len(root))
-    for k in range(0, len(outer), rows):
-        i = outer[k : k + rows, None]
-        ok = (root[i] != root) & (np.minimum(size[i] - at[i], size - at) >= least / (1 + least) * (size[i] + size) - 1e-6) & (np.minimum(size[i], size) >= least * np.maximum(size[i], size) - 1e-6)
-        ok &= np.bitwise_count(p[i] ^ p).astype(np.int16) + np.bitwise_count(q[i] ^ q) <= (1 - least) / (1 + least) * (size[i] + size) + 1e-6
-        x, y = np.nonzero(ok)
-        yield outer[k + x], y
+class Bucket:
+    """The documents that have one hash in their prefixes."""
+
+    def __init__(self, doc: np.ndarray, size: np.ndarray, at: np.ndarray, p: np.ndarray, q: np.ndarray, root: np.ndarray, least: float):
+        self.doc, self.size, self.at, self.p, self.q, self.root, self.least = doc, size, at, p.view(np.uint64), q.view(np.uint64), root, least
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether members i and j, of different roots, could be as similar as `least`.
+
+        Sets that are similar pass in the bucket of the first hash that they share:
+        from there on at most the rest of the smaller is in common.  Each bit in
+        which the parities differ takes a hash that only one of the sets has.
+        """
+        both, share = self.size[i] + self.size[j], self.least / (1 + self.least)
+        ok = (self.root[i] != self.root[j]) & (np.minimum(self.size[i] - self.at[i], self.size[j] - self.at[j]) >= share * both - 1e-6)
+        differ = np.bitwise_count(self.p[i] ^ self.p[j]).astype(np.int16) + np.bitwise_count(self.q[i] ^ self.q[j])
+        return ok & (differ <= (1 - self.least) / (1 + self.least) * both + 1e-6)
+
+    def star(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaders with those that could be similar to them: fewer than there are members.
+
+        The least root leads; who can't be similar to a leader waits for the next one.
+        """
+        left = np.lexsort((self.doc, self.root))
+        while len(left) > 1:
+            lead, left = left[0], left[1:]
+            same = self.root[left] == self.root[lead]
+            ok = self.alike(np.full(len(left), lead), left)
+            yield self.doc[np.full(int(ok.sum()), lead)], self.doc[left[ok]]
+            left = left[~ok & ~same]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs that could be similar, of different roots; blocks of CELLS."""
+        kinds, where, many = np.unique(self.root, return_inverse=True, return_counts=True)
+        # The commonest root's members needn't be held against each other.
+        rank = np.where(where == many.argmax(), len(self.doc), 0) + np.arange(len(self.doc))
+        order, outer = np.argsort(rank), int((where != many.argmax()).sum())
+        rows = max(1, CELLS // len(self.doc))
+        for a in range(0, outer, rows):
+            block, rest = order[a : min(a + rows, outer)], order[a:]
+            ok = self.alike(block[:, None], rest)
+            ok &= np.arange(len(block))[:, None] < np.arange(len(rest))
+            i, j = np.nonzero(ok)
+            yield self.doc[block[i]], self.doc[rest[j]]
 
 
 def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that many documents have, sorted, and their counts in a part of the documents."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Words()
         for b in batches:
             for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t.as_py(), words)).view(np.int64))], ["gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words, held).view(np.int64))], ["gram"])
 
     part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED_SHARE)) == 0).select("text")
     counts = part.mapInArrow(each, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= COUNTED_LEAST)
@@ -342,64 +405,86 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return grams[order], n[order]
 
 
-def shared_prefixes(docs: DataFrame, roots: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b): pairs of docs(doc_id, text), none missing that is as similar as `least`, of different roots.
+def _described(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """For docs(doc_id, text): the set's digest, fingerprint, size, parities and prefix."""
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
 
-    roots: (node, root) as far as documents are joined already; pairs within a root
-    are left out, as their similarity changes nothing.
-    """
-    spark = docs.sparkSession
-    kept = spark.sparkContext.broadcast(_common_shingles(docs, words))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Words()
         for b in batches:
-            held = [np.unique(shingles(t.as_py(), words)) for t in b.column("text")]
-            first = [prefix(g, *kept.value, least) for g in held]
-            many = np.fromiter(map(len, first), np.int64, len(first))
-            keys = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
-            row = np.repeat(np.arange(len(first)), many)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            size = np.fromiter(map(len, held), np.int64, len(held))
-            bits = np.array([parity(g) for g in held], np.uint64).reshape(-1, 2)[row].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("doc_id").take(pa.array(row)), pa.array(size[row]), pa.array(at), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], [*PREFIXES])
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, size, at, p, q, root, starts in _runs(batches):
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in zip(starts[:-1], starts[1:]):
-                for i, j in across(root[x:y], size[x:y], at[x:y], p[x:y].view(np.uint64), q[x:y].view(np.uint64), least):
-                    a.append(doc[x + i])
-                    b.append(doc[x + j])
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            sets = [shingle_set(t.as_py(), words, held) for t in b.column("text")]
+            first = [prefix(g, *common.value, least) for g in sets]
+            bits = np.array([parity(g) for g in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+            keys = pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))
+            digest = pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary())
+            prints = np.fromiter(map(fingerprint, sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), digest, pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.ListArray.from_arrays(ends, keys)], ["doc_id", "digest", "print", "size", "p", "q", "prefix"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(keyed, ", ".join(f"{x} long" for x in PREFIXES))
-    few = roots.count() <= BROADCAST_IDS
-    roots = roots.withColumnRenamed("node", "doc_id")
-    rows = rows.join(F.broadcast(roots) if few else roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    dealt = rows.select(*PREFIXES, "root").repartition(n, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(met, "a long, b long").distinct()
+    return docs.mapInArrow(each, "doc_id long, digest binary, print long, size long, p long, q long, prefix array<long>")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows(doc_id, …) with their root, which is the document itself where roots(node, root) has none."""
+    named = roots.select(F.col("node").alias("doc_id"), "root")
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    return rows.join(named, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+
+def _in_buckets(members: DataFrame, least: float, way: str) -> DataFrame:
+    """What the buckets of members(MEMBER, root) give.
+
+    way 'star': the pairs (a, b) of Bucket.star, and the members of all buckets of
+    two or more, as rows without a and b.  way 'pairs': the pairs of Bucket.pairs.
+    """
+    names = ("a", "b", *MEMBER) if way == "star" else ("a", "b")
 
+    def sent(a: list[np.ndarray], b: list[np.ndarray], rows: np.ndarray | None = None) -> pa.RecordBatch:
+        pairs = np.stack([np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)])
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        if way != "star":
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], [*names])
+        k, n = pairs.shape[1], 0 if rows is None else rows.shape[1]
+        ends = [pa.concat_arrays([pa.array(x), pa.nulls(n, pa.int64())]) for x in pairs]
+        return pa.RecordBatch.from_arrays([*ends, *(pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(rows[i]) if n else pa.nulls(0, pa.int64())]) for i in range(len(MEMBER)))], [*names])
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """From rows sorted by key: doc_id, size, at, the parities and root of the keys with two rows or more, and where each starts."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _runs(batches):
+            a, b, held = [], [], 0
+            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if (rows[-1, x:y] == rows[-1, x]).all():
+                    continue
+                bucket = Bucket(*rows[1:, x:y], least)
+                for i, j in bucket.star() if way == "star" else bucket.pairs():
+                    a.append(i)
+                    b.append(j)
+                    held += len(i)
+                    if held >= ROWS:
+                        yield sent(a, b)
+                        a, b, held = [], [], 0
+            yield sent(a, b, rows[:-1])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select(*MEMBER, "root").repartition(n, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(each, ", ".join(f"{x} long" for x in names))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From rows sorted by key: those of the keys with two rows or more, and where each key starts."""
     held: list[np.ndarray] = []
 
-    def cut(last: bool) -> tuple[np.ndarray, ...]:
+    def cut(last: bool) -> tuple[np.ndarray, np.ndarray]:
         rows = np.concatenate(held, axis=1)
         starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1], [True]]))
         whole = rows.shape[1] if last else int(starts[-2])
         held[:] = [rows[:, whole:]]
         sizes = np.diff(starts[starts <= whole])
-        several = rows[1:, :whole][:, np.repeat(sizes > 1, sizes)]
-        return (*several, np.concatenate([[0], np.cumsum(sizes[sizes > 1])]))
+        return rows[:, :whole][:, np.repeat(sizes > 1, sizes)], np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
 
     for b in batches:
         if b.num_rows:
-            held.append(np.stack([b.column(c).to_numpy() for c in (*PREFIXES, "root")]))
-            if sum(x.shape[1] for x in held) >= 200_000 and held[-1][0, -1] != held[0][0, 0]:
+            held.append(np.stack([b.column(c).to_numpy() for c in (*MEMBER, "root")]))
+            if sum(x.shape[1] for x in held) >= ROWS and held[-1][0, -1] != held[0][0, 0]:
                 yield cut(False)
     if held:
         yield cut(True)
@@ -409,15 +494,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Da
     """Those of the pairs (a, b) of docs(doc_id, text) that are as similar as `least`."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Words()
         for b in batches:
-            grams = [np.unique(shingles(t.as_py(), words)) for t in b.column("text")]
+            grams = [shingle_set(t.as_py(), words, held) for t in b.column("text")]
             parts = [pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(map(len, grams), pa.int64()), pa.array(map(sketch, grams), pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *parts], ["doc_id", "grams", "size", "sketch"])
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b")), strict=True)
-            yield b.select(["a", "b"]).filter(pa.array([may_reach(x, y, (m, n), least) for x, y, m, n in rows], pa.bool_()))
+            rows = zip(*(b.column(c) for c in ("sketch_a", "sketch_b", "size_a", "size_b")), strict=True)
+            yield b.select(["a", "b"]).filter(pa.array([may_reach(x.as_py(), y.as_py(), (m.as_py(), n.as_py()), least) for x, y, m, n in rows], pa.bool_()))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -446,27 +532,21 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     """(node, root): documents of docs(doc_id, text) in groups of similar texts.
 
     Two texts are similar if the Jaccard similarity of their sets of word shingles is
-    `least` or more.  SimHash of shorter shingles joins most similar texts cheaply;
-    then all pairs of different groups that share a hash of their sets' prefixes are
-    compared, so that no link is missed.  Each pair is verified on whole texts.
+    `least` or more.  Three steps, of which each leaves out what the ones before have
+    joined, and each verified on whole texts: SimHash links (PROPOSE_DISTANCE) join
+    the nearest; then, in each bucket of documents that share a hash of their sets'
+    prefixes, a leader is held against the others; then all pairs of a bucket that are
+    still in different groups are compared.  So no link is missed, and a large group
+    takes a pair for each member, not for each two.
+
     root is the least doc_id of a group; documents alone have no row.  Null ids take
     no part; rows that repeat an id count as one document; texts without words are
     one group.
     """
     docs = columns(docs, doc_id="long", text="string").filter("doc_id is not null")
-    names = [f"print{n}" for n in PROPOSE_WORDS]
-
     if docs.groupBy("doc_id").count().filter("count > 1").take(1):
         docs = saved(docs.dropDuplicates(["doc_id"]), "once")
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py() for t in b.column("text")]
-            digest = [xxhash.xxh3_128_digest(np.unique(shingles(t, words)).tobytes()) for t in texts]
-            prints = [np.fromiter((fingerprint(np.unique(shingles(t, n))) for t in texts), np.uint64, len(texts)).view(np.int64) for n in PROPOSE_WORDS]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), *map(pa.array, prints)], ["doc_id", "digest", *names])
-
-    sets = saved(docs.mapInArrow(printed, f"doc_id long, digest binary, {', '.join(f'{x} long' for x in names)}"), "proposing")
+    sets = saved(_described(docs, words, least), "described")
     # Equal sets are one from here on, under their least id.
     equal = saved(sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "equal")
     same = saved(join_unique(sets.select("doc_id", "digest"), equal, "digest", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
@@ -474,22 +554,26 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     gone = F.broadcast(gone) if same.count() <= BROADCAST_IDS else gone
     sets, docs = (x.join(gone, "doc_id", "left_anti") for x in (sets, docs))
 
-    pairs = None
-    for name in names:
-        rows = sets.select("doc_id", F.col(name).alias("print"))
-        least_id = saved(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
-        alike = join_unique(rows, least_id.filter("n > 1"), "print", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        near = links(least_id, PROPOSE_DISTANCE, segments_for(PROPOSE_SEGMENTS))
-        ends = [least_id.select(F.col("print").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
-        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        pairs = alike.unionByName(near) if pairs is None else pairs.unionByName(alike).unionByName(near)
-    pairs = saved(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    joined = _verified(pairs, docs, words, least)
-    rest = saved(shared_prefixes(docs, saved(components(joined), "roots"), words, least), "rest")
+    least_id = saved(sets.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
+    alike = join_unique(sets.select("doc_id", "print"), least_id.filter("n > 1"), "print", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    near = links(least_id, PROPOSE_DISTANCE)
+    for x in "ab":
+        near = near.join(least_id.select(F.col("print").alias(x), F.col("first").alias(f"_{x}")), x)
+    near = alike.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).filter("a <> b")
+    joined = _verified(saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near"), docs, words, least)
+
+    members = sets.select("doc_id", "size", "p", "q", F.posexplode("prefix").alias("at", "key"))
+    stars = saved(_in_buckets(_rooted(members, saved(components(joined), "roots")), least, "star"), "stars")
+    tried = saved(stars.filter("a is not null").select("a", "b").distinct(), "tried")
+    joined = joined.unionByName(_verified(tried, docs, words, least))
+
+    rest = _in_buckets(_rooted(stars.filter("key is not null").select(*MEMBER), saved(components(joined), "roots")), least, "pairs")
+    rest = saved(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     return components(joined.unionByName(_verified(rest, docs, words, least)).unionByName(same))
 
 
 def without_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, without all but the least doc_id of each group."""
-    gone = saved(similar_groups(docs, words, least).filter("node <> root").select(F.col("node").alias("_gone")), "similar")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = saved(similar_groups(docs, words, least).filter("node <> root").select(F.col("node").alias(name)), "similar")
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
