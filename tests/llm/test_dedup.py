@@ -111,14 +111,8 @@ def test_similar_texts_are_grouped_and_others_left(spark):
     assert sorted(r["doc_id"] for r in simhash.without_similar(docs).collect()) == [1, 3, 4]
 
 
-def test_first_shared_variant_and_sketches():
+def test_sketches():
     rng = np.random.default_rng(3)
-    segments = simhash.segments_for(7)
-    x = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    y = x ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
-    ours, theirs = simhash.variants(x, segments), simhash.variants(y, segments)
-    for i, key in enumerate(simhash.first_shared(x, y, segments)):
-        assert key in set(ours[:, i]) & set(theirs[:, i])
     for a, b in ((0, 0), (0, 5), (300, 300), (300, 377), (40, 2000)):
         whole = rng.integers(0, 1 << 63, a + b, dtype=np.uint64)
         s, t = np.unique(whole[:a]), np.unique(whole[a // 10 : b + a // 10])
@@ -127,3 +121,42 @@ def test_first_shared_variant_and_sketches():
         assert simhash.may_reach(simhash.sketch(s), simhash.sketch(t), (len(s), len(t)), least - 1e-9)
     s, t = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64)), np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
     assert not simhash.may_reach(simhash.sketch(s), simhash.sketch(t), (500, 500), 0.8)
+
+
+def test_large_buckets_are_cut_and_no_link_is_lost():
+    """30,000 fingerprints with one segment in common: pieces outside it cut the bucket, and linked ones share one."""
+    rng = np.random.default_rng(1)
+    segments = simhash.segments_for(2)
+    prints = rng.integers(0, 1 << 32, 30_000, dtype=np.uint64) | np.uint64(0xABCD << 40)
+    key = np.full(len(prints), 77, np.uint64)
+    cut = simhash.cut_further(key, prints, np.full(len(prints), 1), segments, 2)
+    assert max(np.unique(k, return_counts=True)[1].max() for k in cut) < len(prints) / 200
+    other = prints.copy()
+    for _ in range(2):
+        other ^= np.uint64(1) << rng.integers(0, 32, len(prints)).astype(np.uint64)
+    assert (cut == simhash.cut_further(key, other, np.full(len(prints), 1), segments, 2)).any(axis=0).all()
+
+
+def test_shingle_sets_are_those_of_shingles():
+    held = simhash._Words()
+    texts = ["a b c d e f g", "A b c d e F g ", "x", "", None, "a b c d e a b c d e a b c d e", "é ü a b c d"]
+    slow = [frozenset(simhash.shingles(t, 5).tolist()) for t in texts]
+    fast = [frozenset(simhash.shingle_set(t, 5, held).tolist()) for t in texts]
+    assert [[x == y for y in slow] for x in slow] == [[x == y for y in fast] for x in fast]
+    assert [[len(x & y) for y in slow] for x in slow] == [[len(x & y) for y in fast] for x in fast]
+
+
+def test_a_group_of_variants_takes_a_pair_a_member(spark):
+    """400 variants of one text: leaders' pairs join them, so that hardly any are left for all pairs."""
+    rng = np.random.default_rng(8)
+    base, docs = [f"w{i}" for i in range(200)], []
+    for i in range(400):
+        text = base.copy()
+        for k in rng.integers(0, 200, 3):
+            text[k] = f"v{i}_{k}"
+        docs.append((i, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = simhash._described(df, 5, 0.8)
+    members = sets.selectExpr("doc_id", "size", "p", "q", "posexplode(prefix) AS (at, key)").selectExpr("*", "doc_id AS root")
+    assert 0 < simhash._in_buckets(members, 0.8, "star").filter("a is not null").select("a", "b").distinct().count() < 20 * 400
+    assert {r["root"] for r in simhash.similar_groups(df).collect()} == {0}

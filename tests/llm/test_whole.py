@@ -47,6 +47,7 @@ def test_all_pairs_of_many_variants_are_found(spark):
 
 def test_nothing_depends_on_the_links_of_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(simhash.Bucket, "star", lambda _: iter(()))
     docs = boilerplate()
     assert found(spark, docs) == slow_groups(docs)
 
@@ -66,7 +67,9 @@ def test_prefixes_of_similar_sets_meet(seed):
             first = next(g for g in p if g in set(q.tolist()))
             at = np.array([list(p).index(first), list(q).index(first)])
             bits = np.array([simhash.parity(x), simhash.parity(y)])
-            assert list(simhash.across(np.array([1, 2]), np.array([len(x), len(y)]), at, bits[:, 0], bits[:, 1], 0.8))[0][0].size
+            bucket = simhash.Bucket(np.array([1, 2]), np.array([len(x), len(y)]), at, bits[:, 0].copy(), bits[:, 1].copy(), np.array([1, 2]), 0.8)
+            assert [(i.tolist(), j.tolist()) for i, j in bucket.pairs()] in ([([1], [2])], [([2], [1])])
+            assert [(i.tolist(), j.tolist()) for i, j in bucket.star() if len(i)] == [([1], [2])]
 
 
 def test_repeats_hide_no_similar_text(spark):
