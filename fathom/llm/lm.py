@@ -184,19 +184,30 @@ class Model:
         sym, target: (steps, lanes); keep: 0 where a document begins, so that the
         state does; learn: 1 for targets that count, None for no gradient.
         """
-        p, H = self.p, HIDDEN
+        p, H, half = self.p, HIDDEN, np.float32(0.5)
         table = p["embed"] @ p["into"] + p["bias"]
         steps, lanes = sym.shape
         hs = np.empty((steps + 1, lanes, H), np.float32)
-        gates = np.empty((steps, lanes, 4 * H), np.float32)  # r, z, n and the state's part of n
+        # Gates by step: r and z, the state's part of n, n, and the state that they began from.
+        # A sigmoid is half a hyperbolic tangent of half its argument, plus a half.
+        rz, own, n, start = np.empty((steps, lanes, 2 * H), np.float32), *(np.empty((steps, lanes, H), np.float32) for _ in range(3))
+        two, one = table[:, : 2 * H] * half, table[:, 2 * H :]
+        around_two, around_one = p["around"][:, : 2 * H] * half, np.ascontiguousarray(p["around"][:, 2 * H :])
         hs[0] = h
         for t in range(steps):
-            before = hs[t] * keep[t][:, None]
-            x, g = table[sym[t]], before @ p["around"]
-            rz = np.tanh((x[:, : 2 * H] + g[:, : 2 * H]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-            n = np.tanh(x[:, 2 * H :] + rz[:, :H] * g[:, 2 * H :])
-            hs[t + 1] = n + rz[:, H:] * (before - n)
-            gates[t, :, : 2 * H], gates[t, :, 2 * H : 3 * H], gates[t, :, 3 * H :] = rz, n, g[:, 2 * H :]
+            before, gate = np.multiply(hs[t], keep[t][:, None], out=start[t]), rz[t]
+            np.matmul(before, around_two, out=gate)
+            gate += two[sym[t]]
+            np.tanh(gate, out=gate)
+            gate *= half
+            gate += half
+            np.matmul(before, around_one, out=own[t])
+            new = np.multiply(gate[:, :H], own[t], out=n[t])
+            new += one[sym[t]]
+            np.tanh(new, out=new)
+            after = np.subtract(before, new, out=hs[t + 1])
+            after *= gate[:, H:]
+            after += new
         out = hs[1:].reshape(-1, H)
         y = target.ravel()
         of = np.where(y < VOCABULARY, y // CLASS, y - VOCABULARY + VOCABULARY // CLASS).astype(np.int16)
@@ -235,17 +246,22 @@ class Model:
         if grad is None:
             return logp.reshape(sym.shape), hs[-1], None
         dout, dx, dh = dout.reshape(steps, lanes, H), np.empty((steps, lanes, 3 * H), np.float32), np.zeros((lanes, H), np.float32)
+        # What a step multiplies by is known for all steps beforehand.
+        r, z = rz[:, :, :H], rz[:, :, H:]
+        by_n, by_r, by_z = (1 - z) * (1 - n * n), own * r * (1 - r), (start - n) * z * (1 - z)
+        dg, back = np.empty((steps, lanes, 3 * H), np.float32), np.ascontiguousarray(p["around"].T)
         for t in range(steps - 1, -1, -1):
             dh += dout[t]
-            before = hs[t] * keep[t][:, None]
-            r, z, n, g = (gates[t, :, i * H : (i + 1) * H] for i in range(4))
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * g * r * (1 - r)
-            dz = dh * (before - n) * z * (1 - z)
-            dx[t] = np.concatenate([dr, dz, dn], axis=1)
-            dg = np.concatenate([dr, dz, dn * r], axis=1)
-            grad.p["around"] += before.T @ dg
-            dh = (dh * z + dg @ p["around"].T) * keep[t][:, None]
+            dn = dh * by_n[t]
+            np.multiply(dn, by_r[t], out=dg[t, :, :H])
+            np.multiply(dh, by_z[t], out=dg[t, :, H : 2 * H])
+            np.multiply(dn, r[t], out=dg[t, :, 2 * H :])
+            dx[t, :, 2 * H :] = dn
+            dh *= z[t]
+            dh += dg[t] @ back
+            dh *= keep[t][:, None]
+        dx[:, :, : 2 * H] = dg[:, :, : 2 * H]
+        grad.p["around"][:] = start.reshape(-1, H).T @ dg.reshape(-1, 3 * H)
         flat, s = dx.reshape(-1, 3 * H), sym.ravel().astype(np.int16)
         order = np.argsort(s, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], s[order][1:] != s[order][:-1]]))
