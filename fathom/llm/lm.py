@@ -5,9 +5,10 @@ symbols of their own and every other word as one of a few tail symbols, by its
 ending.  Its output is factored: first a class, then the word within the class; a
 tail class hands over to the counts of its words.  So every word, seen or not, has a
 probability.  Training is truncated backpropagation in numpy: from a common start
-each task makes one pass over its own training documents, and the parameters are
-averaged by tokens (local SGD).  The state is carried across windows from a
-document's first word to its end, in training and in scoring.
+each task makes one pass over a fold of the training documents, and the parameters
+are averaged by tokens (local SGD).  Folds and their order follow from hashes, so the
+model doesn't depend on how files are split.  The state is carried across windows
+from a document's first word to its end, in training and in scoring.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MOST_LOGIT = np.float32(60)
 #: Tokens that a step of training is made from, at least: the windows in which only
 #: a few long documents are left don't each make one.
 STEP_TOKENS = 4096
+#: Tokens of a fold, about; beyond so many folds their number grows with the root alone.
+FOLD_TOKENS, MANY_FOLDS = 1 << 21, 4096
 #: Documents of the common start.
 WARM_DOCS, WARM_PASSES = 400, 3
 #: Distinct words that a counting task holds before it hands them on.
@@ -356,7 +359,10 @@ def train(docs: DataFrame, held: Vocabulary) -> np.ndarray:
                 seen += n
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen])], ["flat", "seen"])
 
-    local = saved(docs.select("text").mapInArrow(each, "flat binary, seen long"), "local")
+    folds = -(-held.total // FOLD_TOKENS) or 1
+    folds = min(folds, max(MANY_FOLDS, int((MANY_FOLDS * folds) ** 0.5)))
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).repartitionById(folds, F.pmod("h", F.lit(folds)).cast("int")).sortWithinPartitions("h", "text")
+    local = saved(dealt.select("text").mapInArrow(each, "flat binary, seen long"), "local")
     sums = local.repartition(16).mapInArrow(added, "flat binary, seen long").filter("seen > 0").collect()  # a row for each of 16 tasks
     if not sums:
         return model.flat
@@ -367,7 +373,7 @@ SCORED = "uid long, doc_id long, n_tokens long, n_known long, counted double, mo
 
 
 def score(docs: DataFrame, training: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Log-probabilities (base ten) of docs(doc_id, text), learned from training(text).
+    """Log-probabilities (base ten) of docs(doc_id, text), learned from training(doc_id, text).
 
     Result: doc_id, n_tokens (words and the end), n_known (those in training),
     train_tokens, base_score (by smoothed counts alone), score (by the model).
@@ -377,7 +383,7 @@ def score(docs: DataFrame, training: DataFrame, counts: DataFrame | None = None)
     scored; repeated rows and null ids are passed through; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    training = columns(training, text="string").select(F.coalesce("text", F.lit("")).alias("text"))
+    training = columns(training, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counts = saved(word_counts(training), "counts") if counts is None else counts
     counts = counts.filter("n > 0")
     held = vocabulary(counts)
