@@ -167,3 +167,11 @@ def test_op10_gradient_by_differences(model):
             up[i] += 1e-4
             down[i] -= 1e-4
             assert math.isclose(grad[i], (loss(up) - loss(down)) / 2e-4, rel_tol=0.03, abs_tol=2e-5), name
+
+
+def test_op10_does_not_depend_on_files(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FOLD_TOKENS", 10_000)  # several folds of the smallest table
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    scores = [{r["doc_id"]: r["score"] for r in lm.score(df, df).collect()} for df in (docs.repartition(3), docs.orderBy("text").coalesce(1))]
+    assert scores[0].keys() == scores[1].keys()
+    assert all(math.isclose(v, scores[1][k], rel_tol=1e-5) for k, v in scores[0].items())
