@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,9 +42,38 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fathom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The folders that `saved` wrote within the innermost `only_result` that this thread runs.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def only_result(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows, written down; the tables that were saved on the way are deleted then.
+
+    The result needs none of them once it is written, so later stages find the shared
+    folder as empty as it can be.
+    """
+    outer = _written.set([])
+    try:
+        found = make()
+        spark = found.sparkSession
+        path = f"{shared_folder(spark)}/fathom-{name}-{uuid.uuid4().hex}"
+        found.write.parquet(path)
+    finally:
+        folders = _written.get()
+        _written.reset(outer)
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if (written := _written.get()) is not None:
+        written.append(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; a column that df lacks is null.
 

@@ -191,11 +191,13 @@ def without_copies(docs: DataFrame) -> DataFrame:
     old, new = halves(columns(docs, doc_id="long", text="string"))
     _id, _sha, kept, times = fresh(docs, "id", "sha", "kept", "times")
     report = exact_dedup(new, old).select(F.col("doc_id").alias(_id), F.col("text_sha256").alias(_sha), F.col("kept").alias(kept))
-    report = saved(report.groupBy(_id, _sha, kept).agg(F.count("*").alias(times)), "report")
+    report = saved(report.groupBy(_id, _sha, kept).agg(F.count("*").alias(times)).filter(~F.col(kept) | (F.col(times) > 1)), "report")
+    # Tables of their own, so that Spark sees how small they are, where they are, and sends them to all.
+    dropped = saved(report.filter(~F.col(kept)).select(_id, _sha), "dropped")
+    again = saved(report.filter(kept).select(_id, _sha), "repeated")
     text, doc_id = (docs[c] if c in docs.columns else F.lit(None) for c in ("text", "doc_id"))
     same = doc_id.cast("long").eqNullSafe(F.col(_id)) & (F.sha2(normalised(text.cast("string")), 256) == F.col(_sha))
-    out = docs.join(report.filter(~F.col(kept)).select(_id, _sha), same, "left_anti")
-    again = report.filter(F.col(kept) & (F.col(times) > 1)).select(_id, _sha)
+    out = docs.join(dropped, same, "left_anti")
     if not again.take(1):
         return out
     several = out.join(again, same, "left_semi")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, fresh, join_unique, saved
+from .common import columns, components, fresh, join_unique, only_result, saved
 
 BITS = 64
 #: Buckets that may have more fingerprints are cut further, a key for each of a
@@ -575,5 +575,5 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
 def without_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, without all but the least doc_id of each group."""
     (name,) = fresh(docs, "gone")
-    gone = saved(similar_groups(docs, words, least).filter("node <> root").select(F.col("node").alias(name)), "similar")
+    gone = only_result(lambda: similar_groups(docs, words, least).filter("node <> root").select(F.col("node").alias(name)), "similar")
     return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
