@@ -9,8 +9,11 @@ are then compared by their bytes, so equal digests never decide alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from .common import columns, fresh, join_unique, saved, whole_rows
 
 #: Distinct digests in a shard, which is built and probed by one task.
 SHARD_KEYS = 100_000
+#: A screen has so many shards at least, so that a small one isn't built by one task.
+SCREEN_SHARDS = 32
 #: Groups of two or more whose keys may be broadcast for the byte check.
 BROADCAST_GROUPS = 500_000
 
@@ -95,6 +100,42 @@ def _screened(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
+def screen(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Which longs may be among keys(key long): all that are, and one in 256 of the others.
+
+    Its filters are broadcast, 1.13 bytes a key (more where they are few), so rows of
+    texts that have none of the keys needn't be shuffled to find that out.
+    """
+    spark = keys.sparkSession
+    keys = saved(keys.select("key").distinct(), "screen")
+    shards = max(SCREEN_SHARDS, -(-keys.count() // SHARD_KEYS))
+    rows = keys.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_filter_of, FILTER).collect()
+    held = spark.sparkContext.broadcast({r["shard"]: (r["seed"], r["segment"], r["segments"], bytes(r["prints"])) for r in rows})
+
+    def maybe(key: np.ndarray) -> np.ndarray:
+        found, shard = np.zeros(len(key), bool), key % shards
+        for s in np.unique(shard).tolist():
+            if s in held.value:
+                mine = np.flatnonzero(shard == s)
+                found[mine] = probe(key[mine].view(np.uint64), *held.value[s])
+        return found
+
+    return maybe
+
+
+def by_id(docs: DataFrame, ids: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose doc_id may be among ids(name), a null too, and all other rows."""
+    maybe = screen(ids.select(F.xxhash64(name).alias("key")))
+
+    @F.arrow_udf("boolean")
+    def each(key: pa.Array) -> pa.Array:
+        return pa.array(maybe(key.to_numpy(zero_copy_only=False)), pa.bool_())
+
+    doc_id = docs["doc_id"] if "doc_id" in docs.columns else F.lit(None)
+    listed = each(F.xxhash64(doc_id.cast("long")))
+    return docs.filter(listed), docs.filter(~listed)
+
+
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
@@ -195,11 +236,13 @@ def without_copies(docs: DataFrame) -> DataFrame:
     # Tables of their own, so that Spark sees how small they are, where they are, and sends them to all.
     dropped = saved(report.filter(~F.col(kept)).select(_id, _sha), "dropped")
     again = saved(report.filter(kept).select(_id, _sha), "repeated")
+    # Only rows whose id may be in one of them are joined: whole texts of the others stay where they are.
+    docs, others = by_id(docs, report, _id)
     text, doc_id = (docs[c] if c in docs.columns else F.lit(None) for c in ("text", "doc_id"))
     same = doc_id.cast("long").eqNullSafe(F.col(_id)) & (F.sha2(normalised(text.cast("string")), 256) == F.col(_sha))
     out = docs.join(dropped, same, "left_anti")
     if not again.take(1):
-        return out
+        return others.unionByName(out)
     several = out.join(again, same, "left_semi")
     once = several.select(whole_rows(several).alias("row"), doc_id.alias("id"), F.sha2(normalised(text.cast("string")), 256).alias("sha")).dropDuplicates(["id", "sha"])
-    return out.join(again, same, "left_anti").unionByName(once.select("row.*"))
+    return others.unionByName(out.join(again, same, "left_anti")).unionByName(once.select("row.*"))

@@ -9,7 +9,7 @@ distance is verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, fresh, join_unique, only_result, saved
+from .common import HOT_ROWS, columns, components, fresh, join_unique, only_result, saved
+from .exact import by_id, screen
 
 BITS = 64
 #: Buckets that may have more fingerprints are cut further, a key for each of a
@@ -317,6 +318,8 @@ BROADCAST_IDS = 500_000
 #: Words whose hashes a task holds; cells of a bucket that are compared at once; and
 #: rows of buckets, or pairs, that are handled together.
 HELD_WORDS, CELLS, ROWS = 100_000, 1 << 20, 200_000
+#: Texts whose sets a task holds at once, as numbers and as what it sends back.
+HELD_SETS = 1000
 
 
 def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
@@ -405,21 +408,30 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return grams[order], n[order]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, HELD_SETS):
+            yield b.slice(at, HELD_SETS)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
 def _described(docs: DataFrame, words: int, least: float) -> DataFrame:
     """For docs(doc_id, text): the set's digest, fingerprint, size, parities and prefix."""
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Words()
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingle_set(t.as_py(), words, held) for t in b.column("text")]
             first = [prefix(g, *common.value, least) for g in sets]
             bits = np.array([parity(g) for g in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
-            keys = pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))
             digest = pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary())
             prints = np.fromiter(map(fingerprint, sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), digest, pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.ListArray.from_arrays(ends, keys)], ["doc_id", "digest", "print", "size", "p", "q", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), digest, pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), _lists(first)], ["doc_id", "digest", "print", "size", "p", "q", "prefix"])
 
     return docs.mapInArrow(each, "doc_id long, digest binary, print long, size long, p long, q long, prefix array<long>")
 
@@ -490,42 +502,53 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield cut(True)
 
 
+def _sets(docs: DataFrame, words: int, ids: DataFrame, made: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """doc_id and what made gives of their sets, for the documents of ids(key) and a few that no one asked for.
+
+    The texts are screened where they are, so none is shuffled, whatever the number of ids.
+    """
+    wanted, names = screen(ids), [x.split()[0] for x in schema.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Words()
+        for b in _slices(x.filter(pa.array(wanted(x.column("doc_id").to_numpy()))) for x in batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made([shingle_set(t.as_py(), words, held) for t in b.column("text")])], names)
+
+    return docs.mapInArrow(each, schema)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) of docs(doc_id, text) that are as similar as `least`."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Words()
-        for b in batches:
-            grams = [shingle_set(t.as_py(), words, held) for t in b.column("text")]
-            parts = [pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(map(len, grams), pa.int64()), pa.array(map(sketch, grams), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *parts], ["doc_id", "grams", "size", "sketch"])
+    def sketched(grams: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array(map(len, grams), pa.int64()), pa.array(map(sketch, grams), pa.binary())]
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(b.column(c) for c in ("sketch_a", "sketch_b", "size_a", "size_b")), strict=True)
             yield b.select(["a", "b"]).filter(pa.array([may_reach(x.as_py(), y.as_py(), (m.as_py(), n.as_py()), least) for x, y, m, n in rows], pa.bool_()))
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both >= least * (len(x) + len(y) - both)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
-
-    asked = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "asked")
-    ids = asked.select("doc_id")
-    texts = docs.join(F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = saved(texts.mapInArrow(hashed, "doc_id long, grams binary, size long, sketch binary").join(asked, "doc_id"), "sets")
-    # Sets travel only where the much smaller sketches allow that similarity.
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+
+    asked = saved(ends(pairs).groupBy("key").agg(F.count("*").alias("n")), "asked")
+    # join_unique only needs the counts of ids that may be hot: all others go as one.
+    often = F.broadcast(asked.filter(F.col("n") > HOT_ROWS).withColumnRenamed("key", "doc_id"))
+
+    def counted(sets: DataFrame, name: str) -> DataFrame:
+        return saved(sets.join(often, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(1))), name)
+
+    # Sets are made, and travel, only where the much smaller sketches allow that similarity.
+    sketches = counted(_sets(docs, words, asked.select("key"), sketched, "doc_id long, size long, sketch binary"), "sketches")
     for x in "ab":
-        side = sets.select(F.col("doc_id").alias(x), "n", F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        side = sketches.select(F.col("doc_id").alias(x), "n", F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         pairs = join_unique(pairs, side, x, "n", [f"size_{x}", f"sketch_{x}"]).drop("n")
     pairs = saved(pairs.mapInArrow(hopeful, "a long, b long"), "alike")
+    sets = counted(_sets(docs, words, ends(pairs), lambda grams: [_lists(grams)], "doc_id long, grams array<long>"), "sets")
     first = join_unique(pairs, sets.select(F.col("doc_id").alias("a"), "n", F.col("grams").alias("x")), "a", "n", ["x"]).select("a", "b", "x")
-    both = join_unique(first, sets.select(F.col("doc_id").alias("b"), "n", F.col("grams").alias("y")), "b", "n", ["y"]).select("a", "b", "x", "y")
-    return saved(both.mapInArrow(compared, "a long, b long"), "similar")
+    both = join_unique(first, sets.select(F.col("doc_id").alias("b"), "n", F.col("grams").alias("y")), "b", "n", ["y"])
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
+    return saved(both.filter(F.col("both") >= F.lit(least) * (F.col("all") - F.col("both"))).select("a", "b"), "similar")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -552,7 +575,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     same = saved(join_unique(sets.select("doc_id", "digest"), equal, "digest", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
     gone = same.filter("a <> b").select(F.col("b").alias("doc_id"))
     gone = F.broadcast(gone) if same.count() <= BROADCAST_IDS else gone
-    sets, docs = (x.join(gone, "doc_id", "left_anti") for x in (sets, docs))
+    sets = sets.join(gone, "doc_id", "left_anti")
 
     least_id = saved(sets.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
     alike = join_unique(sets.select("doc_id", "print"), least_id.filter("n > 1"), "print", "n", ["first"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
@@ -562,8 +585,9 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     near = alike.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).filter("a <> b")
     joined = _verified(saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near"), docs, words, least)
 
-    members = sets.select("doc_id", "size", "p", "q", F.posexplode("prefix").alias("at", "key"))
-    stars = saved(_in_buckets(_rooted(members, saved(components(joined), "roots")), least, "star"), "stars")
+    rooted = _rooted(sets.drop("digest", "print"), saved(components(joined), "roots"))
+    members = rooted.select("doc_id", "root", "size", "p", "q", F.posexplode("prefix").alias("at", "key"))
+    stars = saved(_in_buckets(members, least, "star"), "stars")
     tried = saved(stars.filter("a is not null").select("a", "b").distinct(), "tried")
     joined = joined.unionByName(_verified(tried, docs, words, least))
 
@@ -576,4 +600,5 @@ def without_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     """The rows of docs, all columns, without all but the least doc_id of each group."""
     (name,) = fresh(docs, "gone")
     gone = only_result(lambda: similar_groups(docs, words, least).filter("node <> root").select(F.col("node").alias(name)), "similar")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    docs, others = by_id(docs, gone, name)
+    return others.unionByName(docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti"))

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -160,3 +161,48 @@ def test_a_group_of_variants_takes_a_pair_a_member(spark):
     members = sets.selectExpr("doc_id", "size", "p", "q", "posexplode(prefix) AS (at, key)").selectExpr("*", "doc_id AS root")
     assert 0 < simhash._in_buckets(members, 0.8, "star").filter("a is not null").select("a", "b").distinct().count() < 20 * 400
     assert {r["root"] for r in simhash.similar_groups(df).collect()} == {0}
+
+
+def test_screens_miss_no_key_and_few_others(spark):
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5000):
+        keys = rng.integers(-(2**63), 2**63, n)
+        maybe = exact.screen(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+        assert maybe(keys).all() and maybe(rng.integers(-(2**63), 2**63, 20_000)).mean() < 0.01
+
+
+def shuffled(spark, run):
+    """Bytes that run() shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+
+    def so_far():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = so_far()
+    run()
+    return sum(n for stage, n in so_far().items() if stage not in before)
+
+
+def test_whole_texts_are_not_shuffled(spark):
+    """Where nothing is small enough for Spark to send it to all tasks, as on large tables."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{w:08x}" for w in rng.integers(0, 2**32, 2000)) for _ in range(200)]
+    docs = simhash.saved(spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:4])], "doc_id long, text string"), "long")
+    once = docs.filter("doc_id < 200")
+    pairs = simhash.saved(spark.createDataFrame([(i, i + 1) for i in range(199)], "a long, b long"), "pairs")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, lambda: exact.without_copies(docs).write.format("noop").mode("overwrite").save()) < sum(map(len, texts)) / 4
+        assert shuffled(spark, lambda: simhash._verified(pairs, once, 5, 0.8)) < sum(map(len, texts)) / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted(r["doc_id"] for r in exact.without_copies(docs).select("doc_id").collect()) == list(range(200))
+
+
+def test_sets_are_made_of_few_texts_at_once():
+    parts = list(simhash._slices(iter([pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 2500, 3)])))
+    assert max(p.num_rows for p in parts) <= simhash.HELD_SETS and [x for p in parts for x in p.column("x").to_pylist()] == [*range(2500), *range(3)]
