@@ -10,11 +10,13 @@ worked out once for each cell and multiplied by its tally.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +48,7 @@ def words(text: bytes) -> Iterator[list[bytes]]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, count, docs) of docs(text, lang, source), written down; null counts as ''.
 
-    Each pair of lang and source also has a row without a term.  A task adds up what it
-    reads and hands on its sums whenever it holds HELD words.
+    A task adds up what it reads and hands on its sums whenever it holds HELD words.
     """
     rows = columns(docs, text="string", lang="string", source="string")
     rows = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -58,9 +59,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def sums() -> Iterator[pa.RecordBatch]:
             for (lang, source), (count, docs_) in held.items():
-                n = len(count) + 1
-                keys = list(count)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([None, *keys], pa.binary()).cast(pa.string()), pa.array([0, *count.values()], pa.int64()), pa.array([0, *(docs_[k] for k in keys)], pa.int64())], ["lang", "source", "term", "count", "docs"])
+                n, keys = len(count), list(count)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(count.values(), pa.int64()), pa.array([docs_[k] for k in keys], pa.int64())], ["lang", "source", "term", "count", "docs"])
 
         for b in batches:
             langs, sources, texts = (b.column(c) for c in ("lang", "source", "text"))
@@ -79,6 +79,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield from sums()
 
     found = rows.mapInArrow(each, "lang string, source string, term string, count long, docs long")
+    # Sums of a task hold each word once, so adding them up again before the shuffle would only cost.
+    found = found.repartition("lang", "term")
     return saved(found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "words")
 
 
@@ -89,6 +91,22 @@ def share(count: Column, total: Column, kept: Column) -> Column:
     return F.when(kept > 0, F.call_function("div", up, down) + 1)
 
 
+def counted_cells(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of rows of whole numbers from 0 on, and how often each occurs."""
+    spans = [int(r.max(initial=0)) + 1 for r in rows]
+    if math.prod(spans) < 1 << 62:
+        key = np.zeros(rows.shape[1], np.int64)
+        for r, span in zip(rows, spans, strict=True):
+            key = key * span + r
+        key, n = np.unique(key, return_counts=True)
+        cells = []
+        for span in reversed(spans):
+            key, last = np.divmod(key, span)
+            cells.append(last)
+        return np.stack(cells[::-1]), n
+    return np.unique(rows, axis=1, return_counts=True)
+
+
 def _tallied(terms: DataFrame) -> DataFrame:
     """(lang, a, b, x, y, n): for sources a < b, by number, how many words occur x > 0 times in a and y > 0 times in b.
 
@@ -101,20 +119,29 @@ def _tallied(terms: DataFrame) -> DataFrame:
 
         def tally() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                cells, n = np.unique(np.concatenate(parts, axis=1), axis=1, return_counts=True)
+                cells, n = counted_cells(np.concatenate(parts, axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *(pa.array(c, pa.int64()) for c in cells), pa.array(n, pa.int64())], ["lang", "a", "b", "x", "y", "n"])
 
         for batch in batches:
-            for lang, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "ids", "counts")), strict=True):
-                ids, counts = np.asarray(ids, np.int64), np.asarray(counts, np.int64)
-                for i in range(len(ids) - 1):
-                    m = len(ids) - 1 - i
-                    held[lang].append(np.stack([np.full(m, ids[i]), ids[i + 1 :], np.full(m, counts[i]), counts[i + 1 :]]))
-                    size += m
-                    if size >= PAIRS:
-                        yield from tally()
-                        held.clear()
-                        size = 0
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            ids, counts = (batch.column(c) for c in ("ids", "counts"))
+            sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+            flat_ids, flat_counts = (c.flatten().to_numpy() for c in (ids, counts))
+            starts = np.cumsum(sizes) - sizes
+            for m in np.unique(sizes[sizes > 1]).tolist():
+                i, j = np.triu_indices(m, 1)
+                rows = max(1, PAIRS // len(i))
+                for lang in dict.fromkeys(langs[sizes == m]):
+                    mine = np.flatnonzero((sizes == m) & (langs == lang))
+                    for a in range(0, len(mine), rows):
+                        at = starts[mine[a : a + rows], None] + np.arange(m)
+                        those, many = flat_ids[at], flat_counts[at]
+                        held[lang].append(np.stack([x.ravel() for x in (those[:, i], those[:, j], many[:, i], many[:, j])]))
+                        size += held[lang][-1].shape[1]
+                        if size >= PAIRS:
+                            yield from tally()
+                            held.clear()
+                            size = 0
         yield from tally()
 
     found = terms.mapInArrow(each, "lang string, a long, b long, x long, y long, n long")
@@ -135,12 +162,13 @@ def divergence(docs: DataFrame) -> DataFrame:
     has pairs of value 0.  Texts may be of any length; an empty table gives no rows.
     """
     counted = word_counts(docs)
-    kept = counted.filter("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all")).filter(F.col("docs") >= LEAST_DOCS)
+    kept = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all")).filter(F.col("docs") >= LEAST_DOCS)
     kept = saved(kept.select("lang", "term", "all"), "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_total"))
     seen = saved(counted.select("lang", "source", "term", "count").join(kept, ["lang", "term"]), "seen")
     totals = seen.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("distinct"))
-    groups = counted.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    every = columns(docs, lang="string", source="string").select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    groups = every.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     zero = {c: 0 for c in ("total", "distinct", "v", "lang_total")}
     numbered = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long").alias("id")
     groups = saved(groups.na.fill(zero).select("*", numbered), "groups")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import product
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -136,6 +137,13 @@ def test_divergence_of_odd_rows(spark, odd, none, monkeypatch):
     assert got(divergence.divergence(twice)) == slow_divergence([(r["text"], None, r["source"]) for r in twice.collect()], 2)
 
 
+def test_cells_of_large_counts():
+    rows = np.array([[0, 0, 3], [1, 1, 5], [2**40, 2**40, 1], [2**40, 2**40, 2]])
+    for many in (rows, rows % 1000):
+        cells, n = divergence.counted_cells(many)
+        assert sorted(zip(*cells.tolist(), n.tolist(), strict=True)) == sorted((*c, m) for c, m in Counter(map(tuple, many.T.tolist())).items())
+
+
 def test_words_of_pieces(monkeypatch):
     text = "Ab éÀ\x00c1d " * 40 + "Äx"
     whole = [w for some in divergence.words(text.encode()) for w in some]
