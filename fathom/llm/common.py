@@ -33,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A name that nothing has yet in the shared folder, for a table or more."""
+    path = f"{shared_folder(spark)}/fathom-{name}-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -40,10 +48,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     at most the tasks that it was running.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fathom-{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
-    if (written := _written.get()) is not None:
-        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,31 +1,40 @@
 """Exact deduplication with static binary-fuse filters.
 
-An immutable snapshot keeps one bucket for each digest and, sharded by digest, a
-binary-fuse filter (Graf and Lemire, 2022) of about 1.13 bytes a digest.  A new
-batch is first grouped by itself; its distinct digests are screened by the filters,
-and only positives join the snapshot's buckets.  Texts of all groups of two or more
-are then compared by their bytes, so equal digests never decide alone.
+A snapshot is a folder of immutable layers.  A layer keeps the texts that it took in,
+normalised, a bucket for each of their digests and, sharded by digest, a binary-fuse
+filter (Graf and Lemire, 2022) of about 1.13 bytes a digest.  A new batch is first
+grouped by itself; its distinct digests are screened by the filters, and only
+positives join the layers' buckets.  Texts of all groups of two or more are then
+compared by their bytes, so equal digests never decide alone.  The texts that a
+snapshot was made of are not needed again, and a batch becomes a further layer.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, join_unique, saved, whole_rows
+from .common import columns, fresh, fresh_folder, join_unique, saved, whole_rows
 
 #: Distinct digests in a shard, which is built and probed by one task.
 SHARD_KEYS = 100_000
 #: A screen has so many shards at least, so that a small one isn't built by one task.
 SCREEN_SHARDS = 32
+#: Bytes of filters that are broadcast; more ids than that are joined by a shuffle.
+SCREEN_BYTES = 256 << 20
 #: Groups of two or more whose keys may be broadcast for the byte check.
 BROADCAST_GROUPS = 500_000
 
+ROWS = "doc_id long, digest string, points int, norm string"
+BUCKETS = "digest string, n long, best struct<points:int,anonymous:boolean,doc_id:long>"
 FILTER = "shard int, seed long, segment int, segments int, prints binary"
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -100,15 +109,19 @@ def _screened(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def screen(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+def screen(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray] | None:
     """Which longs may be among keys(key long): all that are, and one in 256 of the others.
 
     Its filters are broadcast, 1.13 bytes a key (more where they are few), so rows of
-    texts that have none of the keys needn't be shuffled to find that out.
+    texts that have none of the keys needn't be shuffled to find that out.  None: they
+    would take more than SCREEN_BYTES, so the caller has to join.
     """
     spark = keys.sparkSession
     keys = saved(keys.select("key").distinct(), "screen")
-    shards = max(SCREEN_SHARDS, -(-keys.count() // SHARD_KEYS))
+    n = keys.count()
+    if n * 1.2 > SCREEN_BYTES:
+        return None
+    shards = max(SCREEN_SHARDS, -(-n // SHARD_KEYS))
     rows = keys.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_filter_of, FILTER).collect()
     held = spark.sparkContext.broadcast({r["shard"]: (r["seed"], r["segment"], r["segments"], bytes(r["prints"])) for r in rows})
 
@@ -124,8 +137,13 @@ def screen(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def by_id(docs: DataFrame, ids: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs whose doc_id may be among ids(name), a null too, and all other rows."""
+    """The rows of docs whose doc_id may be among ids(name), a null too, and all other rows.
+
+    Where the ids are too many for a screen, any row's may be.
+    """
     maybe = screen(ids.select(F.xxhash64(name).alias("key")))
+    if maybe is None:
+        return docs, docs.limit(0)
 
     @F.arrow_udf("boolean")
     def each(key: pa.Array) -> pa.Array:
@@ -140,63 +158,117 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def _grouped(digests: DataFrame) -> DataFrame:
-    """One row for each digest: how many rows, and the one that would stay."""
-    best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("anonymous"), "doc_id"))
-    return digests.groupBy("digest").agg(F.count("*").alias("n"), best.alias("best"))
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, points, norm) of docs(doc_id, text): what is kept of a text."""
+    docs = columns(docs, doc_id="long", text="string").withColumn("norm", normalised(F.col("text")))
+    return docs.select("doc_id", F.sha2("norm", 256).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("points"), "norm")
 
 
-def build_snapshot(digests: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Buckets, filters and the number of shards of an immutable snapshot, written down."""
-    buckets = saved(_grouped(digests), "buckets")
-    shards = -(-buckets.count() // SHARD_KEYS) or 1
-    keys = buckets.select(F.xxhash64("digest").alias("key")).distinct().withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    return buckets, saved(keys.groupBy("shard").applyInPandas(_filter_of, FILTER), "fuse"), shards
+def _grouped(rows: DataFrame) -> DataFrame:
+    """One row for each digest: how many rows, and the one that would stay."""
+    best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("anonymous"), "doc_id"))
+    return rows.groupBy("digest").agg(F.count("*").alias("n"), best.alias("best"))
+
+
+class Layer(NamedTuple):
+    """rows (doc_id, digest, points, norm), buckets (digest, n, best) and the filters of the buckets' digests."""
+
+    rows: DataFrame
+    buckets: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+class Snapshot:
+    """Texts that were taken in, as immutable layers in a folder; the folder may be opened again at any time."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.layers = spark, folder.rstrip("/"), []
+        for name in self._names():
+            at = f"{self.folder}/{name}"
+            filters = spark.read.schema(FILTER).parquet(f"{at}/filters")
+            rows = spark.read.schema(ROWS).parquet(f"{at}/rows")
+            self.layers.append(Layer(rows, spark.read.schema(BUCKETS).parquet(f"{at}/buckets"), filters, int(name.rpartition("-")[2])))
+
+    def _names(self) -> list[str]:
+        """Whole layers, oldest first: layer-<number>-<shards>."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+        return [n for n in names if n.startswith("layer-")]
+
+    def extended(self, docs: DataFrame) -> Snapshot:
+        """The snapshot with docs(doc_id, text) as a further layer; this one stays as it is."""
+        at = f"{self.folder}/new-{uuid.uuid4().hex}"
+        rows, buckets = (self.spark.read.schema(s) for s in (ROWS, BUCKETS))
+        _rows(docs).write.parquet(f"{at}/rows")
+        _grouped(rows.parquet(f"{at}/rows")).write.parquet(f"{at}/buckets")
+        held = buckets.parquet(f"{at}/buckets")
+        shards = -(-held.count() // SHARD_KEYS) or 1
+        keys = held.select(F.xxhash64("digest").alias("key")).distinct().withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+        keys.groupBy("shard").applyInPandas(_filter_of, FILTER).write.parquet(f"{at}/filters")
+        # A layer is there once it has its name, so one that was cut off is never seen.
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        path(at).getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(path(at), path(f"{self.folder}/layer-{len(self.layers):06d}-{shards}"))
+        return Snapshot(self.spark, self.folder)
+
+
+def _positives(groups: DataFrame, layer: Layer, n: int) -> DataFrame:
+    """The digests of n groups(digest) that a layer's filters let pass.
+
+    Groups and filters meet by shard; where a shard has more groups than SHARD_KEYS, they
+    are dealt over several tasks, each with a copy of the shard's filter.
+    """
+    salts = -(-n // (layer.shards * SHARD_KEYS)) or 1
+    keys = groups.select("digest", F.xxhash64("digest").alias("key"))
+    keys = keys.withColumn("shard", F.pmod("key", F.lit(layer.shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(salts)).cast("int"))
+    filters = layer.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = keys.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(_screened, "digest string, key long, shard int, salt int, maybe boolean")
+    return found.filter("maybe").select("digest")
 
 
-def exact_dedup(batch: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+def exact_dedup(batch: DataFrame, snapshot: Snapshot | DataFrame | None = None) -> DataFrame:
     """Group documents whose texts are equal but for ASCII white space.
 
-    batch, snapshot: (doc_id, text).  Result, for each row of both: doc_id, keep_id,
-    group_size, kept, text_sha256 and from_snapshot.  Of a group the text with most
-    code points stays, then the least doc_id, null ids last.
+    batch: (doc_id, text); snapshot: what came before, or a table from which one is made.
+    Result, for each row of both: doc_id, keep_id, group_size, kept, text_sha256 and
+    from_snapshot.  Of a group the text with most code points stays, then the least
+    doc_id, null ids last.
 
     A null text counts as empty; all empty texts are one group.  A row without
     doc_id is kept only where its whole group has none.  Rows that repeat an id and
     its text are the same document and share their kept.  Empty tables give no rows.
+    Texts may be of any length; groups of any size are counted before they are shuffled.
     """
-
-    def digested(docs: DataFrame, old: bool) -> DataFrame:
-        docs = columns(docs, doc_id="long", text="string")
-        return docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("points"), F.lit(old).alias("old"))
-
-    texts = columns(batch, doc_id="long", text="string")
-    rows = digested(batch, False)
-    if snapshot is not None:
-        rows = rows.unionByName(digested(snapshot, True))
-        texts = texts.unionByName(columns(snapshot, doc_id="long", text="string"))
-    rows = saved(rows, "digests")
-
-    buckets, filters, shards = build_snapshot(rows.filter("old"))
-    fresh = _grouped(rows.filter("not old")).withColumn("key", F.xxhash64("digest"))
-    fresh = fresh.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    plain = fresh.select("shard", "key", "digest", "n", F.col("best.points").alias("points"), F.col("best.anonymous").alias("anonymous"), F.col("best.doc_id").cast("string").alias("id"))
-    screened = plain.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screened, "shard int, key long, digest string, n long, points int, anonymous boolean, id string, maybe boolean")
-    screened = saved(screened.select("digest", "n", F.struct("points", "anonymous", F.col("id").cast("long").alias("doc_id")).alias("best"), "maybe"), "screened")
-    hits = screened.filter("maybe").select("digest", F.col("n").alias("n2"), F.col("best").alias("best2"))
-    joined = buckets.join(hits, "digest", "full_outer").select("digest", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.least("best", "best2").alias("best"))
-    groups = joined.unionByName(screened.filter("not maybe").select("digest", "n", "best"))
-    groups = saved(groups.select("digest", "n", F.col("best.doc_id").alias("keep_id")), "groups")
-
-    found = join_unique(rows, groups, "digest", "n", ["keep_id"])
-    clash = _clashes(texts, groups)
+    if isinstance(snapshot, DataFrame):
+        snapshot = Snapshot(batch.sparkSession, fresh_folder(batch.sparkSession, "snapshot")).extended(snapshot)
+    layers = snapshot.layers if snapshot else []
+    new = saved(_rows(batch), "digests")
+    mine = saved(_grouped(new.drop("norm")), "batch")
+    n, total = (mine.count(), mine) if layers else (0, mine)
+    for i, layer in enumerate(layers):
+        both = saved(_positives(mine, layer, n), f"positives{i}")
+        hits = layer.buckets.join(both, "digest", "left_semi")
+        # Other digests of the layer are groups as they stand, but for later layers.
+        total = total.unionByName(hits)
+    known = total.groupBy("digest").agg(F.sum("n").alias("n"), F.min("best").alias("best")) if layers else total
+    if layers:
+        rest = reduce(DataFrame.unionByName, [x.buckets for x in layers]).join(mine.select("digest"), "digest", "left_anti")
+        rest = rest.groupBy("digest").agg(F.sum("n").alias("n"), F.min("best").alias("best")) if len(layers) > 1 else rest
+        known = known.unionByName(rest)
+    groups = saved(known.select("digest", "n", F.col("best.doc_id").alias("keep_id")), "groups")
+
+    rows = reduce(DataFrame.unionByName, [new.withColumn("old", F.lit(False)), *(x.rows.withColumn("old", F.lit(True)) for x in layers)])
+    found = join_unique(rows.drop("norm", "points"), groups, "digest", "n", ["keep_id"])
+    clash = _clashes(rows, groups)
     out = found.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.expr("doc_id <=> keep_id").alias("kept"), F.col("digest").alias("text_sha256"), F.col("old").alias("from_snapshot"))
     if clash is None:
         return out
-    return out.join(clash.select(F.col("digest").alias("text_sha256")).distinct(), "text_sha256", "left_anti").unionByName(_by_bytes(texts, clash))
+    return out.join(clash.select(F.col("digest").alias("text_sha256")).distinct(), "text_sha256", "left_anti").unionByName(_by_bytes(rows, clash))
 
 
-def _clashes(texts: DataFrame, groups: DataFrame) -> DataFrame | None:
+def _clashes(rows: DataFrame, groups: DataFrame) -> DataFrame | None:
     """The byte check: digests that stand for more than one text, or None.
 
     Only texts of groups of two or more are compared.  Equal texts are put together
@@ -204,18 +276,17 @@ def _clashes(texts: DataFrame, groups: DataFrame) -> DataFrame | None:
     """
     several = groups.filter("n > 1").select("digest")
     side = F.broadcast(several) if several.count() <= BROADCAST_GROUPS else several
-    compared = texts.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256)).join(side, "digest", "left_semi")
+    compared = rows.select("digest", "norm").join(side, "digest", "left_semi")
     differ = saved(compared.groupBy("digest", "norm").count().groupBy("digest").count().filter("count > 1").select("digest"), "clashes")
     return differ if differ.take(1) else None
 
 
-def _by_bytes(texts: DataFrame, clash: DataFrame) -> DataFrame:
+def _by_bytes(rows: DataFrame, clash: DataFrame) -> DataFrame:
     """Groups by the text itself, for the digests of clash only."""
-    rows = texts.withColumn("norm", normalised(F.col("text"))).withColumn("digest", F.sha2("norm", 256)).join(clash, "digest", "left_semi")
-    rows = rows.withColumn("points", F.length(F.coalesce("text", F.lit(""))))
+    rows = rows.join(clash, "digest", "left_semi")
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("anonymous"), "doc_id"))
     groups = rows.groupBy("norm").agg(F.count("*").alias("n"), best.alias("best"))
-    return rows.join(groups, "norm").select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.expr("doc_id <=> best.doc_id").alias("kept"), F.col("digest").alias("text_sha256"), F.lit(None).cast("boolean").alias("from_snapshot"))
+    return rows.join(groups, "norm").select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.expr("doc_id <=> best.doc_id").alias("kept"), F.col("digest").alias("text_sha256"), F.col("old").alias("from_snapshot"))
 
 
 def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +298,8 @@ def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns.
 
-    Of rows that repeat both an id and its text one is left, whichever comes first.
+    Null texts are empty ones, which are one group; of rows without doc_id those stay
+    whose group has no other; an empty table gives none.  Of rows that repeat both an id and its text one is left, whichever comes first.
     """
     old, new = halves(columns(docs, doc_id="long", text="string"))
     _id, _sha, kept, times = fresh(docs, "id", "sha", "kept", "times")

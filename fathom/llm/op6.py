@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .exact import exact_dedup, halves
+from .common import fresh_folder
+from .exact import Snapshot, exact_dedup, halves
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One half becomes a snapshot, which is opened for the other."""
     old, new = halves(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return exact_dedup(new, old).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    folder = fresh_folder(spark, "snapshot")
+    Snapshot(spark, folder).extended(old)
+    return exact_dedup(new, Snapshot(spark, folder)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = r"""

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, columns, components, fresh, join_unique, only_result, saved
+from .common import HOT_ROWS, columns, components, fresh, join_unique, only_result, saved, whole_rows
 from .exact import by_id, screen
 
 BITS = 64
@@ -505,13 +505,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 def _sets(docs: DataFrame, words: int, ids: DataFrame, made: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
     """doc_id and what made gives of their sets, for the documents of ids(key) and a few that no one asked for.
 
-    The texts are screened where they are, so none is shuffled, whatever the number of ids.
+    The texts are screened where they are, so none is shuffled, as long as a screen of the
+    ids may be broadcast.
     """
     wanted, names = screen(ids), [x.split()[0] for x in schema.split(", ")]
+    if wanted is None:
+        docs = docs.join(ids.select(F.col("key").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Words()
-        for b in _slices(x.filter(pa.array(wanted(x.column("doc_id").to_numpy()))) for x in batches):
+        for b in _slices(x if wanted is None else x.filter(pa.array(wanted(x.column("doc_id").to_numpy()))) for x in batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made([shingle_set(t.as_py(), words, held) for t in b.column("text")])], names)
 
     return docs.mapInArrow(each, schema)
@@ -568,7 +571,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     """
     docs = columns(docs, doc_id="long", text="string").filter("doc_id is not null")
     if docs.groupBy("doc_id").count().filter("count > 1").take(1):
-        docs = saved(docs.dropDuplicates(["doc_id"]), "once")
+        docs = saved(docs.groupBy("doc_id").agg(F.min_by("text", F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull())).alias("text")), "once")
     sets = saved(_described(docs, words, least), "described")
     # Equal sets are one from here on, under their least id.
     equal = saved(sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "equal")
@@ -597,8 +600,30 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
 
 
 def without_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, without all but the least doc_id of each group."""
+    """The rows of docs, all columns, without all but the least doc_id of each group.
+
+    Rows that repeat a doc_id are documents of their own, in order of their texts'
+    digests: of those whose texts are similar the first stays, and so do all whose texts
+    are like no other.  A null text is empty; texts without words are one group, of
+    which one stays.  Rows without doc_id stay.  Texts may be of any length; an empty
+    table gives no rows.
+    """
+    ids = columns(docs, doc_id="long").filter("doc_id is not null")
+    if ids.groupBy("doc_id").count().filter("count > 1").take(1):
+        return _rows_without_similar(docs, words, least)
     (name,) = fresh(docs, "gone")
     gone = only_result(lambda: similar_groups(docs, words, least).filter("node <> root").select(F.col("node").alias(name)), "similar")
     docs, others = by_id(docs, gone, name)
     return others.unionByName(docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti"))
+
+
+def _rows_without_similar(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """As without_similar, with a number for each row in the place of ids that are repeated."""
+    doc_id, text = ((docs[c] if c in docs.columns else F.lit(None)).cast(k) for c, k in (("doc_id", "long"), ("text", "string")))
+    held = docs.select(whole_rows(docs).alias("row"), doc_id.alias("doc_id"), text.alias("text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"), F.monotonically_increasing_id().alias("read"))
+    # Numbers follow the order of ids and digests, dealt by ranges, so an id of many rows spreads.
+    order = ["doc_id", "sha", "read"]
+    held = held.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "text", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("node"))
+    held = saved(held, "numbered")
+    gone = only_result(lambda: similar_groups(held.select(F.col("node").alias("doc_id"), "text"), words, least).filter("node <> root").select("node"), "similar")
+    return held.join(gone, "node", "left_anti").select("row.*")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import shutil
 from collections import defaultdict
 
 import numpy as np
@@ -7,6 +8,8 @@ import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import functions as F
 
 from fathom.llm import exact, simhash
 from fathom.llm.common import components
@@ -30,10 +33,70 @@ def test_exact_report(odd, none):
 def test_texts_of_equal_digests_are_told_apart(odd, spark):
     texts = spark.createDataFrame([(1, "ab"), (2, "a b"), (3, "cd")], "doc_id long, text string")
     digest = hashlib.sha256(b"ab").hexdigest()
-    found = exact._by_bytes(texts, spark.createDataFrame([(digest,)], "digest string")).collect()
+    found = exact._by_bytes(exact._rows(texts).selectExpr("*", "false AS old"), spark.createDataFrame([(digest,)], "digest string")).collect()
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in found} == {(1, 2, 2), (2, 2, 2)}
 
 
+def test_a_snapshot_is_kept_and_extended(spark, tmp_path):
+    """Its texts' table may go; batches find what layers hold; the result is that of all texts at once."""
+    texts = [(i, f"t{i % 40} {i % 3 * ' '}x") for i in range(120)] + [(None, "t1 x"), (7, "t7 x")]
+    def table(rows): return spark.createDataFrame(rows, "doc_id long, text string")
+    table(texts[:50]).write.parquet(str(tmp_path / "first"))
+    exact.Snapshot(spark, str(tmp_path / "s")).extended(spark.read.parquet(str(tmp_path / "first")))
+    shutil.rmtree(tmp_path / "first")
+    held = exact.Snapshot(spark, str(tmp_path / "s"))
+    want = {str(r) for r in exact.exact_dedup(table(texts[:80])).drop("from_snapshot").collect()}
+    assert {str(r) for r in exact.exact_dedup(table(texts[50:80]), held).drop("from_snapshot").collect()} == want
+    both = held.extended(table(texts[50:80]))
+    assert len(held.layers) == 1 and len(both.layers) == 2 == len(exact.Snapshot(spark, str(tmp_path / "s")).layers)
+    want = sorted(str(r) for r in exact.exact_dedup(table(texts)).drop("from_snapshot").collect())
+    assert sorted(str(r) for r in exact.exact_dedup(table(texts[80:]), both).drop("from_snapshot").collect()) == want
+    assert [r["old"] for r in exact.exact_dedup(table([]), both).groupBy().agg(F.min("from_snapshot").alias("old")).collect()] == [True]
+
+
+def test_no_group_outgrows_a_shard(spark, tmp_path, monkeypatch):
+    """A large batch against a small snapshot, and against none."""
+    monkeypatch.setattr(exact, "SHARD_KEYS", 100)
+    sizes = spark.sparkContext.accumulator([], ListOf())
+    was = exact._screened
+    def counted(rows, filters):
+        sizes.add([len(rows)])
+        return was(rows, filters)
+    monkeypatch.setattr(exact, "_screened", counted)
+    batch = spark.range(5000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    held = exact.Snapshot(spark, str(tmp_path / "s")).extended(batch.limit(10))
+    assert exact.exact_dedup(batch.filter("doc_id >= 10"), held).filter("kept").count() == 5000
+    assert 40 <= len(sizes.value) and max(sizes.value) < 200
+    sizes.value = []
+    assert exact.exact_dedup(batch).filter("kept").count() == 5000 and sizes.value == []
+
+
+class ListOf(AccumulatorParam):
+    def zero(self, value): return []
+    def addInPlace(self, a, b): return a + b
+
+
+def test_too_many_ids_for_a_screen(spark, odd, monkeypatch):
+    want = sorted(map(str, exact.without_copies(odd).collect()))
+    groups = sorted(map(str, simhash.similar_groups(odd).collect()))
+    monkeypatch.setattr(exact, "SCREEN_BYTES", 0)
+    assert exact.screen(odd.selectExpr("doc_id AS key")) is None
+    assert sorted(map(str, exact.without_copies(odd).collect())) == want and sorted(map(str, simhash.similar_groups(odd).collect())) == groups
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """One id, two texts: a near copy of another document goes, a text like no other stays, in either order."""
+    a = " ".join(f"w{i}" for i in range(80))
+    copy, other = f"{a} more", " ".join(f"o{i}" for i in range(60))
+    for rows in ([(1, a), (2, copy), (2, other)], [(2, other), (1, a), (2, copy), (None, a)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' AS node", "'z' AS row", "'z' AS sha")
+        left = simhash.without_similar(df.repartition(2))
+        assert left.columns == df.columns
+        assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("1", a), ("2", other), *([("None", a)] if len(rows) > 3 else [])])
+    same = spark.createDataFrame([(5, a), (5, a), (4, copy), (5, other)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.without_similar(same).collect()) == [(4, copy), (5, other)]
+
+
 def test_stage_keeps_one_of_each(odd):
     kept = exact.without_copies(odd)
     assert kept.columns == odd.columns
