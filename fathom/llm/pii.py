@@ -50,31 +50,75 @@ def mod97(code: str) -> str:
     return f"aggregate(filter(split({turned}, ''), c -> c <> ''), 0, (a, c) -> (a * if({value} > 9, 100, 10) + {value}) % 97) = 1"
 
 
+#: Pieces that are folded at a time, at least; characters of a block of the text.
+FOLDED, BLOCK = 16, 64
+
+
+def _char(at: str) -> str:
+    """SQL for the character at a place, or an empty text after the end."""
+    return f"substring(coalesce(get(blocks, ({at}) div {BLOCK}), ''), ({at}) % {BLOCK} + 1, 1)"
+
+
 KINDS = (
     Kind("email", "instr(t, '@') > 0", r"()((?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++)", "true", False, "mail|contact|write", True),
     Kind("ip", "true", r"()((?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++)", r"forall(split(x.m, '\\.'), p -> length(ltrim('0', p)) <= 3 and cast(concat('0', right(ltrim('0', p), 3)) as int) <= 255)", False, "ip|host|address|server", True),
     Kind("card", "true", r"()([0-9](?:[ -]?[0-9])++)", f"length({DIGITS}) between 13 and 19 and {luhn(DIGITS)}", True, "card|credit|visa|pay", True),
     Kind("phone", "instr(t, '+') > 0", r"()(\\+[0-9][ ().0-9-]+[0-9])", f"length({DIGITS}) between 9 and 15", False, "phone|call|tel|mobile", True),
-    Kind("iban", "true", r"(^|[^A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)", f"not (substring(t, x.e + 1, 1) rlike '[A-Za-z0-9]') and length(replace(x.m, ' ', '')) between 15 and 34 and {mod97("replace(x.m, ' ', '')")}", True, "iban|account|bank", False),
-    Kind("ssn", "instr(t, '-') > 0", r"(^|[^A-Za-z0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})", "not (substring(t, x.e + 1, 1) rlike '[A-Za-z0-9-]')", False, "ssn|social security", False),
+    Kind("iban", "true", r"(^|[^A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)", f"not ({_char('x.e')} rlike '[A-Za-z0-9]') and length(replace(x.m, ' ', '')) between 15 and 34 and {mod97("replace(x.m, ' ', '')")}", True, "iban|account|bank", False),
+    Kind("ssn", "instr(t, '-') > 0", r"(^|[^A-Za-z0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})", f"not ({_char('x.e')} rlike '[A-Za-z0-9-]')", False, "ssn|social security", False),
     Kind("secret", f"lower(t) rlike '{SECRET_WORDS}'", rf'((?:^|[^A-Za-z0-9_])(?i:{SECRET_WORDS}) ?[=:] ?"?)([A-Za-z0-9_./+-]{{20,}})', "true", False, SECRET_WORDS, False),
 )
 
 
+SPAN = "struct<s:int,e:int,m:string>"
+
+
+def _pieces(kind: Kind) -> str:
+    """SQL for t in pieces: those at odd places are the kind's matches."""
+    return f"if({kind.needs}, split(regexp_replace(t, '{kind.pattern}', '$1{MARK}$2{MARK}'), '{MARK}', -1), array(t))"
+
+
+def _places(p: str) -> str:
+    """SQL for the matches among pieces p, with their places: SPANs.
+
+    A fold that appends to an array copies it each time.  So pieces are folded in blocks
+    of about the cube root of their number: sums of blocks, where each starts, and each
+    by itself.
+    """
+    of = f"greatest({FOLDED}, cast(cbrt(size({p})) as int))"
+    block = f"slice({p}, k * b + 1, b)"
+    sums = f"transform(sequence(0, (size({p}) - 1) div b), k -> aggregate({block}, 0, (a, x) -> a + length(x)))"
+    starts = f"aggregate({sums}, named_struct('pos', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('pos', a.pos + x, 'out', concat(a.out, array(a.pos))), a -> a.out)"
+    empty = f"cast(array() as array<{SPAN}>)"
+    step = "named_struct('pos', a.pos + length(x), 'i', a.i + 1, 'out', if(a.i % 2 = 1, concat(a.out, array(named_struct('s', a.pos, 'e', a.pos + length(x), 'm', x))), a.out))"
+    each = f"aggregate({block}, named_struct('pos', start, 'i', k * b, 'out', {empty}), (a, x) -> {step}, a -> a.out)"
+    return f"if(size({p}) < 2, {empty}, flatten(transform(array({of}), b -> flatten(transform({starts}, (start, k) -> {each})))))"
+
+
+def _between(start: str, n: str) -> str:
+    """SQL for n characters of the text, CONTEXT at most, from blocks: long texts aren't walked from their start."""
+    first = f"(({start}) div {BLOCK})"
+    some = ", ".join(f"coalesce(get(blocks, {first} + {i}), '')" for i in range(CONTEXT // BLOCK + 2))
+    return f"substring(concat({some}), ({start}) % {BLOCK} + 1, {n})"
+
+
 def _spans(kind: Kind) -> str:
-    """SQL for the kind's spans in t: structs of kind, s, e (code points, end exclusive), score, base."""
-    parts = f"split(regexp_replace(t, '{kind.pattern}', '$1{MARK}$2{MARK}'), '{MARK}', -1)"
-    empty = "cast(array() as array<struct<s:int,e:int,m:string>>)"
-    start = f"named_struct('pos', 0, 'inside', false, 'out', {empty})"
-    step = "named_struct('pos', a.pos + length(x), 'inside', not a.inside, 'out', if(a.inside, concat(a.out, array(named_struct('s', a.pos, 'e', a.pos + length(x), 'm', x))), a.out))"
-    found = f"filter(aggregate({parts}, {start}, (a, x) -> {step}, a -> a.out), x -> {kind.holds})"
+    """SQL for the kind's spans, from its places p_<kind> and the text's blocks."""
+    found = f"filter(p_{kind.name}, x -> {kind.holds})"
     known = WORTH["pattern"] + WORTH["checksum"] * kind.checksum
-    before, after = f"substring(t, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))", f"substring(t, x.e + 1, {CONTEXT})"
+    before, after = _between(f"greatest(x.s - {CONTEXT}, 0)", f"least(x.s, {CONTEXT})"), _between("x.e", f"{CONTEXT}")
     near = f"lower(concat({before}, ' ', {after})) rlike '{kind.words}'"
     score = f"cast(least(1D, {known}D + if({near}, {WORTH['context']}D, 0D)) as double)"
     out = f"transform({found}, x -> named_struct('kind', '{kind.name}', 's', x.s, 'e', x.e, 'score', {score}, 'base', {str(kind.base).lower()}))"
-    out = out if kind.base else f"filter({out}, x -> x.score >= {LEAST_SCORE}D)"
-    return f"if({kind.needs}, {out}, cast(array() as array<struct<kind:string,s:int,e:int,score:double,base:boolean>>))"
+    return out if kind.base else f"filter({out}, x -> x.score >= {LEAST_SCORE}D)"
+
+
+def _overlaps(spans: str) -> str:
+    """SQL for whether x overlaps one of a kind's spans, which are in order and apart: the first that ends after x starts, by halving."""
+    middle = "shiftright(a.lo + a.hi, 1)"
+    step = f"if(a.lo < a.hi, if(get({spans}, {middle}).e <= x.s, named_struct('lo', {middle} + 1, 'hi', a.hi), named_struct('lo', a.lo, 'hi', {middle})), a)"
+    first = f"aggregate(sequence(0, cast(ceil(log2(size({spans}) + 2)) as int)), named_struct('lo', 0, 'hi', size({spans})), (a, i) -> {step}, a -> a.lo)"
+    return f"coalesce(get({spans}, {first}).s < x.e, false)"
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -84,13 +128,20 @@ def find_pii(docs: DataFrame) -> DataFrame:
     iban, ssn, secret), then place.  The first four are the base kinds; a span of the others
     is taken if pattern, checksum and context give LEAST_SCORE, and where it overlaps
     no base span.  A null or empty text has no spans; repeated rows and null ids are
-    passed through; an empty table gives no rows.
+    passed through; an empty table gives no rows.  A long text takes time as its length
+    does, and little more than its spans do.
     """
     # The marking character itself is no part of any kind: another of its sort stands in.
     clean = columns(docs, doc_id="long", text="string").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\x01", "\x02").alias("t"))
-    base = clean.select("doc_id", "t", F.expr(f"concat({', '.join(_spans(k) for k in KINDS if k.base)})").alias("base"))
-    more = f"filter(concat({', '.join(_spans(k) for k in KINDS if not k.base)}), x -> not exists(base, b -> b.s < x.e and x.s < b.e))"
-    return base.select("doc_id", F.concat("base", F.expr(more)).alias("spans"))
+    cut = clean.select("doc_id", "t", *[F.expr(_pieces(k)).alias(f"c_{k.name}") for k in KINDS])
+    none = " and ".join(f"size(c_{k.name}) < 2" for k in KINDS)
+    blocks = F.expr(f"if({none}, cast(array() as array<string>), regexp_extract_all(t, '(?s).{{1,{BLOCK}}}', 0))").alias("blocks")
+    placed = cut.select("doc_id", blocks, *[F.expr(_places(f"c_{k.name}")).alias(f"p_{k.name}") for k in KINDS])
+    found = placed.select("doc_id", *[F.expr(_spans(k)).alias(f"s_{k.name}") for k in KINDS])
+    bases = [f"s_{k.name}" for k in KINDS if k.base]
+    apart = " or ".join(_overlaps(s) for s in bases)
+    more = f"filter(concat({', '.join(f's_{k.name}' for k in KINDS if not k.base)}), x -> not ({apart}))"
+    return found.select("doc_id", F.expr(f"concat({', '.join(bases)}, {more})").alias("spans"))
 
 
 def report(found: DataFrame) -> DataFrame:

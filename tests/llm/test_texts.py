@@ -26,9 +26,28 @@ def test_pii_spans(spark, text, spans):
     assert "base_sha256" in op9.SQL
 
 
-def test_pii_stays_linear(spark):
-    long = spark.createDataFrame([(1, "a" * 300_000), (2, "9" * 300_000), (3, "+1" + "-" * 100_000), (4, "1." * 50_000)], "doc_id long, text string")
-    assert pii.find_pii(long).count() == 4
+def spans_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    return [r["spans"] for r in pii.find_pii(df).orderBy("doc_id").collect()]
+
+
+def test_pii_of_long_runs(spark):
+    assert list(map(len, spans_of(spark, ["a" * 300_000, "9" * 300_000, "+1" + "-" * 100_000, "1." * 50_000]))) == [0, 0, 0, 12_500]
+
+
+def test_pii_takes_time_as_texts_do(spark):
+    """50,000 spans in one text: all of them, their places right, in time that grows as the text does."""
+    unit = "é 1.2.3.4 a@b.co call +1 (555) 123-4567 DE89370400440532013000 x "
+    took = {}
+    for n in (100, 6_250, 12_500):
+        began = time.perf_counter()
+        (found,) = spans_of(spark, [unit * n])
+        took[n] = time.perf_counter() - began
+        each = [("email", 10, 16), ("ip", 2, 9), ("phone", 22, 39)]
+        want = [(k, i * len(unit) + s, i * len(unit) + e) for k, s, e in each for i in range(n)]
+        assert [(x["kind"], x["s"], x["e"]) for x in found if x["base"]] == want
+        assert len(found) == 4 * n - 0 and found[-1]["kind"] == "iban"
+    assert took[12_500] < 2.6 * took[6_250] + 2 and took[12_500] < 60
 
 
 def sentences(syllables, n, seed):
