@@ -5,14 +5,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.text import Analyzer, name_of, with_chunks
-from .operators import fusion, lookup, spatial, vector
+from .operators import fusion, impact, ivf, lookup, spatial, vector
 from .operators import text as text_ops
 from .plans import explain
 from .plans.parser import CreateIndex, CreateTable, Delete, DropTable, Hybrid, Insert, Knn, Match, Select, SqlError, parse
@@ -21,6 +23,9 @@ from .sources import layout
 from .sources.storage import ROW, Storage
 
 
+#: Results that are looked up by their numbers; more are joined.
+MOST_LOOKED_UP = 500
+
 Fuse = Callable[[list[DataFrame], int], DataFrame]
 
 
@@ -46,7 +51,7 @@ class Result:
             self._rows = self.df.collect()
             self.elapsed_ms = round((time.perf_counter() - began) * 1e3, 3)
             if self.plan:
-                self.reads = len(self.df.inputFiles())
+                self.reads = explain.files_read(self.df)
                 self.lines = explain.select_lines(self.plan, explain.Cost(self.elapsed_ms, len(self._rows), self.reads, self.writes))
             if self.done:
                 self.done(self)
@@ -73,6 +78,8 @@ class Engine:
         self.chunker, self.fuse = chunker, fuse
         self.spark, self.storage, self.resolver, self.analyzer = spark, Storage(spark, warehouse), resolver, analyzer
         self.last_sql: str | None = None
+        self._centroids: dict[str, np.ndarray] = {}
+        self._indexes: dict[tuple[str, str, int], impact.ImpactIndex] = {}  # the last of each text column
         self.reset_metrics()
 
     def reset_metrics(self) -> None:
@@ -88,6 +95,7 @@ class Engine:
     def sql(self, text: str) -> Result:
         self.last_sql, began, written = text, time.perf_counter(), self.storage.written
         ast = parse(text)
+        self.storage.refresh()
         run = {CreateTable: self._create, DropTable: self._drop, CreateIndex: self._index, Insert: self._insert, Delete: self._delete, Select: self._select}[type(ast)]
         out = run(ast)
         self.totals["statements"] += 1
@@ -118,10 +126,11 @@ class Engine:
         began, kind = time.perf_counter(), ast.kind.lower()
         if kind not in INDEX_KINDS:
             raise SqlError(f"unknown index kind: {ast.kind}")
-        size, exact = ast.options.get("vocabulary"), ast.options.get("exact")
-        if "vocabulary" in ast.options and (isinstance(size, bool) or not isinstance(size, int) or size < 1):
-            raise SqlError("vocabulary must be a positive whole number")
-        self.storage.add_index(ast.table, ast.column, kind, {k: v for k, v in (("vocabulary", size), ("exact", exact)) if v})
+        for option in ("vocabulary", "lists", "probes"):
+            size = ast.options.get(option, 1)
+            if isinstance(size, bool) or not isinstance(size, int) or size < 1:
+                raise SqlError(f"{option} must be a positive whole number")
+        self.storage.add_index(ast.table, ast.column, kind, {k: ast.options[k] for k in ("vocabulary", "exact", "lists", "probes") if ast.options.get(k)})
         return self._done(f"Create Index using {kind}", ast.table, 0, began)
 
     # Changes
@@ -151,16 +160,19 @@ class Engine:
                 else:
                     row[name] = value
             rows.append(row)
-        fields = [f for f in table.schema() if f.name != ROW]
-        df = self.spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], T.StructType(fields)).coalesce(1)
+        fields = table.fields()
+        df = self.spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], fields).coalesce(1)
         written = self.storage.written
         return self._done("Insert", ast.table, self.storage.append(ast.table, df), began, written=written)
 
-    def load(self, name: str, df: DataFrame) -> int:
-        """Bulk insert of a DataFrame: one write, whatever its size."""
-        have = set(df.columns)
-        fields = [f for f in self.storage.get(name).schema() if f.name != ROW]
-        return self.storage.append(name, df.select(*[(df[f.name] if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]))
+    def load(self, name: str, df: DataFrame, stream: str | None = None, batch: int = 0) -> int:
+        """Bulk insert of a DataFrame: one write, whatever its size; how many rows.
+
+        stream, batch: a batch of a stream that the table has already adds nothing.
+        """
+        have, fields = set(df.columns), self.storage.get(name).fields()
+        rows = df.select(*[(df[f.name] if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        return self.storage.append(name, rows, stream, batch)
 
     def _delete(self, ast: Delete) -> Result:
         """Deletes what equality and range predicates select, everywhere; without one, nothing."""
@@ -170,11 +182,8 @@ class Engine:
             return self._done("Delete", ast.table, 0, began)
         if kind not in ("equality", "range"):
             raise SqlError("DELETE takes a comparison or BETWEEN")
-        df = self.storage.read(ast.table)
-        hit = self._filter(ast.table, df, kind, p).select(ROW)
-        affected, written = hit.count(), self.storage.written
-        if affected:
-            self.storage.replace(ast.table, df.join(hit, ROW, "left_anti"))
+        df, written = layout.layout(self.storage, ast.table, column_of(kind, p), p), self.storage.written
+        affected = self.storage.delete(ast.table, self._filter(ast.table, df, kind, p).select(ROW))
         return self._done("Delete", ast.table, affected, began, explain.condition(kind, p), written)
 
     def _filter(self, table: str, df: DataFrame, kind: str, p: Any) -> DataFrame:
@@ -212,71 +221,173 @@ class Engine:
     def _scan(self, plan: Plan, first_index: str | None) -> DataFrame:
         column = column_of(plan.kind, plan.predicate)
         if plan.kind == "spatial":
-            p = plan.predicate
-            df, axes = self._points(plan.table, column)
-            df = spatial.within(df, axes, p.low, p.high)
+            p, held = plan.predicate, layout.points(self.storage, plan.table, column)
+            df = self._near(plan.table, column)[0] if held is None else held.within(p.low, p.high)
+            df = spatial.within(df, layout.axes_of(df), p.low, p.high)
         elif plan.kind:
-            df = self._filter(plan.table, layout.layout(self.storage, plan.table, column), plan.kind, plan.predicate)
+            df = self._filter(plan.table, layout.layout(self.storage, plan.table, column, plan.predicate), plan.kind, plan.predicate)
             df = df.orderBy(column, ROW)
         else:
             df = self.storage.read(plan.table)
             df = df.orderBy(first_index, ROW) if first_index and self.storage.get(plan.table).indexes[first_index]["kind"] not in ("inverted", "knn") else df.orderBy(ROW)
         return df if plan.k is None else df.limit(plan.k)
 
-    def _points(self, table: str, column: str) -> tuple[DataFrame, list[str]]:
-        df = layout.layout(self.storage, table, column)
-        axes = sorted((c for c in df.columns if c.startswith("_x")), key=lambda c: int(c[2:]))
-        if axes:
-            return df, axes
-        return df.select("*", F.col(column)[0].alias("_x0"), F.col(column)[1].alias("_x1")), ["_x0", "_x1"]
+    def _near(self, table: str, column: str) -> tuple[DataFrame, list[str]]:
+        """Coordinates of a column that has no spatial layout."""
+        return self.storage.read(table).select("*", F.get(F.col(column), F.lit(0)).alias("_x0"), F.get(F.col(column), F.lit(1)).alias("_x1")), ["_x0", "_x1"]
 
     def _nearest_points(self, table: str, p: Knn, wanted: list[str]) -> DataFrame:
-        df, axes = self._points(table, p.column)
-        return spatial.nearest_points(df, axes, p.query, p.k, (ROW,)).select(*wanted, "distance")
+        held = layout.points(self.storage, table, p.column)
+        df = self._near(table, p.column)[0] if held is None else held.near(p.query, p.k)
+        return spatial.nearest_points(df, layout.axes_of(df), p.query, p.k, (ROW,)).select(*wanted, "distance")
 
+    # Vectors
     def _key(self, table: str, column: str) -> F.Column:
         """A vector row's key: its media file's name, else its first column."""
         first = self.storage.get(table).columns[0][0]
         return F.coalesce(F.col(f"{column}_ref"), F.col(first).cast("string"))
 
-    def _vectors(self, table: str, column: str) -> DataFrame:
-        return self.storage.derived(table, f"{column}-vectors", lambda: layout.vectors(self.storage.read(table).withColumn("_key", self._key(table, column)), "_key", column))
+    def _keyed(self, table: str, rows: DataFrame, column: str) -> DataFrame:
+        return rows.filter(F.col(column).isNotNull()).select(self._key(table, column).alias("key"), F.col(ROW).alias("rid"), F.col(column).alias("vec"))
+
+    def _lists(self, table: str, column: str) -> tuple[list[DataFrame], list[DataFrame], np.ndarray]:
+        """Vectors in lists and keys in order, part by part, and the centroids: those of the first part."""
+        parts, spark = self.storage.get(table).parts, self.spark
+        lists = self.storage.get(table).indexes.get(column, {}).get("options", {}).get("lists")
+
+        def fitted() -> DataFrame:
+            rows = ivf.fit(self._keyed(table, self.storage.part(table, parts[0]), column), "rid", "vec", lists)
+            return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "list int, centre array<double>").coalesce(1)
+
+        at = f"{parts[0].path}-{column}-centroids"
+        if at not in self._centroids:
+            rows = self.storage._built(at, fitted).orderBy("list").collect()  # MOST_LISTS rows at most
+            self._centroids[at] = np.array([r["centre"] for r in rows]) if rows else np.zeros((0, 0))
+        centres, name = self._centroids[at], f"{column}-lists-{parts[0].path.rpartition('/')[2]}"
+
+        def laid(rows: DataFrame) -> DataFrame:
+            return ivf.assigned(self._keyed(table, rows, column), "vec", centres).hint("rebalance", F.col("_list")).sortWithinPartitions("_list", "key")
+
+        held = self.storage.each_part(table, name, laid, by="_list")
+        keys = self.storage.each_part(table, f"{column}-keys", lambda rows: self._keyed(table, rows, column).select("key", "rid").repartitionByRange("key").sortWithinPartitions("key", "rid"))
+        return held, keys, centres
 
     def _ranked(self, table: str, p: Knn) -> DataFrame:
-        query, held = self._vector(p.query)[0], self._vectors(table, p.column)
+        """(key, rid, score) of the k vectors of largest cosine; of rows of one key the last counts."""
+        query, k = self._vector(p.query)[0], vector.DEFAULT_K if p.k is None else p.k
         index = self.storage.get(table).indexes.get(p.column, {})
-        if index.get("kind") != "knn" or index["options"].get("exact"):
-            return vector.cosine_top(held, "key", "vec", query, p.k, norms="norm")
-        dims = self.storage.derived(table, f"{p.column}-dims", lambda: vector.dim_postings(held, "key", "vec").repartitionByRange("dim").sortWithinPartitions("dim"))
-        return vector.cosine_pruned(held, "key", "vec", query, vector.DEFAULT_K if p.k is None else p.k, dims, "norm")
+        if index.get("kind") != "knn" or not self.storage.get(table).parts or k > MOST_LOOKED_UP:
+            rows = self._keyed(table, self.storage.read(table), p.column)
+            last = rows.groupBy("key").agg(F.max_by(F.struct("rid", "vec"), "rid").alias("r")).select("key", "r.rid", "r.vec")
+            return vector.cosine_top(last, "key", "vec", query, k, keep=("rid",))
+        held, keys, centres = self._lists(table, p.column)
+        probes = len(centres) if index["options"].get("exact") else index["options"].get("probes")
+        lists, take = ivf.probed(query, centres, probes), 2 * k
+        while True:
+            read = self.storage.alive(table, reduce(DataFrame.unionByName, [h.filter(F.col("_list").isin(lists)) for h in held]), "rid")
+            found = vector.cosine_top(read, "key", "vec", query, take, norms="norm", keep=("rid",)).collect()
+            asked = {r["key"] for r in found}
+            # Keys are in order in their files; a few of them are named one by one.
+            where = F.col("key").isin(sorted(asked)) & F.col("key").between(min(asked), max(asked)) if asked else F.lit(False)
+            latest = {}
+            if asked:
+                rows = self.storage.alive(table, reduce(DataFrame.unionByName, [x.filter(where) for x in keys]), "rid")
+                latest = {r["key"]: r["rid"] for r in rows.groupBy("key").agg(F.max("rid").alias("rid")).collect()}
+            best = [(r["key"], r["rid"], r["score"]) for r in found if latest.get(r["key"], r["rid"]) == r["rid"]]
+            if len(best) < k and len(found) < take and len(lists) <= len(centres):
+                lists = ivf.probed(query, centres, 2 * len(lists))  # those that were read have too few
+                continue
+            if len(best) >= k or len(found) < take:
+                return self.spark.createDataFrame(best[:k], "key string, rid long, score double")
+            take *= 4
 
     def _knn(self, table: str, p: Knn, wanted: list[str]) -> DataFrame:
         found = self._ranked(table, p)
-        last = Window.partitionBy("key").orderBy(F.desc(ROW))
-        base = self.storage.read(table).withColumn("key", self._key(table, p.column)).filter(F.col(p.column).isNotNull())
-        rows = base.join(F.broadcast(found), "key").withColumn("_n", F.row_number().over(last)).filter("_n = 1")
+        if p.k is None or p.k <= MOST_LOOKED_UP:
+            rows = self.storage.rows_of(table, [r["rid"] for r in found.collect()])
+        else:
+            rows = self.storage.read(table)
+        rows = rows.join(F.broadcast(found) if p.k is None or p.k <= MOST_LOOKED_UP else found, F.col(ROW) == F.col("rid"))
         return rows.orderBy(F.desc("score"), "key").select("key", *[F.col(c) for c in wanted if c != "key"], "score")
 
-    def text_index(self, table: str, column: str) -> text_ops.TextIndex:
-        held = self.storage.get(table).indexes.get(column, {}).get("options", {})
-
-        def part(rows: DataFrame) -> text_ops.TextIndex:
-            return text_ops.index_text(rows, ROW, column, held.get("vocabulary"), self.analyzer, chunker=self.chunker)
+    # Full text
+    def _held(self, table: str, column: str) -> tuple[str, dict[str, Any]]:
+        """What names the derived tables of a text column, and its options."""
+        return f"{column}-{self.chunker.__name__}-{name_of(self.analyzer)}", self.storage.get(table).indexes.get(column, {}).get("options", {})
+
+    def _text_parts(self, table: str, column: str) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+        """Chunks' vectors, postings and counts of terms, part by part: an INSERT builds those of its own part."""
+        name, _ = self._held(table, column)
+        each, parts = self.storage.each_part, self.storage.get(table).parts
+        vectors = each(table, f"{name}-vectors", lambda rows: impact.vectors(rows, ROW, column, self.analyzer, self.chunker))
+        held = dict(zip((p.path for p in parts), vectors, strict=True))
+        postings = [self.storage._built(f"{p.path}-{name}-postings", lambda p=p: impact.postings(held[p.path])) for p in parts]
+        listed = dict(zip((p.path for p in parts), postings, strict=True))
+        heads = [self.storage._built(f"{p.path}-{name}-heads", lambda p=p: impact.heads(held[p.path], listed[p.path])) for p in parts]
+        return vectors, postings, heads
 
-        chunks = self.storage.derived_parts(table, f"{column}-chunks-{self.chunker.__name__}", lambda rows: part(rows).chunks)
-        postings = self.storage.derived_parts(table, f"{column}-postings-{self.chunker.__name__}-{name_of(self.analyzer)}", lambda rows: part(rows).postings.repartitionByRange("term").sortWithinPartitions("term"))
-        return text_ops.TextIndex(chunks, postings, held.get("vocabulary"), self.analyzer)
+    def text_index(self, table: str, column: str) -> text_ops.TextIndex:
+        """Chunks and postings of the live rows, as tables to score whole."""
+        name, options = self._held(table, column)
+        vectors, _, _ = self._text_parts(table, column)
+        if not vectors:
+            return text_ops.index_text(self.storage.read(table), ROW, column, options.get("vocabulary"), self.analyzer, chunker=self.chunker)
+        return text_ops.of_rows(self.storage.alive(table, reduce(DataFrame.unionByName, vectors), "rid"), "rid", options.get("vocabulary"), self.analyzer)
+
+    def impact_index(self, table: str, column: str) -> impact.ImpactIndex | None:
+        """The postings by impact, with counts merged from those of the parts; None where the table has no parts."""
+        held = self.storage.get(table)
+        key = table, self._held(table, column)[0], self.storage.number
+        if key in self._indexes:
+            return self._indexes[key]
+        vectors, postings, heads = self._text_parts(table, column)
+        if not vectors:
+            return None
+        name = key[1]
+
+        def of_rows(ids: list[int] | None) -> DataFrame:
+            where = F.lit(True) if ids is None else lookup.one_of(F.col("rid"), ids)
+            return self.storage.alive(table, reduce(DataFrame.unionByName, [v.filter(where) for v in vectors]), "rid")
+
+        def gone() -> list[DataFrame]:
+            bitmaps = self.storage.bitmaps(table)
+            every = reduce(DataFrame.unionByName, vectors)
+            return [] if bitmaps is None else [impact.lost(self.storage.marked(table, every, bitmaps, "rid"))]
+
+        now = self.storage.derived(table, f"{name}-merged", lambda: impact.merged(heads, gone()))
+        whole = len(heads) == 1 and not held.marks
+        rows = [] if whole else self.storage.derived(table, f"{name}-ratios", lambda: impact.ratios(heads, now)).collect()  # a row a part
+        ratios = {r["part"]: (r["least"], r["most"]) for r in rows}
+        numbered = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(postings)])
+        found = impact.ImpactIndex(of_rows, self.storage.alive(table, numbered, "rid"), reduce(DataFrame.unionByName, heads), now, {i: ratios.get(i, (1.0, 1.0)) for i in range(len(heads))}, {})
+        self._indexes = {k: v for k, v in self._indexes.items() if k[:2] != key[:2]} | {key: found}
+        return found
+
+    def _ranked_texts(self, table: str, p: Match, k: int | None) -> DataFrame:
+        """(_rid, score, best_chunk): the k best documents; all that match without k."""
+        _, options = self._held(table, p.column)
+        index = None if k is None or "vocabulary" in options else self.impact_index(table, p.column)
+        if index is not None:
+            asked = text_ops.query_terms(text_ops.TextIndex(index.merged, index.merged, None, self.analyzer), p.terms)
+            top = index.top(asked, k)
+            if top is not None:
+                return self.spark.createDataFrame(top, f"{ROW} long, score double, best_chunk string")
+        found = text_ops.match(self.text_index(table, p.column), p.terms, k)
+        return found.select(F.col("doc_id").cast("long").alias(ROW), "score", "best_chunk")
 
     def _match(self, table: str, p: Match, k: int | None) -> DataFrame:
-        index = self.text_index(table, p.column)
-        norms = self.storage.derived(table, f"{p.column}-norms-{self.chunker.__name__}-{name_of(self.analyzer)}", index.norms)
-        found = text_ops.match(index, p.terms, k, norms).select(F.col("doc_id").cast("long").alias(ROW), "score", "best_chunk")
-        return self.storage.read(table).join(found, ROW).orderBy(F.desc("score"), "best_chunk")
+        found = self._ranked_texts(table, p, k)
+        if k is not None and k <= MOST_LOOKED_UP:
+            rows = self.storage.rows_of(table, [r[ROW] for r in found.collect()])
+            found = F.broadcast(found)
+        else:
+            rows = self.storage.read(table)
+        return rows.join(found, ROW).orderBy(F.desc("score"), "best_chunk")
 
     def _hybrid(self, table: str, p: Hybrid, wanted: list[str]) -> DataFrame:
         """Both searches, fused by reciprocal ranks; rows by the media column's key."""
         fetch = p.k * fusion.OVERFETCH
-        seen = self._ranked(table, Knn(p.media_column, p.file, fetch))
+        seen = self._ranked(table, Knn(p.media_column, p.file, fetch)).drop("rid")
         texts = self._match(table, Match(p.text_column, p.terms), fetch).withColumn("key", self._key(table, p.media_column))
         texts = texts.groupBy("key").agg(F.max("score").alias("score"))
         fused = self.fuse([seen, texts], p.k).withColumnRenamed("score", "fused_score")

@@ -5,6 +5,8 @@ The expressions are written so that Spark and other SQL engines read them alike.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,7 @@ SUFFIXES = (
 )
 
 MIN_TOKEN = 2
+_WORD = re.compile("[a-z0-9]+")
 WINDOW = 100
 
 
@@ -45,6 +48,17 @@ def stem_sql(t: str) -> str:
     return "CASE " + " ".join(f"WHEN {t} LIKE '%{c}' THEN CASE {' '.join(whens)} ELSE {t} END" for c, whens in by_last.items()) + f" ELSE {t} END"
 
 
+def stem_rule(t: str) -> str:
+    """The rule stemmer over one word; stem_sql says the same in SQL."""
+    for suffix, instead in SUFFIXES:
+        if t.endswith(suffix) and len(t) > len(suffix) + 2:
+            base = t[: -len(suffix)]
+            if instead is not None:
+                return base + instead
+            return base[:-1] if base[-1] == base[-2] and base[-1] not in "aeiou" else base
+    return t[:-1] if t.endswith("s") and not t.endswith("ss") and len(t) > 3 else t
+
+
 def stop_sql(t: str) -> str:
     return f"{t} IN ({', '.join(f"'{w}'" for w in STOPWORDS)})"
 
@@ -65,6 +79,19 @@ def with_chunks(df: DataFrame, text: str, keep: list[str], window: int = WINDOW)
     return steps.select(*keep, chunks.alias("chunks"))
 
 
+_SPACE = " \t\n\x0b\f\r"
+_PARAGRAPHS, _GAPS = re.compile(rf"\n[{_SPACE}]*\n"), re.compile(f"[{_SPACE}]+")
+
+
+def cut(text: str, window: int = WINDOW) -> list[str]:
+    """The chunks of one text; with_chunks says the same in SQL."""
+    found = [p for p in (x.strip(_SPACE) for x in _PARAGRAPHS.split(text)) if p]
+    if len(found) != 1:
+        return found or [text]
+    words = _GAPS.split(found[0])
+    return found if len(words) <= window else [" ".join(words[i : i + window]) for i in range(0, len(words), window)]
+
+
 def tokens_of(text: Column) -> Column:
     """Runs of a-z and digits of the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
@@ -84,6 +111,42 @@ def name_of(analyzer: Analyzer) -> str:
     return analyzer if isinstance(analyzer, str) else analyzer.__name__
 
 
+def stemmer(analyzer: str) -> Callable[[str], str]:
+    """The stemmer of that name, over one word."""
+    if analyzer == "rule":
+        return stem_rule
+    if analyzer == "porter2":
+        from .porter2 import stem
+
+        return stem
+    raise ValueError(f"unknown analyzer: {analyzer}")
+
+
+class Counted:
+    """Counts of terms in texts; a word is stemmed once, as long as few enough are known."""
+
+    KNOWN = 200_000
+
+    def __init__(self, analyzer: str):
+        self.stem, self.known = stemmer(analyzer), {}
+
+    def term(self, word: str) -> str:
+        found = "" if len(word) < MIN_TOKEN or word in STOPWORDS else self.stem(word)
+        return "" if found in STOPWORDS else found
+
+    def __call__(self, text: str) -> dict[str, int]:
+        if len(self.known) > self.KNOWN:
+            self.known.clear()
+        out: dict[str, int] = {}
+        for word, n in Counter(_WORD.findall(text.lower())).items():
+            term = self.known.get(word)
+            if term is None:
+                term = self.known[word] = self.term(word)
+            if term:
+                out[term] = out.get(term, 0) + n
+        return out
+
+
 def terms(df: DataFrame, text: str, keep: list[str], analyzer: Analyzer = "rule") -> DataFrame:
     """One row for each term of a text, stemmed and without stop words: the columns of keep, and term."""
     words = df.select(*keep, F.explode(tokens_of(F.col(text))).alias("token"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -36,3 +38,22 @@ def ranged(df: DataFrame, column: str, bounds: Range, order: tuple[str, ...] = (
     """Rows in the range, by key, then by the columns of order; the first `limit` of them."""
     out = df.filter(bounds.column(F.col(column))).orderBy(column, *order)
     return out if limit is None else out.limit(limit)
+
+
+#: Ranges that stand for a list of numbers where files' statistics are asked.
+RANGES = 24
+
+
+def one_of(column: Column, numbers: Iterable[int]) -> Column:
+    """Whether a column is one of some numbers, in a form that skips files and row groups.
+
+    A long list says no more to their statistics than its least and greatest; so it goes
+    with the ranges that its largest gaps leave.
+    """
+    numbers = sorted(set(numbers))
+    if not numbers:
+        return F.lit(False)
+    gaps = sorted(range(1, len(numbers)), key=lambda i: numbers[i - 1] - numbers[i])[: RANGES - 1]
+    cuts = [0, *sorted(gaps), len(numbers)]
+    ranges = [column.between(numbers[a], numbers[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return reduce(lambda x, y: x | y, ranges) & column.isin(numbers)

@@ -7,19 +7,22 @@ shuffles sort, spill and merge; a query touches the postings of its terms alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WINDOW, Analyzer, spread, terms, with_chunks
+from ..functions.text import WINDOW, Analyzer, Counted, cut, spread, terms, with_chunks
 
 #: A way to cut texts, as with_chunks does.
 Chunker = Callable[[DataFrame, str, list[str], int], DataFrame]
 
 
+#: Chunks that a task sends on at once.
+HELD_CHUNKS = 4096
 #: A capped vocabulary of up to so many terms is broadcast.
 BROADCAST_TERMS = 500_000
 
@@ -32,6 +35,7 @@ class TextIndex:
     postings: DataFrame
     vocabulary: int | None = None
     analyzer: Analyzer = "rule"
+    rows: DataFrame | None = None  # of term_rows, from which both follow
 
     def posting_files(self) -> int:
         """How many files hold the postings."""
@@ -65,21 +69,91 @@ class TextIndex:
 def chunk_table(df: DataFrame, key: str, text: str, window: int = WINDOW, chunker: Chunker = with_chunks) -> DataFrame:
     """(doc_id, chunk_no, chunk_id, chunk): a lone chunk has the document's id, others add #number."""
     named = spread(df).select(F.col(key).cast("string").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    each = chunker(named, "text", ["doc_id"], window).select("doc_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("chunk_no", "chunk"))
-    chunk_id = F.when(F.col("n") == 1, F.col("doc_id")).otherwise(F.concat_ws("#", "doc_id", F.col("chunk_no").cast("string")))
-    return each.select("doc_id", "chunk_no", chunk_id.alias("chunk_id"), "chunk")
+    each = cut_rows(named, "doc_id", window) if chunker is with_chunks else chunked(named, "doc_id", chunker, window)
+    return each.select("doc_id", "chunk_no", chunk_name("doc_id", "chunks").alias("chunk_id"), "chunk")
+
+
+def chunk_name(key: str, chunks: str) -> Column:
+    return F.when(F.col(chunks) == 1, F.col(key).cast("string")).otherwise(F.concat_ws("#", F.col(key).cast("string"), F.col("chunk_no").cast("string")))
+
+
+def chunked(df: DataFrame, key: str, chunker: Chunker, window: int = WINDOW) -> DataFrame:
+    """(key, chunks, chunk_no, chunk) of df(key, text): chunks is their number."""
+    return chunker(df, "text", [key], window).select(key, F.size("chunks").alias("chunks"), F.posexplode("chunks").alias("chunk_no", "chunk"))
+
+
+def _by_row(df: DataFrame, key: str, each: Callable[[str], list[tuple]], fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """(key, chunks, chunk_no, fields): each(text) gives a tuple of fields for each of a text's chunks."""
+    names = [key, "chunks", "chunk_no", *(f for f, _, _ in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # A text at a time, in batches of some size, so that what is held doesn't grow with the batch.
+            at, many, numbers, columns = [], [], [], [[] for _ in fields]
+            for i, text in enumerate(b.column("text")):
+                found = each(text.as_py())
+                at += [i] * len(found)
+                many += [len(found)] * len(found)
+                numbers += range(len(found))
+                for column, values in zip(columns, zip(*found, strict=True), strict=True):
+                    column.extend(values)
+                if len(at) >= HELD_CHUNKS or i == b.num_rows - 1:
+                    arrays = [pa.array(c, kind) for c, (_, kind, _) in zip(columns, fields, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), pa.array(many, pa.int32()), pa.array(numbers, pa.int32()), *arrays], names)
+                    at, many, numbers, columns = [], [], [], [[] for _ in fields]
+
+    kinds = [df.schema[key].dataType.simpleString(), "int", "int", *(t for _, _, t in fields)]
+    return df.select(key, "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
+
+
+def cut_rows(df: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
+    """As chunked, by the chunker of this library."""
+    return _by_row(df, key, lambda text: [(c,) for c in cut(text, window)], [("chunk", pa.string(), "string")])
+
+
+def term_rows(df: DataFrame, key: str, analyzer: Analyzer = "rule", window: int = WINDOW, chunker: Chunker = with_chunks) -> DataFrame:
+    """(key, chunks, chunk_no, terms, tfs) of df(key, text): a row a chunk, its terms and how often it has each."""
+    named = df.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    if not callable(analyzer):
+        count = Counted(analyzer)
+        fields = [("terms", pa.list_(pa.string()), "array<string>"), ("tfs", pa.list_(pa.int32()), "array<int>")]
+        if chunker is with_chunks:
+            return _by_row(named, key, lambda text: [(list(f), list(f.values())) for f in map(count, cut(text, window))], fields)
+        each = chunked(named, key, chunker, window)
+        whole = each.select(F.struct(key, "chunks", "chunk_no").alias("row"), F.col("chunk").alias("text"))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [count(t) for t in b.column("text").to_pylist()]
+                lists = [pa.array([list(f) for f in found], fields[0][1]), pa.array([list(f.values()) for f in found], fields[1][1])]
+                yield pa.RecordBatch.from_arrays([b.column("row"), *lists], ["row", "terms", "tfs"])
+
+        return whole.mapInArrow(counted, f"row {whole.schema['row'].dataType.simpleString()}, terms array<string>, tfs array<int>").select("row.*", "terms", "tfs")
+    each = chunked(named, key, chunker, window)
+    found = terms(each, "chunk", [key, "chunk_no", "chunks"], analyzer).groupBy(key, "chunk_no", "chunks", "term").agg(F.count("*").cast("int").alias("tf"))
+    found = found.unionByName(each.select(key, "chunk_no", "chunks", F.lit("").alias("term"), F.lit(0).alias("tf")))
+    lists = found.groupBy(key, "chunk_no", "chunks").agg(F.expr("filter(sort_array(collect_list(struct(term, tf))), x -> x.term <> '')").alias("v"))
+    return lists.select(key, "chunks", "chunk_no", F.col("v.term").alias("terms"), F.col("v.tf").alias("tfs"))
 
 
 def index_text(df: DataFrame, key: str, text: str, vocabulary: int | None = None, analyzer: Analyzer = "rule", window: int = WINDOW, chunker: Chunker = with_chunks) -> TextIndex:
     """chunker: from (rows, text column, columns to keep, window) to those columns and `chunks`, an array."""
-    chunks = chunk_table(df, key, text, window, chunker)
-    postings = terms(chunks, "chunk", ["chunk_id"], analyzer).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    return TextIndex(chunks.drop("chunk"), postings, vocabulary, analyzer)
+    named = spread(df).select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    return of_rows(term_rows(named, "doc_id", analyzer, window, chunker), "doc_id", vocabulary, analyzer)
+
+
+def of_rows(rows: DataFrame, key: str, vocabulary: int | None = None, analyzer: Analyzer = "rule") -> TextIndex:
+    """The index of term_rows."""
+    named = rows.select(F.col(key).cast("string").alias("doc_id"), "chunk_no", chunk_name(key, "chunks").alias("chunk_id"), F.arrays_zip("terms", "tfs").alias("v"))
+    flat = named.select("chunk_id", F.explode("v").alias("p"))
+    return TextIndex(named.drop("v"), flat.select(F.col("p.terms").alias("term"), "chunk_id", F.col("p.tfs").cast("long").alias("tf")), vocabulary, analyzer, rows)
 
 
 def held(index: TextIndex) -> TextIndex:
-    """The index with its tables kept for as long as the session likes: a query reads them several times."""
-    return TextIndex(index.chunks.persist(), index.postings.persist(), index.vocabulary, index.analyzer)
+    """The index with what it follows from held, as a query reads it several times; the cache drops what it has no room for."""
+    if index.rows is None:
+        return TextIndex(index.chunks.persist(), index.postings.persist(), index.vocabulary, index.analyzer)
+    return of_rows(index.rows.persist(), index.rows.columns[0], index.vocabulary, index.analyzer)
 
 
 def frozen(index: TextIndex) -> TextIndex:
@@ -89,6 +163,8 @@ def frozen(index: TextIndex) -> TextIndex:
 
 def query_terms(index: TextIndex, query: str) -> dict[str, int]:
     """The query's terms and how often it has them: a few rows, on the driver."""
+    if isinstance(index.analyzer, str):
+        return Counted(index.analyzer)(query)
     spark = index.chunks.sparkSession
     rows = terms(spark.sql("SELECT :q AS q", args={"q": query}), "q", [], index.analyzer).collect()
     return reduce(lambda d, r: d | {r["term"]: d.get(r["term"], 0) + 1}, rows, {})
@@ -122,6 +198,41 @@ def match(index: TextIndex, query: str, k: int | None = None, norms: DataFrame |
     return out if k is None else out.limit(k)
 
 
+def match_batch(index: TextIndex, queries: DataFrame, key: str, text: str, k: int, digits: int | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score, best_chunk): as match, for each of queries(key, text), in one job.
+
+    Terms of queries meet postings by term; a chunk's dot products with the queries are
+    added up before anything else is known of it.  Queries without known terms have no
+    rows; null texts have no terms.
+    """
+    asked = queries.select(F.col(key).alias("query_id"), F.coalesce(text, F.lit("")).alias("text"))
+    if callable(index.analyzer):
+        asked = terms(asked, "text", ["query_id"], index.analyzer).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    else:
+        count = Counted(index.analyzer)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [(i, t, n) for i, q in enumerate(b.column("text").to_pylist()) for t, n in count(q).items()]
+                at, words, times = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(times, pa.int64())], ["query_id", "term", "qtf"])
+
+        asked = asked.mapInArrow(counted, f"query_id {asked.schema['query_id'].dataType.simpleString()}, term string, qtf long")
+    seen = index.visible()
+    weights = index.idf(seen).select("term", "idf")
+    weighed = asked.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("q"))
+    lengths = weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
+    norms = seen.join(weights, "term").groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf"))).alias("norm")).filter("norm > 0")
+    dots = seen.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
+    score = F.col("dot") / (F.col("norm") * F.col("length"))
+    scored = dots.join(norms, "chunk_id").join(lengths, "query_id").select("query_id", "chunk_id", (score if digits is None else F.round(score, digits)).alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("best")
+    found = scored.join(index.chunks.select("doc_id", "chunk_id"), "chunk_id").groupBy("query_id", "doc_id").agg(best)
+    order = Window.partitionBy("query_id").orderBy("best")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "doc_id", (-F.col("best.s")).alias("score"), F.col("best.chunk_id").alias("best_chunk"))
+
+
 def postings_for(index: TextIndex, text: str) -> DataFrame:
     """The postings of the first term of a text."""
     first = next(iter(query_terms(index, text)), None)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, literal, norm
-from ..sources.scratch import scratch
 
 DEFAULT_K = 10
 #: How rare a dimension is, least candidates, and when to give up.
@@ -20,8 +19,8 @@ RARE_SHARE, CANDIDATES_PER_K, CANDIDATE_SHARE, FULL_SCAN_SHARE = 0.05, 4, 0.01,
 BLOCK, SHARD, QUERIES = 4096, 65_536, 256
 
 
-def cosine_top(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int | None = None, norms: str | None = None) -> DataFrame:
-    """(key, score) of the k vectors of largest cosine, ties to the smaller key.
+def cosine_top(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int | None = None, norms: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, the columns of keep, score) of the k vectors of largest cosine, ties to the smaller key.
 
     A query of zeros has no neighbours; zero vectors and those of another length are
     none.  norms: a column that holds the vectors' norms already.
@@ -32,7 +31,21 @@ def cosine_top(df: DataFrame, key: str, vector: str, query: Sequence[float], k:
     if length == 0:
         rows = rows.limit(0)
     score = dot(F.col(vector), literal(query)) / (F.col("_norm") * length)
-    return rows.filter("_norm > 0").select(F.col(key).alias("key"), score.alias("score")).orderBy(F.desc("score"), "key").limit(k)
+    return rows.filter("_norm > 0").select(F.col(key).alias("key"), *keep, score.alias("score")).orderBy(F.desc("score"), "key").limit(k)
+
+
+def arrays_of(v: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, places, unit vectors) of a column of vectors, by length; those without a direction left out."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    size = np.nan_to_num(pc.list_value_length(v).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts = np.cumsum(size) - size
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == dim)
+        x = flat[starts[at, None] + np.arange(dim)]
+        length = np.linalg.norm(x, axis=1)
+        ok = length > 0
+        yield dim, at[ok], x[ok] / length[ok, None]
 
 
 def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -42,13 +55,7 @@ def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, flat = pc.list_value_length(b.column("v")).to_numpy(), b.column("v").flatten().to_numpy(zero_copy_only=False)
-            starts = np.cumsum(size) - size
-            for dim in np.unique(size).tolist():
-                at = np.flatnonzero(size == dim)
-                x = flat[starts[at, None] + np.arange(dim)]
-                length = np.linalg.norm(x, axis=1)
-                at, x = at[length > 0], x[length > 0] / length[length > 0, None]
+            for dim, at, x in arrays_of(b.column("v")):
                 for i in range(0, len(at), BLOCK):
                     keys = b.column("key").take(pa.array(at[i : i + BLOCK]))
                     yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([x[i : i + BLOCK].tobytes()], pa.binary())], ["dim", "keys", "data"])
@@ -81,8 +88,8 @@ def cosine_batch(df: DataFrame, key: str, vector: str, queries: DataFrame, k: in
                 if not asks:
                     of, parts, shard = here, [*(parts if of == here else []), (keys, x)], None
                 elif of == here:
-                    shard = shard or _shard(parts)
-                    yield from _best(shard, keys, x, k, digits)
+                    shard = shard or one_shard(parts)
+                    yield from best_of(shard, keys, x, k, digits)
 
     streams = held.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
     found = streams.mapInArrow(each, f"query_id {kinds[0]}, key {kinds[1]}, score double")
@@ -90,14 +97,14 @@ def cosine_batch(df: DataFrame, key: str, vector: str, queries: DataFrame, k: in
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "score")
 
 
-def _shard(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+def one_shard(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
     """All blocks of a shard as one, by key: columns in the order in which ties go."""
     keys = pa.concat_arrays([k for k, _ in parts])
     order = pc.sort_indices(keys)
     return keys.take(order), np.concatenate([x for _, x in parts])[order.to_numpy()]
 
 
-def _best(shard: tuple[pa.Array, np.ndarray], ids: pa.Array, q: np.ndarray, k: int, digits: int | None) -> Iterator[pa.RecordBatch]:
+def best_of(shard: tuple[pa.Array, np.ndarray], ids: pa.Array, q: np.ndarray, k: int, digits: int | None) -> Iterator[pa.RecordBatch]:
     keys, x = shard
     for a in range(0, len(q), QUERIES):
         score = q[a : a + QUERIES] @ x.T
@@ -122,9 +129,9 @@ def candidates(df: DataFrame, key: str, query: Sequence[float], k: int, postings
     """(key): vectors of df to score, those that share most of the query's rare dimensions; None: all.
 
     Rare dimensions are positive in the query and in few vectors.  Without any, or
-    with too few or too many candidates, all vectors are scored.  Candidates are
-    written down once; their least overlap comes from a count by steps of overlap, so
-    that no task ranks more than those of one step.
+    with too few or too many candidates, all vectors are scored.  The candidates' least
+    overlap comes from a count by steps of overlap, so that no task ranks more than
+    those of one step.
     """
     n = df.count()
     asked = [i for i, v in enumerate(query) if v > 0]
@@ -135,9 +142,6 @@ def candidates(df: DataFrame, key: str, query: Sequence[float], k: int, postings
         return None
     weight = F.create_map(*[F.lit(x) for d in rare for x in (d, float(query[d]))])[F.col("dim")]
     shared = postings.filter(F.col("dim").isin(rare)).groupBy("key").agg(F.sum(F.col("value").cast("double") * weight).alias("overlap"))
-    folder = scratch(df.sparkSession)
-    shared.write.parquet(folder)
-    shared = df.sparkSession.read.schema(shared.schema).parquet(folder)
     step, above, least = F.floor(F.log2("overlap") * 64), 0, None
     for r in shared.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # some thousand steps at most
         if above + r["count"] >= limit:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import spread, stem_sql, stop_sql, terms
 from .functions.vectors import dot, norm
-from .operators import evaluate, fusion, lookup, spatial, text, vector
+from .operators import evaluate, fusion, impact, ivf, lookup, spatial, text, vector
 from .operators.lookup import Range
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,36 @@ def spatial_knn(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest_points(_points(spark, d), ("x", "y"), (25, 1000), TOP, ("p_partkey",)).withColumn("distance", F.round("distance", 6))
 
 
+PLACES = ["CREATE TABLE places (p_partkey INT, at VECTOR)", "CREATE INDEX ON places (at) USING rtree"]
+
+
+def _places(spark: SparkSession, d: str, *sql: str) -> DataFrame:
+    """Points of all parts in a spatial layout of the engine."""
+    rows = _points(spark, d).select("p_partkey", F.array("x", "y").alias("at"))
+    return _engine(spark, [PLACES[0], PLACES[1], *sql], ("places", rows))
+
+
+@query("spatial_cells_within", f"SELECT CAST(p_partkey AS BIGINT) AS p_partkey, x, y FROM ({PART}) WHERE x BETWEEN 10 AND 20 AND y BETWEEN 950 AND 1200")
+def spatial_cells_within(spark: SparkSession, d: str) -> DataFrame:
+    """The box, from the cells that it meets."""
+    return _places(spark, d, "SELECT p_partkey, at FROM places WHERE WITHIN(at, [10, 950], [20, 1200])").select("p_partkey", F.col("at")[0].alias("x"), F.col("at")[1].alias("y"))
+
+
+@query("spatial_cells_knn", f"SELECT round(sqrt((x - 25) * (x - 25) + (y - 1000) * (y - 1000)), 6) AS distance FROM ({PART}) WHERE p_partkey % 3 <> 0 OR x < 20 OR x > 30 ORDER BY sqrt((x - 25) * (x - 25) + (y - 1000) * (y - 1000)) LIMIT {TOP}")
+def spatial_cells_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest points, from the cells near enough, after some of the nearest were deleted."""
+    rows = _points(spark, d).select("p_partkey", F.array("x", "y").alias("at"), F.when((F.col("p_partkey") % 3 == 0) & F.col("x").between(20, 30), 1).otherwise(0).alias("gone"))
+    out = _engine(spark, ["CREATE TABLE places (p_partkey INT, at VECTOR, gone INT)", PLACES[1], "DELETE FROM places WHERE gone = 1", f"SELECT p_partkey FROM places WHERE KNN(at, [25, 1000], {TOP})"], ("places", rows))
+    return out.select(F.round("distance", 6).alias("distance"))
+
+
+@query("hash_eq", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_totalprice FROM orders WHERE o_custkey = 42")
+def hash_eq(spark: SparkSession, d: str) -> DataFrame:
+    """Equality on a key with many rows, by the bucket of a hashed layout."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return _engine(spark, ["CREATE TABLE o (o_orderkey INT, o_custkey INT, o_totalprice FLOAT)", "CREATE INDEX ON o (o_custkey) USING hash", "SELECT o_orderkey, o_custkey, o_totalprice FROM o WHERE o_custkey = 42"], ("o", rows))
+
+
 # Text
 CHUNKS = r"""
 p AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
@@ -212,6 +242,55 @@ def match_vocab(spark: SparkSession, d: str) -> DataFrame:
     return text.match(_index(spark, d, VOCABULARY), QUERY_TEXT, TOP, digits=6)
 
 
+def _saver(spark: SparkSession):
+    from .sources.scratch import scratch
+
+    folder = scratch(spark)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return written
+
+
+def _top(spark: SparkSession, index: impact.ImpactIndex) -> DataFrame:
+    from .functions.text import Counted
+
+    found = index.top(Counted("rule")(QUERY_TEXT), TOP, digits=6)
+    return spark.createDataFrame([(str(i), s, c) for i, s, c in found], "doc_id string, score double, best_chunk string")
+
+
+@query("match_early", f"WITH {POSTINGS}, {ALL_SEEN}, {WEIGHTS}, {MATCHED}, {BEST} SELECT * FROM best ORDER BY score DESC, best_chunk LIMIT {TOP}")
+def match_early(spark: SparkSession, d: str) -> DataFrame:
+    """As match_topk, from the best postings alone."""
+    return _top(spark, impact.index([table(spark, d, "documents")], "doc_id", "text", _saver(spark)))
+
+
+LEFT = CHUNKS.replace("FROM documents", "FROM documents WHERE coalesce(lang, '') <> 'fr'")
+
+
+@query("match_parts", f"WITH {POSTINGS.replace(CHUNKS, LEFT)}, {ALL_SEEN}, {WEIGHTS}, {MATCHED}, {BEST} SELECT * FROM best ORDER BY score DESC, best_chunk LIMIT {TOP}")
+def match_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same over an index of three parts, of which a language was deleted: counts are merged, no part is built anew."""
+    docs = table(spark, d, "documents")
+    parts = [docs.filter(F.col("doc_id") % 7 < 4), docs.filter(F.col("doc_id") % 7 == 4), docs.filter(F.col("doc_id") % 7 > 4)]
+    return _top(spark, impact.index(parts, "doc_id", "text", _saver(spark), docs.filter("lang = 'fr'")))
+
+
+@query("match_batch", f"""WITH {POSTINGS}, {ALL_SEEN}, {WEIGHTS},
+qraw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark),
+q AS (SELECT query_id, {stem_sql("t")} AS term, count(*) AS qtf FROM qraw WHERE length(t) >= 2 AND NOT {stop_sql("t")} GROUP BY ALL),
+qw AS (SELECT query_id, term, idf, qtf * idf AS w FROM q JOIN idf USING (term)),
+ql AS (SELECT query_id, sqrt(sum(w * w)) AS length FROM qw GROUP BY ALL),
+dots AS (SELECT query_id, chunk_id, sum(tf * idf * w) AS dot FROM seen JOIN qw USING (term) GROUP BY ALL),
+scored AS (SELECT query_id, chunk_id, round(dot / (norm * length), 6) AS score FROM dots JOIN norms USING (chunk_id) JOIN ql USING (query_id) WHERE norm > 0),
+best AS (SELECT query_id, doc_id, max(score) AS score, arg_min(chunk_id, (-score, chunk_id)) AS best_chunk FROM scored JOIN named USING (chunk_id) GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_chunk) AS INTEGER) AS rank, doc_id, score, best_chunk FROM best QUALIFY rank <= {TOP}""")
+def match_batch(spark: SparkSession, d: str) -> DataFrame:
+    return text.match_batch(_index(spark, d), table(spark, d, "benchmark"), "item_id", "text", TOP, digits=6)
+
+
 @query("match_porter2")
 def match_porter2(spark: SparkSession, d: str) -> DataFrame:
     return text.match(_index(spark, d, analyzer="porter2"), QUERY_TEXT, TOP, digits=6)
@@ -265,6 +344,31 @@ def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "key")
 
 
+#: Lists that queries by inverted files read, of all.
+LISTS, PROBES = 32, 16
+
+
+def _ivf(spark: SparkSession, d: str, probes: int | None) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    centres = ivf.fit(e, "vec_id", "embedding", LISTS)
+    laid = _saver(spark)(ivf.assigned(e, "embedding", centres), "lists")
+    return ivf.batch(laid, "vec_id", "embedding", e.filter(F.col("vec_id") % EVERY == 0), TOP, centres, probes, digits=6)
+
+
+@query("knn_ivf", f"SELECT query_id, key, score, CAST(rank AS INTEGER) AS rank FROM {BATCH} WHERE rank <= {TOP}")
+def knn_ivf(spark: SparkSession, d: str) -> DataFrame:
+    """Inverted-file search that reads all of its lists: exact."""
+    return _ivf(spark, d, LISTS)
+
+
+@query("ivf_recall", f"SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % {EVERY} = 0")
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether half of the lists have nine of the ten nearest, held against all vectors."""
+    found, true = _ivf(spark, d, PROBES).select("query_id", "key"), _batch(spark, d).select("query_id", "key")
+    queries = true.agg(F.countDistinct("query_id").alias("queries"))
+    return evaluate.recall(found, true).crossJoin(queries).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # Fusion and evaluation: documents and embeddings meet at doc_id = vec_id
 DEEP = 3 * TOP
 TWO = f"""{POSTINGS}, {ALL_SEEN}, {WEIGHTS}, {MATCHED}, {BEST},

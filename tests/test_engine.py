@@ -107,7 +107,7 @@ def test_only_new_parts_are_built(harbour):
     e.sql("SELECT hull FROM boats WHERE berth = 12").rows()
     first = e.storage._built  # counts what is built from here on
     built = []
-    e.storage._built = lambda at, build: first(at, lambda: (built.append(at), build())[1])
+    e.storage._built = lambda at, build, by=None: first(at, lambda: (built.append(at), build())[1], by)
     e.sql('INSERT INTO boats VALUES (13, "Dunlin", 5)')
     assert column(e.sql("SELECT hull FROM boats WHERE berth BETWEEN 12 AND 13"), "hull") == ["Gannet", "Skua", "Dunlin"]
     assert len(built) == 1 and folder.endswith("boats")
@@ -122,7 +122,8 @@ def test_parts_are_merged_and_old_folders_cleared(harbour, spark, monkeypatch):
     assert harbour.storage.vacuum("boats") > 0
     again = Engine(spark, harbour.storage.folder)
     assert column(again.sql("SELECT hull FROM boats WHERE berth >= 104"), "hull") == ["B4", "B5"]
-    assert json.loads(again.storage._read("catalog.json"))[0]["name"] == "boats"
+    numbers = again.storage._numbers()
+    assert len(numbers) <= storage.KEPT_CATALOGS and json.loads(again.storage._read(f"_catalog/{numbers[-1]:012d}.json"))[0]["name"] == "boats"
 
 
 def test_points_in_boxes_and_nearest(spark, tmp_path):
@@ -175,8 +176,8 @@ def test_pruned_search_is_used_and_can_be_left_out(spark, tmp_path):
         e.load(name, spark.createDataFrame(rows, "no long, v array<double>"))
         found = e.sql(f"SELECT no FROM {name} WHERE KNN(v, {[float(j == 7) for j in range(61)]}, 2)")
         assert sorted(column(found, "no")) == [127, 187] or sorted(column(found, "no")) == [127, 7]
-    folders = [s.getPath().getName() for s in e.storage._path("pruned")[0].listStatus(e.storage._path("pruned")[1])]
-    assert any("v-dims" in f for f in folders)
+        folders = [s.getPath().getName() for s in e.storage._path(name)[0].listStatus(e.storage._path(name)[1])]
+        assert any("v-lists" in f for f in folders) and any("v-centroids" in f for f in folders)
 
 
 def by_line(df, text, keep, window):
