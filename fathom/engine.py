@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -272,42 +273,52 @@ class Engine:
         keys = self.storage.each_part(table, f"{column}-keys", lambda rows: self._keyed(table, rows, column).select("key", "rid").repartitionByRange("key").sortWithinPartitions("key", "rid"))
         return held, keys, centres
 
-    def _ranked(self, table: str, p: Knn) -> DataFrame:
-        """(key, rid, score) of the k vectors of largest cosine; of rows of one key the last counts."""
+    def _nearest(self, table: str, p: Knn) -> list[tuple[str, int, float]] | None:
+        """(key, _rid, score) of the k vectors of largest cosine among the lists of an index; None: there is none, or k is large.
+
+        Of rows of one key the last counts.
+        """
         query, k = self._vector(p.query)[0], vector.DEFAULT_K if p.k is None else p.k
         index = self.storage.get(table).indexes.get(p.column, {})
         if index.get("kind") != "knn" or not self.storage.get(table).parts or k > MOST_LOOKED_UP:
-            rows = self._keyed(table, self.storage.read(table), p.column)
-            last = rows.groupBy("key").agg(F.max_by(F.struct("rid", "vec"), "rid").alias("r")).select("key", "r.rid", "r.vec")
-            return vector.cosine_top(last, "key", "vec", query, k, keep=("rid",))
+            return None
         held, keys, centres = self._lists(table, p.column)
         probes = len(centres) if index["options"].get("exact") else index["options"].get("probes")
         lists, take = ivf.probed(query, centres, probes), 2 * k
         while True:
             read = self.storage.alive(table, reduce(DataFrame.unionByName, [h.filter(F.col("_list").isin(lists)) for h in held]), "rid")
             found = vector.cosine_top(read, "key", "vec", query, take, norms="norm", keep=("rid",)).collect()
-            asked = {r["key"] for r in found}
-            # Keys are in order in their files; a few of them are named one by one.
-            where = F.col("key").isin(sorted(asked)) & F.col("key").between(min(asked), max(asked)) if asked else F.lit(False)
-            latest = {}
-            if asked:
-                rows = self.storage.alive(table, reduce(DataFrame.unionByName, [x.filter(where) for x in keys]), "rid")
-                latest = {r["key"]: r["rid"] for r in rows.groupBy("key").agg(F.max("rid").alias("rid")).collect()}
-            best = [(r["key"], r["rid"], r["score"]) for r in found if latest.get(r["key"], r["rid"]) == r["rid"]]
-            if len(best) < k and len(found) < take and len(lists) <= len(centres):
+            asked, latest = sorted({r["key"] for r in found}), {}
+            if asked:  # keys are in order in their files
+                where = F.col("key").isin(asked) & F.col("key").between(asked[0], asked[-1])
+                rows = self.storage.alive(table, reduce(DataFrame.unionByName, [x.filter(where) for x in keys]), "rid").collect()
+                for r in rows:
+                    latest[r["key"]] = max(r["rid"], latest.get(r["key"], r["rid"]))
+            best = [(r["key"], r["rid"], r["score"]) for r in found if latest[r["key"]] == r["rid"]]
+            if len(best) >= k:
+                return best[:k]
+            if len(found) >= take:
+                take *= 4
+            elif len(lists) <= len(centres):
                 lists = ivf.probed(query, centres, 2 * len(lists))  # those that were read have too few
-                continue
-            if len(best) >= k or len(found) < take:
-                return self.spark.createDataFrame(best[:k], "key string, rid long, score double")
-            take *= 4
+            else:
+                return best
+
+    def _ranked(self, table: str, p: Knn) -> DataFrame:
+        """The same as rows (key, rid, score), whatever k is."""
+        found = self._nearest(table, p)
+        if found is not None:
+            return self.spark.createDataFrame(found, "key string, rid long, score double")
+        rows = self._keyed(table, self.storage.read(table), p.column)
+        last = rows.groupBy("key").agg(F.max_by(F.struct("rid", "vec"), "rid").alias("r")).select("key", "r.rid", "r.vec")
+        return vector.cosine_top(last, "key", "vec", self._vector(p.query)[0], p.k, keep=("rid",))
 
     def _knn(self, table: str, p: Knn, wanted: list[str]) -> DataFrame:
-        found = self._ranked(table, p)
-        if p.k is None or p.k <= MOST_LOOKED_UP:
-            rows = self.storage.rows_of(table, [r["rid"] for r in found.collect()])
+        found = self._nearest(table, p)
+        if found is not None:
+            rows = self._looked_up(table, {rid: {"key": key, "score": score} for key, rid, score in found}, "struct<key:string,score:double>").select("*", "_found.key", "_found.score")
         else:
-            rows = self.storage.read(table)
-        rows = rows.join(F.broadcast(found) if p.k is None or p.k <= MOST_LOOKED_UP else found, F.col(ROW) == F.col("rid"))
+            rows = self.storage.read(table).join(self._ranked(table, p), F.col(ROW) == F.col("rid"))
         return rows.orderBy(F.desc("score"), "key").select("key", *[F.col(c) for c in wanted if c != "key"], "score")
 
     # Full text
@@ -346,7 +357,7 @@ class Engine:
         name = key[1]
 
         def of_rows(ids: list[int] | None) -> DataFrame:
-            where = F.lit(True) if ids is None else lookup.one_of(F.col("rid"), ids)
+            where = F.lit(True) if ids is None else lookup.one_of("rid", ids)
             return self.storage.alive(table, reduce(DataFrame.unionByName, [v.filter(where) for v in vectors]), "rid")
 
         def gone() -> list[DataFrame]:
@@ -363,26 +374,29 @@ class Engine:
         self._indexes = {k: v for k, v in self._indexes.items() if k[:2] != key[:2]} | {key: found}
         return found
 
-    def _ranked_texts(self, table: str, p: Match, k: int | None) -> DataFrame:
-        """(_rid, score, best_chunk): the k best documents; all that match without k."""
-        _, options = self._held(table, p.column)
-        index = None if k is None or "vocabulary" in options else self.impact_index(table, p.column)
-        if index is not None:
-            asked = text_ops.query_terms(text_ops.TextIndex(index.merged, index.merged, None, self.analyzer), p.terms)
-            top = index.top(asked, k)
-            if top is not None:
-                return self.spark.createDataFrame(top, f"{ROW} long, score double, best_chunk string")
-        found = text_ops.match(self.text_index(table, p.column), p.terms, k)
-        return found.select(F.col("doc_id").cast("long").alias(ROW), "score", "best_chunk")
+    def _top_texts(self, table: str, p: Match, k: int | None) -> list[tuple[int, float, str]] | None:
+        """(_rid, score, best chunk) of the k best documents, from the best postings; None: all have to be scored."""
+        index = None if k is None or "vocabulary" in self._held(table, p.column)[1] else self.impact_index(table, p.column)
+        if index is None:
+            return None
+        return index.top(text_ops.query_terms(text_ops.TextIndex(index.merged, index.merged, None, self.analyzer), p.terms), k)
 
     def _match(self, table: str, p: Match, k: int | None) -> DataFrame:
-        found = self._ranked_texts(table, p, k)
-        if k is not None and k <= MOST_LOOKED_UP:
-            rows = self.storage.rows_of(table, [r[ROW] for r in found.collect()])
-            found = F.broadcast(found)
+        top = self._top_texts(table, p, k)
+        if top is not None and len(top) <= MOST_LOOKED_UP:
+            rows = self._looked_up(table, {rid: {"score": score, "best_chunk": chunk} for rid, score, chunk in top}, "struct<score:double,best_chunk:string>")
+            return rows.select("*", "_found.score", "_found.best_chunk").drop("_found").orderBy(F.desc("score"), "best_chunk")
+        if top is not None:
+            found = self.spark.createDataFrame(top, f"{ROW} long, score double, best_chunk string")
         else:
-            rows = self.storage.read(table)
-        return rows.join(found, ROW).orderBy(F.desc("score"), "best_chunk")
+            found = text_ops.match(self.text_index(table, p.column), p.terms, k).select(F.col("doc_id").cast("long").alias(ROW), "score", "best_chunk")
+        return self.storage.read(table).join(found, ROW).orderBy(F.desc("score"), "best_chunk")
+
+    def _looked_up(self, table: str, facts: dict[int, dict[str, Any]], kind: str) -> DataFrame:
+        """The rows of a few numbers, in one partition, with what is known of each as `_found`."""
+        rows = self.storage.rows_of(table, list(facts)).coalesce(1)
+        held = F.from_json(F.lit(json.dumps(facts)), f"map<string,{kind}>")  # folded into a constant
+        return rows.withColumn("_found", held[F.col(ROW).cast("string")])
 
     def _hybrid(self, table: str, p: Hybrid, wanted: list[str]) -> DataFrame:
         """Both searches, fused by reciprocal ranks; rows by the media column's key."""

@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,11 @@ from .text import Chunker, term_rows
 #: Levels for each halving of a posting's impact; there are this many at most.
 HALVING, LEVELS = 4, 256
 #: Postings read at first, for each result and at least; how many more in each further round.
-FIRST_PER_K, FIRST_LEAST, GROWTH = 100, 4000, 8
+FIRST_PER_K, FIRST_LEAST, GROWTH = 30, 600, 6
+#: Postings that are fetched rather than added up by a job.
+FETCHED = 25_000
 #: Chunks weighed exactly at first, and up to which they are looked up one by one rather than joined.
-WEIGHED, LOOKED_UP = 96, 768
+WEIGHED, LOOKED_UP = 40, 768
 #: Chunks that are weighed by way of the driver at most.
 MOST_WEIGHED = 20_000
 #: Terms whose counts are kept between searches.
@@ -50,6 +53,20 @@ def vectors(rows: DataFrame, row: str, text: str, analyzer: Analyzer = "rule", c
     return term_rows(named, "rid", analyzer, chunker=chunker).repartitionByRange("rid").sortWithinPartitions("rid", "chunk_no")
 
 
+class Hopeful(NamedTuple):
+    """A chunk, its length by its part's weights, and what its score may be at most."""
+
+    rid: int
+    chunk_no: int
+    chunks: int
+    norm: float
+    upper: float
+
+    @property
+    def name(self) -> str:
+        return f"{self.rid}" if self.chunks == 1 else f"{self.rid}#{self.chunk_no}"
+
+
 def idf(df: Column, n: int) -> Column:
     return F.log((F.lit(n) + 1.0) / (df + 1.0)) + 1.0
 
@@ -118,7 +135,7 @@ def index(parts: list[DataFrame], row: str, text: str, written: Callable[[DataFr
         return df if out is None else df.join(out, "rid", "left_anti")
 
     def of_rows(ids: list[int] | None) -> DataFrame:
-        where = F.lit(True) if ids is None else one_of(F.col("rid"), ids)
+        where = F.lit(True) if ids is None else one_of("rid", ids)
         return live(reduce(DataFrame.unionByName, [v.filter(where) for v in held]))
 
     numbered = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(listed)])
@@ -136,9 +153,15 @@ class ImpactIndex:
     merged: DataFrame
     ratios: dict[int, tuple[float, float]]
     known: dict[str, tuple[int, dict[int, int]]]  # term -> df, postings by level: kept between searches
+    frequency: dict[str, int] = field(default_factory=dict)  # the same of terms of chunks that were weighed
     read: int = 0  # postings that the last search asked for
     whole: int = 0  # postings of its terms
 
+    @property
+    def exact(self) -> bool:
+        """Whether lengths in the postings are by the present counts."""
+        return all(r == (1.0, 1.0) for r in self.ratios.values())
+
     def facts(self, asked: list[str]) -> dict[str, tuple[int, dict[int, int]]]:
         """df and the number of postings by level of terms, and of ALL."""
         if len(self.known) > KNOWN:
@@ -175,7 +198,8 @@ class ImpactIndex:
 
         steps = {t: sorted(facts[t][1].items()) for t in weights}
         self.whole, slack = sum(m for s in steps.values() for _, m in s), 1e-9 if digits is None else 1.01 * 10.0**-digits
-        want, take, floor = max(FIRST_LEAST, FIRST_PER_K * k), max(WEIGHED, 4 * k), None
+        # Postings are fetched faster than chunks are looked up; where they are few, all of them are.
+        want, take, floor = self.whole if self.whole <= FETCHED else max(FIRST_LEAST, FIRST_PER_K * k), max(WEIGHED, 4 * k), None
         while take <= MOST_WEIGHED:
             # The next level of each term and what a posting there may add; the largest is read first.
             cut, read, at = dict.fromkeys(weights, -1), 0, dict.fromkeys(weights, 0)
@@ -187,12 +211,13 @@ class ImpactIndex:
             self.read = read
             hopeful = self._hopeful(cut, factor, left, take)
             best: dict[int, tuple[float, str]] = {}
-            for rid, chunk, score in self._weighed(hopeful[:take], weights, asked, length, n):
+            known = self.exact and not any(left.values())  # then the bound is the score
+            for rid, chunk, score in [(h.rid, h.name, h.upper) for h in hopeful[:take]] if known else self._weighed(hopeful[:take], weights, asked, length, n):
                 score = score if digits is None else round(score, digits)
                 if rid not in best or (-score, chunk) < (-best[rid][0], best[rid][1]):
                     best[rid] = score, chunk
             out = sorted(((rid, s, c) for rid, (s, c) in best.items()), key=lambda x: (-x[1], x[2]))[:k]
-            unread, others = sum(left.values()), hopeful[take]["upper"] if len(hopeful) > take else 0.0
+            unread, others = sum(left.values()), hopeful[take].upper if len(hopeful) > take else 0.0
             floor = out[-1][1] if len(out) == k else None
             enough = -1.0 if floor is None else floor - slack
             if (unread <= 0 or unread < enough) and (others <= 0 or others < enough):
@@ -203,34 +228,64 @@ class ImpactIndex:
                 want *= GROWTH
         return None
 
-    def _hopeful(self, cut: dict[str, int], factor: dict[str, float], left: dict[str, float], take: int) -> list:
-        """The chunks of the levels up to the cuts whose score may be largest: (rid, chunk_no, chunks, upper), and one more."""
+    def _hopeful(self, cut: dict[str, int], factor: dict[str, float], left: dict[str, float], take: int) -> list[Hopeful]:
+        """The `take` chunks of the levels up to the cuts whose score may be largest, and one more."""
         wanted = reduce(lambda a, b: a | b, [(F.col("term") == t) & (F.col("level") <= level) for t, level in cut.items() if level >= 0], F.lit(False))
-        rows = self.postings.filter(wanted)
+        rows, open_, least = self.postings.filter(wanted), sum(left.values()), {p: r for p, (r, _) in self.ratios.items()}
+        if self.read <= FETCHED:  # fewer than a job of two stages is worth
+            found = rows.select("rid", "chunk_no", "chunks", "norm", "term", "tf", "part").toArrow()
+            met: dict[tuple[int, int], list] = {}
+            for rid, no, chunks, norm, term, tf, part in zip(*(c.to_pylist() for c in found.columns), strict=True):
+                one = met.setdefault((rid, no), [open_, chunks, norm])
+                one[0] += tf * factor[term] / norm / least[part] - left[term]
+            out = [Hopeful(rid, no, chunks, norm, upper) for (rid, no), (upper, chunks, norm) in met.items()]
+            return sorted(out, key=lambda h: (-h.upper, h.rid, h.chunk_no))[: take + 1]
 
         def of(values: dict[str, float]) -> Column:
             return F.create_map(*[F.lit(x) for t, v in values.items() for x in (t, v)])[F.col("term")]
 
-        ratio = F.create_map(*[F.lit(x) for p, (least, _) in self.ratios.items() for x in (p, least)])[F.col("part")]
+        ratio = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("part")]
         sums = rows.groupBy("rid", "chunk_no", "chunks").agg(F.sum(F.col("tf") * of(factor) / F.col("norm") / ratio).alias("seen"), F.sum(of(left)).alias("met"), F.first("norm").alias("norm"))
-        upper = F.col("seen") + F.lit(sum(left.values())) - F.col("met")
-        return sums.select("rid", "chunk_no", "chunks", "norm", upper.alias("upper")).orderBy(F.desc("upper"), "rid", "chunk_no").limit(take + 1).collect()
+        upper = F.col("seen") + F.lit(open_) - F.col("met")
+        best = sums.select("rid", "chunk_no", "chunks", "norm", upper.alias("upper")).orderBy(F.desc("upper"), "rid", "chunk_no").limit(take + 1)
+        return [Hopeful(*r) for r in best.collect()]
 
-    def _weighed(self, hopeful: list, weights: dict[str, float], asked: dict[str, int], length: float, n: int) -> list[tuple[int, str, float]]:
+    def _weighed(self, hopeful: list[Hopeful], weights: dict[str, float], asked: dict[str, int], length: float, n: int) -> list[tuple[int, str, float]]:
         """Exact scores: (rid, chunk id, score)."""
         if not hopeful:
             return []
-        ids = sorted({h["rid"] for h in hopeful})
-        few = len(ids) <= LOOKED_UP
-        mine = F.broadcast(self.postings.sparkSession.createDataFrame([(h["rid"], h["chunk_no"], h["norm"]) for h in hopeful], "rid long, chunk_no int, norm double"))
-        held = self.vectors(ids if few else None).join(mine, ["rid", "chunk_no"])
+        exact = self.exact
+        query = {t: w * w * asked[t] for t, w in weights.items()}
+        ids = sorted({h.rid for h in hopeful})
+        if len(ids) <= LOOKED_UP:
+            mine, out = {(h.rid, h.chunk_no): h for h in hopeful}, []
+            rows = self.vectors(ids).select("rid", "chunk_no", "terms", "tfs").toArrow()
+            held = [(mine[rid, no], dict(zip(words, tfs, strict=True))) for rid, no, words, tfs in zip(*(c.to_pylist() for c in rows.columns), strict=True) if (rid, no) in mine]
+            counts = {} if exact else self._counts({t for _, tfs in held for t in tfs})
+            for h, tfs in held:
+                norm = h.norm if exact else math.sqrt(sum((tf * (math.log((n + 1.0) / (counts[t] + 1.0)) + 1.0)) ** 2 for t, tf in tfs.items()))
+                out.append((h.rid, h.name, sum(tfs.get(t, 0) * w for t, w in query.items()) / (norm * length)))
+            return out
+        spark = self.postings.sparkSession
+        mine = F.broadcast(spark.createDataFrame([(h.rid, h.chunk_no, h.norm) for h in hopeful], "rid long, chunk_no int, norm double"))
+        held = self.vectors(None).join(mine, ["rid", "chunk_no"])
         flat = held.select("rid", "chunk_no", "chunks", "norm", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("rid", "chunk_no", "chunks", "norm", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-        query = F.create_map(*[F.lit(x) for t, w in weights.items() for x in (t, w * w * asked[t])])[F.col("term")]
-        if all(r == (1.0, 1.0) for r in self.ratios.values()):  # lengths in the postings are exact
+        if exact:
             flat, length_now = flat.filter(F.col("term").isin(list(weights))), F.first("norm")
         else:
             w = F.col("tf") * idf(F.col("df"), n)
-            flat = (F.broadcast(flat) if few else flat).join(self.merged.select("term", "df"), "term").withColumn("w", w)
+            flat = flat.join(self.merged.select("term", "df"), "term").withColumn("w", w)
             length_now = F.sqrt(F.sum(F.col("w") * F.col("w")))
-        sums = flat.groupBy("rid", "chunk_no", "chunks").agg(F.sum(F.col("tf") * F.coalesce(query, F.lit(0.0))).alias("dot"), length_now.alias("norm"))
-        return [(r["rid"], f"{r['rid']}" if r["chunks"] == 1 else f"{r['rid']}#{r['chunk_no']}", r["dot"] / (r["norm"] * length)) for r in sums.collect()]
+        of = F.coalesce(F.create_map(*[F.lit(x) for pair in query.items() for x in pair])[F.col("term")], F.lit(0.0))
+        sums = flat.groupBy("rid", "chunk_no", "chunks").agg(F.sum(F.col("tf") * of).alias("dot"), length_now.alias("norm"))
+        return [(r["rid"], Hopeful(r["rid"], r["chunk_no"], r["chunks"], 0.0, 0.0).name, r["dot"] / (r["norm"] * length)) for r in sums.collect()]
+
+    def _counts(self, words: set[str]) -> dict[str, int]:
+        """df of the terms of a few chunks."""
+        if len(self.frequency) > KNOWN * 10:
+            self.frequency.clear()
+        missing = sorted(words - self.frequency.keys())
+        if missing:
+            rows = self.merged.filter(F.col("term").isin(missing) & F.col("term").between(missing[0], missing[-1])).select("term", "df").collect()
+            self.frequency |= {r["term"]: r["df"] for r in rows}
+        return self.frequency

@@ -35,6 +35,8 @@ MOST_DEAD = 0.25
 BROADCAST_BITMAPS = 8192
 #: Catalogs that vacuum leaves, and tries of a change against other writers.
 KEPT_CATALOGS, TRIES = 8, 64
+#: Rows of a page of a derived table.
+PAGE_ROWS = 1000
 TYPES = {"INT": T.LongType(), "FLOAT": T.DoubleType(), "TEXT": T.StringType(), "VARCHAR": T.StringType(), "VECTOR": T.ArrayType(T.DoubleType()), "BOOL": T.BooleanType()}
 
 R = TypeVar("R")
@@ -213,7 +215,7 @@ class Storage:
     def rows_of(self, name: str, ids: list[int]) -> DataFrame:
         """The rows of a few numbers: parts and row groups without any of them aren't read."""
         table = self.get(name)
-        return self.read(name, lambda part: one_of(F.col(PLACE), [i - part.base for i in ids])) if ids else self.spark.createDataFrame([], table.schema())
+        return self.read(name, lambda part: one_of(PLACE, [i - part.base for i in ids])) if ids else self.spark.createDataFrame([], table.schema())
 
     def bitmaps(self, name: str) -> DataFrame | None:
         """(_bucket, _bits) of all deleted rows, a row a bucket."""
@@ -333,7 +335,8 @@ class Storage:
         fs, path = self._path(f"{at}/_SUCCESS")
         if not fs.exists(path):
             made = build()
-            writer = made.write.mode("overwrite")
+            # Short pages, so that looking up a few rows reads few.
+            writer = made.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS)
             (writer.partitionBy(by) if by else writer).parquet(f"{self.folder}/{at}")
             self._count(at)
             self._schemas[at] = made.schema

@@ -160,12 +160,13 @@ def saver(spark, folder):
     return written
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_early_end_gives_the_same_rows(spark, tmp_path, monkeypatch, parts):
+@pytest.mark.parametrize(("parts", "fetched"), [(1, 30), (3, 30), (1, 0), (3, 10_000), (1, 10_000)])
+def test_early_end_gives_the_same_rows(spark, tmp_path, monkeypatch, parts, fetched):
     """Against scoring everything, with few postings and chunks at a time, so that bounds decide."""
     monkeypatch.setattr(impact, "FIRST_LEAST", 20)
     monkeypatch.setattr(impact, "FIRST_PER_K", 2)
     monkeypatch.setattr(impact, "WEIGHED", 6)
+    monkeypatch.setattr(impact, "FETCHED", fetched)
     docs = spark.createDataFrame(made_docs(400, parts) + [(1000, None), (1001, "w3"), (1002, "w3")], "doc_id long, text string")
     each = [docs.filter(F.col("doc_id") % parts == i) for i in range(parts)]
     gone = docs.filter("doc_id % 11 = 3") if parts > 1 else None
@@ -175,7 +176,14 @@ def test_early_end_gives_the_same_rows(spark, tmp_path, monkeypatch, parts):
     for query, k in (("w3", 4), ("w0 w1 w2", 10), ("w250 w7 w7", 3), ("w1 zz", 5), ("zz", 3), ("w299 w298 w0", 500), ("the", 3)):
         want = [(int(r["doc_id"]), round(r["score"], 6), r["best_chunk"]) for r in text.match(plain, query, k, digits=6).collect()]
         assert [(i, round(s, 6), c) for i, s, c in index.top(words.Counted("rule")(query), k, digits=6)] == want
-    assert index.top(words.Counted("rule")("w150"), 1, digits=6) and index.read < index.whole or index.whole < 40
+
+
+def test_few_postings_are_read(spark, tmp_path, monkeypatch):
+    """On 10,000 documents less than a tenth of the query's postings."""
+    monkeypatch.setattr(impact, "FETCHED", 1000)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    index = impact.index([docs], "doc_id", "text", saver(spark, tmp_path))
+    assert len(index.top(words.Counted("rule")("the thand of tion ing"), 10)) == 10 and 0 < index.read < index.whole / 10
 
 
 def test_counts_follow_inserts_and_deletes(spark, tmp_path):
