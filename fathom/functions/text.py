@@ -122,6 +122,11 @@ def stemmer(analyzer: str) -> Callable[[str], str]:
     raise ValueError(f"unknown analyzer: {analyzer}")
 
 
+def words_of(text: str) -> list[str]:
+    """tokens_of, over one text."""
+    return _WORD.findall(text.lower())
+
+
 class Counted:
     """Counts of terms in texts; a word is stemmed once, as long as few enough are known."""
 
@@ -134,15 +139,18 @@ class Counted:
         found = "" if len(word) < MIN_TOKEN or word in STOPWORDS else self.stem(word)
         return "" if found in STOPWORDS else found
 
+    def of(self, word: str) -> str:
+        """The word's term, or an empty text for what is none."""
+        if (term := self.known.get(word)) is None:
+            if len(self.known) > self.KNOWN:
+                self.known.clear()
+            term = self.known[word] = self.term(word)
+        return term
+
     def __call__(self, text: str) -> dict[str, int]:
-        if len(self.known) > self.KNOWN:
-            self.known.clear()
         out: dict[str, int] = {}
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            term = self.known.get(word)
-            if term is None:
-                term = self.known[word] = self.term(word)
-            if term:
+        for word, n in Counter(words_of(text)).items():
+            if term := self.of(word):
                 out[term] = out.get(term, 0) + n
         return out
 

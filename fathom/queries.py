@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import spread, stem_sql, stop_sql, terms
 from .functions.vectors import dot, norm
-from .operators import evaluate, fusion, impact, ivf, lookup, spatial, text, vector
+from .operators import evaluate, fusion, impact, ivf, kmeans, lookup, proximity, spatial, text, vector
 from .operators.lookup import Range
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,6 +292,33 @@ def match_batch(spark: SparkSession, d: str) -> DataFrame:
     return text.match_batch(_index(spark, d), table(spark, d, "benchmark"), "item_id", "text", TOP, digits=6)
 
 
+#: Words that many documents have all of.
+ALL_OF = "tion ing"
+COVERS = f"""
+place AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), 1) - 1 AS pos FROM documents),
+stem AS (SELECT doc_id, pos, {stem_sql("t")} AS term FROM place WHERE length(t) >= 2 AND NOT {stop_sql("t")}),
+ev AS (SELECT *, max(CASE WHEN term = 'tion' THEN pos END) OVER w AS a, max(CASE WHEN term = 'ing' THEN pos END) OVER w AS b FROM stem WHERE term IN ('tion', 'ing') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+cover AS (SELECT doc_id, least(a, b) AS lo, min(pos) AS hi FROM ev WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+near AS (SELECT doc_id, round(sum(2.0::DOUBLE / (hi - lo + 1)), 6) AS score FROM cover GROUP BY doc_id)"""
+
+
+@query("match_all", f"WITH {COVERS} SELECT doc_id, score FROM near")
+def match_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents that have every word, by cover density."""
+    return proximity.match_all(proximity.positions(table(spark, d, "documents"), "doc_id", "text"), ALL_OF, digits=6)
+
+
+@query("overlap_with_match", f"""WITH {POSTINGS}, {ALL_SEEN}, {WEIGHTS}, {MATCHED.replace(QUERY_TEXT, ALL_OF)}, {BEST}, {COVERS},
+x AS (SELECT list(doc_id) AS f FROM (SELECT doc_id FROM near ORDER BY score DESC, doc_id LIMIT {TOP})),
+y AS (SELECT list(doc_id) AS t FROM (SELECT doc_id FROM best ORDER BY score DESC, best_chunk LIMIT {TOP}))
+SELECT round(len(list_intersect(f, t)) / len(list_distinct(list_concat(f, t))), 3) AS overlap FROM x, y""")
+def overlap_with_match(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the ten best documents both kinds of full-text search have."""
+    found = proximity.match_all(proximity.positions(table(spark, d, "documents"), "doc_id", "text"), ALL_OF, TOP, digits=6)
+    both = [x.select(F.lit(0).alias("query_id"), F.col("doc_id").alias("key")) for x in (found, text.match(_index(spark, d), ALL_OF, TOP, digits=6))]
+    return evaluate.jaccard(*both)
+
+
 @query("match_porter2")
 def match_porter2(spark: SparkSession, d: str) -> DataFrame:
     return text.match(_index(spark, d, analyzer="porter2"), QUERY_TEXT, TOP, digits=6)
@@ -430,27 +458,31 @@ WORDS = "d AS (SELECT vec_id, vec_id % 50 AS key, generate_subscripts(embedding,
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("key"), "label", F.posexplode("embedding").alias("i", "x"))
-    centres = e.groupBy(F.col("label").alias("word"), "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    dist = e.join(F.broadcast(centres), "i").groupBy("vec_id", "key", "word").agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("dist"))
-    best = Window.partitionBy("vec_id").orderBy(F.round("dist", 9), "word")
-    return dist.withColumn("r", F.row_number().over(best)).filter("r = 1").select("vec_id", "key", "word")
+    """The nearest word of each embedding, in one pass: centres are few."""
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("key"), "label", "embedding")
+    means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    rows = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c")).orderBy("label").collect()  # a row a label
+    named = F.array(*[F.lit(r["label"]) for r in rows])
+    near = kmeans.assigned(e, "embedding", np.array([[x["m"] for x in r["c"]] for r in rows]), "at", digits=9)
+    return near.select("vec_id", "key", named[F.col("at")].alias("word"))
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    """(key, word, n, keys, df): words of each medium, all media, and media that have the word: by windows over small counts."""
+    counts = words.groupBy("key", "word").agg(F.count("*").alias("n"))
+    media = counts.agg(F.countDistinct("key").alias("keys"))
+    return counts.withColumn("df", F.count("*").over(Window.partitionBy("word"))).crossJoin(F.broadcast(media))
 
 
 @query("codebook_idf", f"WITH {WORDS} SELECT word, round(ln((SELECT count(DISTINCT key) + 1.0 FROM near) / (count(DISTINCT key) + 1.0)), 6) AS idf FROM near GROUP BY word")
 def codebook_idf(spark: SparkSession, d: str) -> DataFrame:
-    words = _words(spark, d)
-    keys = words.select("key").distinct().count()
-    return words.groupBy("word").agg(F.round(F.log((keys + 1.0) / (F.countDistinct("key") + 1.0)), 6).alias("idf"))
+    return _counted(_words(spark, d)).groupBy("word").agg(F.round(F.log((F.first("keys") + 1.0) / (F.first("df") + 1.0)), 6).alias("idf"))
 
 
 @query("quantize_histogram", f"WITH {WORDS}, idf AS (SELECT word, ln((SELECT count(DISTINCT key) + 1.0 FROM near) / (count(DISTINCT key) + 1.0)) AS idf FROM near GROUP BY word), h AS (SELECT key, word, count(*) / sum(count(*)) OVER (PARTITION BY key) * any_value(idf) AS w FROM near JOIN idf USING (word) GROUP BY key, word) SELECT key, word, round(CASE WHEN s > 0 THEN w / sqrt(s) ELSE w END, 6) AS w FROM (SELECT *, sum(w * w) OVER (PARTITION BY key) AS s FROM h)")
 def quantize_histogram(spark: SparkSession, d: str) -> DataFrame:
-    words = _words(spark, d)
-    keys = words.select("key").distinct().count()
-    idf = words.groupBy("word").agg(F.log((keys + 1.0) / (F.countDistinct("key") + 1.0)).alias("idf"))
     of = Window.partitionBy("key")
-    h = words.groupBy("key", "word").count().join(F.broadcast(idf), "word").withColumn("w", F.col("count") / F.sum("count").over(of) * F.col("idf"))
+    h = _counted(_words(spark, d)).withColumn("w", F.col("n") / F.sum("n").over(of) * F.log((F.col("keys") + 1.0) / (F.col("df") + 1.0)))
     h = h.withColumn("s", F.sum(F.col("w") * F.col("w")).over(of))
     return h.select("key", "word", F.round(F.when(F.col("s") > 0, F.col("w") / F.sqrt("s")).otherwise(F.col("w")), 6).alias("w"))
 

@@ -1,7 +1,7 @@
 """Media files: descriptors, a codebook of visual or audible words, and vectors by file.
 
 Files are read by Spark; descriptors come from numpy in `mapInPandas`; the codebook is
-Spark ML's k-means and histograms are grouped counts.
+fitted by mini-batches and histograms are grouped counts.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import kmeans
+from .scratch import scratch
+
 #: MFCC analysis: sample rate, coefficients, mel bands, FFT size, hop; frames of a
 #: descriptor and between descriptors.
 RATE, COEFFICIENTS, MELS, FFT, HOP = 8000, 20, 40, 512, 256
@@ -119,47 +120,31 @@ def descriptors(files: DataFrame, extractor: Extractor | None = None) -> DataFra
     return files.select("name", "content").mapInPandas(each, "key string, descriptor array<float>")
 
 
-def _nearest(found: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int32), *[((x[:, None] - centers[None]) ** 2).sum(2).argmin(1).astype(np.int32) for x in np.array_split(found, -(-len(found) // 1024) or 1)]])
-
-
 class Codebook:
     """k-means words over descriptors and their inverse document frequencies."""
 
-    def __init__(self, k: int = 256, seed: int = 42):
-        self.k, self.seed, self.model, self.idf = k, seed, None, None
+    def __init__(self, k: int = 256):
+        self.k, self.centers, self.idf = k, None, None
 
     def fit(self, rows: DataFrame) -> Codebook:
         """rows: (key, descriptor).  k is lowered to the number of distinct descriptors."""
-        n = rows.select("descriptor").distinct().limit(self.k).count()
-        if not n:
-            raise ValueError("no descriptors to learn from")
-        data = rows.select("key", array_to_vector(F.col("descriptor").cast("array<double>")).alias("features"))
-        self.model: KMeansModel | None = KMeans(k=max(n, 2), seed=self.seed, featuresCol="features", predictionCol="word").fit(data) if n > 1 else None
-        self.centers = np.array(self.model.clusterCenters() if self.model else [rows.first()["descriptor"]])
-        self.idf = np.zeros(len(self.centers))
-        words = self.words(rows)
+        folder = scratch(rows.sparkSession)
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{folder}/{name}")
+            return rows.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        self.centers = kmeans.fit(rows, "key", "descriptor", self.k, written)
+        counts = self.words(rows).groupBy("key", "word").count().groupBy("word").agg(F.count("*").alias("df"))
         keys = rows.select("key").distinct().count()
-        for r in words.groupBy("word").agg(F.countDistinct("key").alias("df")).collect():  # a row a word
+        self.idf = np.full(len(self.centers), np.log(keys + 1.0))
+        for r in counts.collect():  # a row a word
             self.idf[r["word"]] = np.log((keys + 1) / (r["df"] + 1))
-        unused = set(range(len(self.centers))) - {r["word"] for r in words.select("word").distinct().collect()}
-        for w in unused:
-            self.idf[w] = np.log(keys + 1)
         return self
 
     def words(self, rows: DataFrame) -> DataFrame:
         """(key, word): the nearest centre of each descriptor."""
-        if self.model is not None:
-            return self.model.transform(rows.select("key", array_to_vector(F.col("descriptor").cast("array<double>")).alias("features"))).select("key", "word")
-        centers = self.centers
-
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = np.array(b["descriptor"].tolist(), np.float64).reshape(len(b), -1)
-                yield pd.DataFrame({"key": b["key"], "word": _nearest(found, centers)})
-
-        kind = rows.schema["key"].dataType.simpleString()
-        return rows.select("key", "descriptor").mapInPandas(nearest, f"key {kind}, word int")
+        return kmeans.assigned(rows.select("key", "descriptor"), "descriptor", self.centers).select("key", "word")
 
     def histograms(self, rows: DataFrame) -> DataFrame:
         """(key, vec): word shares times idf, to unit length."""
@@ -195,7 +180,7 @@ class Codebook:
             raise RuntimeError("the codebook is not fitted")
         if not len(found):
             return [0.0] * len(self.idf)
-        near = _nearest(found.astype(np.float64), self.centers)
+        near = kmeans.distances(found.astype(np.float64), self.centers).argmin(1)
         raw = np.bincount(near, minlength=len(self.idf)) / len(found) * self.idf
         length = np.linalg.norm(raw)
         return (raw / length if length else raw).tolist()
