@@ -19,7 +19,7 @@ from .operators import fusion, impact, ivf, lookup, spatial, vector
 from .operators import text as text_ops
 from .plans import explain
 from .plans.parser import CreateIndex, CreateTable, Delete, DropTable, Hybrid, Insert, Knn, Match, Select, SqlError, parse
-from .plans.planner import INDEX_KINDS, Plan, column_of, plan_select, predicate_of
+from .plans.planner import Plan, column_of, kinds, plan_select, predicate_of
 from .sources import layout
 from .sources.storage import ROW, Storage
 
@@ -62,6 +62,10 @@ class Result:
     def columns(self) -> list[str]:
         return self.df.columns
 
+    def spark_plan(self) -> str:
+        """Spark's own plan; after rows() the one that ran."""
+        return self.df._jdf.queryExecution().explainString(self.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
     def explain(self) -> list[tuple[int, str]]:
         self.rows()
         return self.lines
@@ -125,7 +129,7 @@ class Engine:
 
     def _index(self, ast: CreateIndex) -> Result:
         began, kind = time.perf_counter(), ast.kind.lower()
-        if kind not in INDEX_KINDS:
+        if kind not in kinds():
             raise SqlError(f"unknown index kind: {ast.kind}")
         for option in ("vocabulary", "lists", "probes"):
             size = ast.options.get(option, 1)

@@ -6,8 +6,10 @@ The expressions are written so that Spark and other SQL engines read them alike.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,14 +105,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-#: A stemmer by its name, or any function from the column of tokens to that of terms.
-Analyzer = str | Callable[[Column], Column]
+@dataclass(frozen=True)
+class Words:
+    """A stemmer by its name, and stop words of one's own: a longer list, or another language's."""
+
+    stemmer: str = "rule"
+    stopwords: frozenset[str] = frozenset(STOPWORDS)
+
+
+#: A stemmer by its name, one with stop words, or any function from the column of tokens to that of terms.
+Analyzer = str | Words | Callable[[Column], Column]
 
 
 def name_of(analyzer: Analyzer) -> str:
+    """A name for derived tables, another one for other stop words."""
+    if isinstance(analyzer, Words):
+        return f"{analyzer.stemmer}-{zlib.crc32(' '.join(sorted(analyzer.stopwords)).encode()):08x}"
     return analyzer if isinstance(analyzer, str) else analyzer.__name__
 
 
+def _words(analyzer: Analyzer) -> Words:
+    return Words(analyzer) if isinstance(analyzer, str) else analyzer if isinstance(analyzer, Words) else Words()
+
+
 def stemmer(analyzer: str) -> Callable[[str], str]:
     """The stemmer of that name, over one word."""
     if analyzer == "rule":
@@ -132,12 +149,12 @@ class Counted:
 
     KNOWN = 200_000
 
-    def __init__(self, analyzer: str):
-        self.stem, self.known = stemmer(analyzer), {}
+    def __init__(self, analyzer: str | Words):
+        self.stem, self.stopwords, self.known = stemmer(_words(analyzer).stemmer), _words(analyzer).stopwords, {}
 
     def term(self, word: str) -> str:
-        found = "" if len(word) < MIN_TOKEN or word in STOPWORDS else self.stem(word)
-        return "" if found in STOPWORDS else found
+        found = "" if len(word) < MIN_TOKEN or word in self.stopwords else self.stem(word)
+        return "" if found in self.stopwords else found
 
     def of(self, word: str) -> str:
         """The word's term, or an empty text for what is none."""
@@ -158,18 +175,19 @@ class Counted:
 def terms(df: DataFrame, text: str, keep: list[str], analyzer: Analyzer = "rule") -> DataFrame:
     """One row for each term of a text, stemmed and without stop words: the columns of keep, and term."""
     words = df.select(*keep, F.explode(tokens_of(F.col(text))).alias("token"))
-    words = words.filter((F.length("token") >= MIN_TOKEN) & ~F.col("token").isin(*STOPWORDS))
+    stopwords = sorted(_words(analyzer).stopwords)
+    words = words.filter((F.length("token") >= MIN_TOKEN) & ~F.col("token").isin(*stopwords))
     if callable(analyzer):
         stemmed = words.withColumn("term", analyzer(F.col("token")))
-    elif analyzer == "rule":
+    elif _words(analyzer).stemmer == "rule":
         stemmed = words.withColumn("term", F.expr(stem_sql("token")))
-    elif analyzer == "porter2":
+    elif _words(analyzer).stemmer == "porter2":
         from .porter2 import stem_column
 
         stemmed = words.withColumn("term", stem_column(F.col("token")))
     else:
         raise ValueError(f"unknown analyzer: {analyzer}")
-    return stemmed.filter(~F.col("term").isin("", *STOPWORDS)).select(*keep, "term")
+    return stemmed.filter(~F.col("term").isin("", *stopwords)).select(*keep, "term")
 
 
 def flattened(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +30,27 @@ def jaccard(found: DataFrame, other: DataFrame) -> DataFrame:
     union = F.size(F.array_union("f", "t"))
     share = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("f", "t")) / union)
     return _sets(found, other).agg(F.round(F.coalesce(F.avg(share), F.lit(0.0)), 3).alias("overlap"))
+
+
+#: A way to search: from queries (query_id and what is asked) to (query_id, key), k rows a query at most.
+Search = Callable[[DataFrame], DataFrame]
+
+
+def compare(queries: DataFrame, searches: dict[str, Search], truth: str) -> list[dict[str, object]]:
+    """Each search over the same queries: seconds, queries a second, recall and overlap against the one named truth.
+
+    A search is run once, as one job or more; what it finds is held for the comparison.
+    """
+    n, found, out = queries.count(), {}, []
+    for name, search in searches.items():
+        began = time.perf_counter()
+        found[name] = search(queries).select("query_id", "key").persist()
+        found[name].count()
+        out.append({"engine": name, "queries": n, "seconds": round(time.perf_counter() - began, 3)})
+    for row in out:
+        mine, true = found[row["engine"]], found[truth]
+        row["per_second"] = round(n / max(row["seconds"], 1e-3), 3)
+        row["recall"], row["overlap"] = recall(mine, true).first()[0], jaccard(mine, true).first()[0]
+    for df in found.values():
+        df.unpersist()
+    return out

@@ -163,7 +163,7 @@ def frozen(index: TextIndex) -> TextIndex:
 
 def query_terms(index: TextIndex, query: str) -> dict[str, int]:
     """The query's terms and how often it has them: a few rows, on the driver."""
-    if isinstance(index.analyzer, str):
+    if not callable(index.analyzer):
         return Counted(index.analyzer)(query)
     spark = index.chunks.sparkSession
     rows = terms(spark.sql("SELECT :q AS q", args={"q": query}), "q", [], index.analyzer).collect()

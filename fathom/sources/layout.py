@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
+from ..plans.planner import GIVEN, INDEX_KINDS
 from .storage import ROW, Storage
 
 #: Bits of a code, so leaves of a part at most, and rows of a leaf from which on it is cut.
@@ -200,6 +201,17 @@ class Kind:
 KINDS = {"bplus": Kind(ordered), "isam": Kind(ordered), "hash": Kind(hashed, LEAF, of_key), "rtree": Kind(spatial, LEAF)}
 
 
+def register(name: str, kind: Kind, serves: Sequence[str] = ("equality", "range")) -> None:
+    """Makes an index kind known: CREATE INDEX … USING name then lays tables out by it.
+
+    serves: the predicates that it may answer.  Answers never depend on a layout, only
+    on what it leaves out for an equality, if it says so.
+    """
+    if name in INDEX_KINDS or not name.isidentifier() or name != name.lower():
+        raise ValueError(f"{name} can't be the name of a new index kind")
+    KINDS[name], GIVEN[name] = kind, tuple(serves)
+
+
 def layout(storage: Storage, name: str, column: str, predicate: Any = None) -> DataFrame:
     """The table in the layout of the column's index, or as it is stored.
 

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.engine import Engine
+from fathom.functions.text import Counted, Words, terms
+from fathom.operators import evaluate
 from fathom.plans.parser import SqlError
-from fathom.sources import storage
+from fathom.sources import layout, storage
 
 
 @pytest.fixture
@@ -213,3 +215,39 @@ def test_deleting_by_media_file(spark, tmp_path):
     assert column(e.sql("SELECT code FROM paints WHERE KNN(swatch, [1, 0, 0], 9)"), "code") == [9, 8]
     assert e.sql('DELETE FROM paints WHERE swatch = "red.png"').affected == 2
     assert column(e.sql("SELECT code FROM paints WHERE KNN(swatch, [1, 0, 0], 9)"), "key") == ["lime.png"]
+
+
+def test_other_index_kinds_can_be_given(spark, tmp_path):
+    layout.register("descending", layout.Kind(lambda df, column: df.orderBy(F.desc(column))), serves=("range",))
+    e = Engine(spark, str(tmp_path / "own"))
+    e.sql("CREATE TABLE boats (berth INT, hull TEXT)")
+    e.sql("CREATE INDEX ON boats (berth) USING descending")
+    e.sql('INSERT INTO boats VALUES (4, "Heron"), (2, "Gannet"), (7, "Tern")')
+    assert column(e.sql("SELECT hull FROM boats WHERE berth >= 4"), "hull") == ["Heron", "Tern"]
+    assert [r["berth"] for r in layout.layout(e.storage, "boats", "berth").collect()] == [7, 4, 2]
+    with pytest.raises(SqlError):
+        e.sql("SELECT hull FROM boats WHERE berth = 4")
+    with pytest.raises(ValueError):
+        layout.register("hash", layout.KINDS["hash"])
+
+
+def test_other_stop_words_can_be_given(spark, tmp_path):
+    own = Words("porter2", frozenset({"boat", "red"}))
+    e = Engine(spark, str(tmp_path / "own"), analyzer=own)
+    e.sql("CREATE TABLE boats (no INT, note TEXT)")
+    e.sql("CREATE INDEX ON boats (note) USING inverted")
+    e.sql('INSERT INTO boats VALUES (1, "the red boats sailing"), (2, "a red boat"), (3, "the oars")')
+    ask = 'SELECT no FROM boats WHERE MATCH(note, "{}", 5)'
+    assert column(e.sql(ask.format("boats red")), "no") == [] and column(e.sql(ask.format("the")), "no") == [1, 3]
+    found = e.sql(ask.format("sailed"))
+    assert column(found, "no") == [1] and "Scan parquet" in found.spark_plan()
+    rows = spark.createDataFrame([(1, "the red boats sailing")], "i int, text string")
+    assert {r["term"] for r in terms(rows, "text", ["i"], own).collect()} == {"the", "sail"} == set(Counted(own)("the red boats sailing"))
+
+
+def test_searches_are_compared(spark):
+    asked = spark.range(3).withColumnRenamed("id", "query_id")
+    true = lambda q: q.selectExpr("query_id", "explode(array(query_id, query_id + 1)) AS key")
+    rows = evaluate.compare(asked, {"all": true, "half": lambda q: true(q).filter("key = query_id")}, "all")
+    assert [(r["engine"], r["queries"], r["recall"], r["overlap"]) for r in rows] == [("all", 3, 1.0, 1.0), ("half", 3, 0.5, 0.5)]
+    assert all(r["seconds"] > 0 and r["per_second"] > 0 for r in rows)
