@@ -35,6 +35,8 @@ GRAPH = "dim int, shard int, ids binary, starts binary, vectors binary, nodes ar
 
 def augmented(x: np.ndarray) -> np.ndarray:
     """One more component makes all norms equal: the order by inner product stays that of nearness."""
+    if x.dtype == np.float64:  # doubles may be too large for their squares, and for floats
+        x = x / max(np.abs(x).max(initial=0), np.finfo(float).tiny)
     square = (x.astype(np.float64) ** 2).sum(1)
     top = square.max(initial=1e-300)
     return (np.column_stack([x, np.sqrt(np.maximum(top - square, 0))]) / np.sqrt(top)).astype(np.float32)
@@ -185,7 +187,7 @@ def build(x: np.ndarray, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _graph_of(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
     """One row that holds a shard: its distinct vectors, their ids and the layers."""
-    x = np.stack(rows["v"].to_numpy()).astype(np.float32)
+    x = np.stack(rows["v"].to_numpy())
     ids = rows["vec_id"].to_numpy()
     order = np.lexsort((ids, *x.T[::-1]))
     x, ids = x[order], ids[order]
@@ -195,12 +197,14 @@ def _graph_of(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
     groups, x = [groups[i] for i in shuffled], x[starts][shuffled]
     layers = build(augmented(x))
     bounds = np.cumsum([0, *map(len, groups)])
-    return pd.DataFrame([(*key, np.concatenate(groups).astype("<i8").tobytes(), bounds.astype("<i8").tobytes(), x.astype("<f4").tobytes(), [n.astype("<i4").tobytes() for n, _ in layers], [e.astype("<i4").tobytes() for _, e in layers])], columns=["dim", "shard", "ids", "starts", "vectors", "nodes", "links"])
+    return pd.DataFrame([(*key, np.concatenate(groups).astype("<i8").tobytes(), bounds.astype("<i8").tobytes(), x.astype(x.dtype.newbyteorder("<")).tobytes(), [n.astype("<i4").tobytes() for n, _ in layers], [e.astype("<i4").tobytes() for _, e in layers])], columns=["dim", "shard", "ids", "starts", "vectors", "nodes", "links"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v, dim) of the rows that take part: vectors without null or non-finite parts, not zero."""
-    rows = columns(vectors, vec_id="long", embedding="array<float>").withColumnRenamed("embedding", "v")
+    # Floats stay floats, all else becomes doubles, so scores are those of the original vectors.
+    kind = vectors.schema["embedding"].dataType.simpleString() if "embedding" in vectors.columns else ""
+    rows = columns(vectors, vec_id="long", embedding="array<float>" if kind == "array<float>" else "array<double>").withColumnRenamed("embedding", "v")
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & whole & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
@@ -209,23 +213,30 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, int]:
     """Graphs of all shards, a row each, written down; and the number of shards."""
     rows = usable(vectors).dropDuplicates(["vec_id", "v"])
     n, dim = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
-    most = max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * dim)))
+    most = max(1, min(SHARD_ROWS, SHARD_BYTES // ((4 if "float" in rows.schema["v"].simpleString() else 8) * dim)))
     shards = max(LEAST_SHARDS, -(-n // most))
     dealt = rows.withColumn("shard", salt("vec_id", of=shards))
     return saved(dealt.groupBy("dim", "shard").applyInPandas(_graph_of, GRAPH), "graphs"), shards
 
 
+def numbers(data: bytes, rows: int, dim: int) -> np.ndarray:
+    """Rows of floats or of doubles, as many bytes as there are."""
+    return np.frombuffer(data, "<f8" if len(data) == 8 * rows * dim else "<f4").reshape(rows, dim)
+
+
 def opened(graph: dict) -> tuple:
     """The arrays of a shard's row: vectors, the same augmented, ids, where each vector's ids start, layers."""
-    x = np.frombuffer(graph["vectors"], "<f4").reshape(-1, graph["dim"])
+    starts = np.frombuffer(graph["starts"], "<i8")
+    x = numbers(graph["vectors"], len(starts) - 1, graph["dim"])
     layers = [(np.frombuffer(n, "<i4").astype(np.int64), np.frombuffer(e, "<i4").reshape(len(n) // 4, -1)) for n, e in zip(graph["nodes"], graph["links"], strict=True)]
-    return x.astype(np.float64), augmented(x), np.frombuffer(graph["ids"], "<i8"), np.frombuffer(graph["starts"], "<i8"), layers
+    return x.astype(np.float64), augmented(x), np.frombuffer(graph["ids"], "<i8"), starts, layers
 
 
 def search_shard(shard: tuple, q: np.ndarray, own: np.ndarray, k: int, ef: int = EF_SEARCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its row, the ids found and their inner products, k at most, best first."""
     exact, wide, ids, starts, layers = shard
-    turned = np.column_stack([q, np.zeros(len(q))]).astype(np.float32)
+    scaled = q / np.maximum(np.abs(q).max(1, initial=0), np.finfo(float).tiny)[:, None] if q.dtype == np.float64 else q
+    turned = np.column_stack([scaled, np.zeros(len(q))]).astype(np.float32)
     for a in range(0, len(q), LANES):
         part = turned[a : a + LANES]
         found, _ = beam(wide, layers[0][1], part, descend(wide, layers[1:], part), ef)
@@ -262,7 +273,7 @@ def nearest(queries: DataFrame, index: DataFrame, shards: int, k: int = 20) -> D
             dims, ids = b.column("dim").to_numpy(), b.column("vec_id").to_numpy()
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                v = b.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(at), dim)
+                v = b.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
                 for i in range(0, len(at), BLOCK_QUERIES):
                     block = (ids[at[i : i + BLOCK_QUERIES]].astype("<i8").tobytes(), v[i : i + BLOCK_QUERIES].tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block[0]], pa.binary()), pa.array([block[1]], pa.binary())], ["dim", "ids", "vectors"])
@@ -282,7 +293,7 @@ def nearest(queries: DataFrame, index: DataFrame, shards: int, k: int = 20) -> D
                     of, shard = (one["dim"], one["shard"]), opened(one)
                 elif of == (one["dim"], one["shard"]):
                     own = np.frombuffer(one["ids"], "<i8")
-                    out = [(own[[i] * len(ids)], ids, score) for i, ids, score in search_shard(shard, np.frombuffer(one["vectors"], "<f4").reshape(len(own), -1), own, k)]
+                    out = [(own[[i] * len(ids)], ids, score) for i, ids, score in search_shard(shard, numbers(one["vectors"], len(own), one["dim"]), own, k)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 

@@ -178,3 +178,18 @@ def test_neighbours_of_odd_vectors(spark):
     empty = df.filter("false")
     index, shards = ann.build_index(empty)
     assert ann.nearest(empty, index, shards).count() == 0 and ann.nearest(df, index, shards).count() == 0
+
+
+def test_scores_are_of_the_original_vectors(spark):
+    """Doubles that floats can't tell apart, and that are beyond them."""
+    g = np.random.default_rng(8)
+    x = 1 + g.normal(size=(300, 6)) * 1e-9
+    for scale in (1.0, 1e150):
+        rows = x * scale
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        index, shards = ann.build_index(df)
+        got = ann.nearest(df.filter("vec_id % 100 = 0"), index, shards, 5).collect()
+        assert len(got) == 15 and all(r["score"] == pytest.approx(float(rows[r["query_id"]] @ rows[r["vec_id"]]), rel=1e-14) for r in got)
+    wide = spark.createDataFrame([(i, [1e300 * (i + 1), -1e300]) for i in range(5)], "vec_id long, embedding array<double>")
+    index, shards = ann.build_index(wide)
+    assert ann.nearest(wide.filter("vec_id = 0"), index, shards, 3).count() == 3
