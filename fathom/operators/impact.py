@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Analyzer, spread, with_chunks
+from ..functions.text import Analyzer, with_chunks
 from .lookup import one_of
 from .text import Chunker, term_rows
 
@@ -49,8 +49,11 @@ VECTORS = "rid long, chunks int, chunk_no int, terms array<string>, tfs array<in
 
 def vectors(rows: DataFrame, row: str, text: str, analyzer: Analyzer = "rule", chunker: Chunker = with_chunks) -> DataFrame:
     """VECTORS of the chunks of rows(row, text), in order of row."""
-    named = spread(rows).select(F.col(row).cast("long").alias("rid"), F.col(text).alias("text"))
-    return term_rows(named, "rid", analyzer, chunker=chunker).repartitionByRange("rid").sortWithinPartitions("rid", "chunk_no")
+    named = rows.select(F.col(row).cast("long").alias("rid"), F.col(text).alias("text"))
+    # Ranges are dealt before texts are cut, as what is sampled for them is computed twice.
+    n = max(named.sparkSession.sparkContext.defaultParallelism, named.rdd.getNumPartitions())
+    found = term_rows(named.repartitionByRange(n, "rid").sortWithinPartitions("rid"), "rid", analyzer, chunker=chunker)
+    return found.repartitionByRange("rid").sortWithinPartitions("rid", "chunk_no") if callable(analyzer) else found
 
 
 class Hopeful(NamedTuple):
