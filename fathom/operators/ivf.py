@@ -21,7 +21,7 @@ from .vector import BLOCK, SHARD, arrays_of, best_of, one_shard
 #: Vectors of the sample that centroids are fitted on, rounds of fitting, and lists at most.
 SAMPLE, ROUNDS, MOST_LISTS, LEAST = 20_000, 12, 1024, 1000
 #: Share of the lists that a query reads unless it says otherwise.
-PROBED = 0.4
+PROBED = 0.6
 #: The list of vectors that no centroid fits: of another length.  Every query reads it.
 OTHERS = -1
 

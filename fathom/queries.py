@@ -373,7 +373,7 @@ def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Lists that queries by inverted files read, of all.
-LISTS, PROBES = 32, 16
+LISTS, PROBES = 32, 20
 
 
 def _ivf(spark: SparkSession, d: str, probes: int | None) -> DataFrame:
@@ -391,7 +391,7 @@ def knn_ivf(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ivf_recall", f"SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % {EVERY} = 0")
 def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Whether half of the lists have nine of the ten nearest, held against all vectors."""
+    """Whether five eighths of the lists have nine of the ten nearest, held against all vectors."""
     found, true = _ivf(spark, d, PROBES).select("query_id", "key"), _batch(spark, d).select("query_id", "key")
     queries = true.agg(F.countDistinct("query_id").alias("queries"))
     return evaluate.recall(found, true).crossJoin(queries).select("queries", (F.col("recall") >= 0.9).alias("enough"))
