@@ -30,5 +30,7 @@ ORACLES: dict[str, str] = {
     "op4_mix_sources": op4.SQL,
     "op6_exact_dedup": op6.SQL,
     "op9_pii": op9.SQL,
+    "op11_conversation_repair": op11.SQL,
     "op12_source_divergence": op12.SQL,
+    "op13_hilbert_sharding": op13.SQL,
 }

@@ -18,7 +18,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
