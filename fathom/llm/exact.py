@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, fresh_folder, join_unique, saved, whole_rows
+from .common import columns, fresh, fresh_folder, join_unique, only_result, saved, whole_rows
 
 #: Distinct digests in a shard, which is built and probed by one task.
 SHARD_KEYS = 100_000
@@ -303,8 +303,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     old, new = halves(columns(docs, doc_id="long", text="string"))
     _id, _sha, kept, times = fresh(docs, "id", "sha", "kept", "times")
-    report = exact_dedup(new, old).select(F.col("doc_id").alias(_id), F.col("text_sha256").alias(_sha), F.col("kept").alias(kept))
-    report = saved(report.groupBy(_id, _sha, kept).agg(F.count("*").alias(times)).filter(~F.col(kept) | (F.col(times) > 1)), "report")
+
+    def listed() -> DataFrame:
+        rows = exact_dedup(new, old).select(F.col("doc_id").alias(_id), F.col("text_sha256").alias(_sha), F.col("kept").alias(kept))
+        return rows.groupBy(_id, _sha, kept).agg(F.count("*").alias(times)).filter(~F.col(kept) | (F.col(times) > 1))
+
+    report = only_result(listed, "report")  # the texts that it kept are deleted with it
     # Tables of their own, so that Spark sees how small they are, where they are, and sends them to all.
     dropped = saved(report.filter(~F.col(kept)).select(_id, _sha), "dropped")
     again = saved(report.filter(kept).select(_id, _sha), "repeated")
