@@ -19,11 +19,12 @@ RARE_SHARE, CANDIDATES_PER_K, CANDIDATE_SHARE, FULL_SCAN_SHARE = 0.05, 4, 0.01,
 BLOCK, SHARD, QUERIES = 4096, 65_536, 256
 
 
-def cosine_top(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int | None = None, norms: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def cosine_top(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int | None = None, norms: str | None = None, keep: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """(key, the columns of keep, score) of the k vectors of largest cosine, ties to the smaller key.
 
     A query of zeros has no neighbours; zero vectors and those of another length are
-    none.  norms: a column that holds the vectors' norms already.
+    none.  norms: a column that holds the vectors' norms already.  digits: scores are
+    rounded before they rank.
     """
     k = DEFAULT_K if k is None else k
     length = float(np.sqrt(sum(float(v) ** 2 for v in query)))
@@ -31,6 +32,7 @@ def cosine_top(df: DataFrame, key: str, vector: str, query: Sequence[float], k:
     if length == 0:
         rows = rows.limit(0)
     score = dot(F.col(vector), literal(query)) / (F.col("_norm") * length)
+    score = score if digits is None else F.round(score, digits)
     return rows.filter("_norm > 0").select(F.col(key).alias("key"), *keep, score.alias("score")).orderBy(F.desc("score"), "key").limit(k)
 
 
@@ -154,10 +156,10 @@ def candidates(df: DataFrame, key: str, query: Sequence[float], k: int, postings
     return shared.filter(step > least).unionByName(last).select("key")
 
 
-def cosine_pruned(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int = DEFAULT_K, postings: DataFrame | None = None, norms: str | None = None) -> DataFrame:
+def cosine_pruned(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int = DEFAULT_K, postings: DataFrame | None = None, norms: str | None = None, digits: int | None = None) -> DataFrame:
     """As cosine_top, over the `candidates` alone; postings: those of dim_postings, if held."""
     postings = dim_postings(df, key, vector) if postings is None else postings
     chosen = candidates(df, key, query, k, postings)
     if chosen is not None:
         df = df.join(chosen.select(F.col("key").alias("_key")), F.col(key) == F.col("_key"), "left_semi")
-    return cosine_top(df, key, vector, query, k, norms)
+    return cosine_top(df, key, vector, query, k, norms, digits=digits)

@@ -344,7 +344,7 @@ def _batch(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
 @query("knn_cosine", f"SELECT e.vec_id AS key, {COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY {COSINE} DESC, e.vec_id LIMIT {TOP}")
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return vector.cosine_top(e, "vec_id", "embedding", _asked(spark, d), TOP).withColumn("score", F.round("score", 6))
+    return vector.cosine_top(e, "vec_id", "embedding", _asked(spark, d), TOP, digits=6)
 
 
 @query("knn_batch", f"SELECT query_id, key, score, CAST(rank AS INTEGER) AS rank FROM {BATCH} WHERE rank <= {TOP}")
@@ -368,8 +368,7 @@ WHERE list_sum(a.v) > 0 AND (NOT (SELECT ok FROM use) OR a.vec_id IN (SELECT vec
 def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
     sparse = table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x >= SPARSE, x).otherwise(0.0)).alias("v"))
     asked = sparse.filter("vec_id = 3").first()["v"]
-    found = vector.cosine_pruned(sparse, "vec_id", "v", asked, TOP)
-    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "key")
+    return vector.cosine_pruned(sparse, "vec_id", "v", asked, TOP, digits=6)
 
 
 #: Lists that queries by inverted files read, of all.

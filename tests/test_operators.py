@@ -168,3 +168,11 @@ def test_synthetic_tables(spark, tmp_path):
     synthetic.write_results(spark, [{"engine": "fathom", "size": 10}], str(tmp_path / "r"))
     row = spark.read.csv(str(tmp_path / "r"), header=True).first()
     assert tuple(row.asDict()) == synthetic.RESULT_COLUMNS and row["size"] == "10" and row["modality"] is None
+
+
+def test_rounded_scores_rank_before_the_cut(spark):
+    """Cosines that are equal to six digits go by key, also where only some of them fit."""
+    rows = [(i, [1.0, 0.5 + (i % 7) * 1e-9]) for i in range(40)]
+    df, query = spark.createDataFrame(rows, "no long, v array<double>"), [1.0, 0.0]
+    for found in (vector.cosine_top(df, "no", "v", query, 5, digits=6), vector.cosine_pruned(df, "no", "v", query, 5, digits=6)):
+        assert [(r["key"], r["score"]) for r in found.collect()] == [(i, 0.894427) for i in range(5)]
