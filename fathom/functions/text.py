@@ -100,9 +100,12 @@ def tokens_of(text: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it is read as fewer partitions: one small file, say."""
+    """df over all cores where it is read as fewer partitions: one small file, say.
+
+    Spark deals the rows by size, so that a task's share doesn't grow with the table.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.hint("rebalance") if df.rdd.getNumPartitions() < cores else df
 
 
 @dataclass(frozen=True)

@@ -23,7 +23,7 @@ Chunker = Callable[[DataFrame, str, list[str], int], DataFrame]
 
 #: Chunks that a task sends on at once.
 HELD_CHUNKS = 4096
-#: A capped vocabulary of up to so many terms is broadcast.
+#: A capped vocabulary of up to so many terms is broadcast, and weights of as many frequent terms at most.
 BROADCAST_TERMS = 500_000
 
 
@@ -46,24 +46,48 @@ class TextIndex:
         row = self.norms(self.chunks.filter(F.col("chunk_id") == chunk_id).select("chunk_id")).first()
         return row["norm"] if row else 0.0
 
-    def visible(self) -> DataFrame:
-        """The postings of the `vocabulary` most frequent terms, ties by term; all without a cap."""
+    def visible(self, of: DataFrame | None = None) -> DataFrame:
+        """The postings, or those in `of`, of the `vocabulary` most frequent terms, ties by term; all without a cap."""
+        of = self.postings if of is None else of
         if self.vocabulary is None:
-            return self.postings
+            return of
         top = self.postings.groupBy("term").agg(F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(self.vocabulary).select("term")
-        return self.postings.join(F.broadcast(top) if self.vocabulary <= BROADCAST_TERMS else top, "term", "left_semi")
+        return of.join(F.broadcast(top) if self.vocabulary <= BROADCAST_TERMS else top, "term", "left_semi")
 
     def idf(self, of: DataFrame | None = None) -> DataFrame:
         """(term, df, idf): ln((N + 1) / (df + 1)) + 1 over N chunks."""
         n = max(self.chunks.count(), 1)
-        counted = (self.visible() if of is None else of).groupBy("term").agg(F.count("*").alias("df"))
+        if of is None:
+            plain = self.rows is not None and self.vocabulary is None
+            of = self.rows.select(F.explode("terms").alias("term")) if plain else self.visible()
+        counted = of.groupBy("term").agg(F.count("*").alias("df"))
         return counted.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
     def norms(self, of: DataFrame | None = None) -> DataFrame:
         """(chunk_id, norm): the length of each chunk's weighted terms; of the chunks in of(chunk_id) alone, if given."""
-        seen = self.visible()
-        weight, held = F.col("tf") * F.col("idf"), seen if of is None else seen.join(of, "chunk_id", "left_semi")
-        return held.join(self.idf(seen), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+        held = self.postings if of is None else self.postings.join(of, "chunk_id", "left_semi")
+        return lengths(held, self.idf().persist(), ["chunk_id"])
+
+
+def lengths(held: DataFrame, weights: DataFrame, chunk: list[str], **sums: Column) -> DataFrame:
+    """(chunk, norm, sums) of held(chunk, term, tf) by weights(term, df, idf), and sums over postings beside.
+
+    weights is read several times.  Those of frequent terms are broadcast, less than
+    BROADCAST_TERMS as each has more than that part of all postings; only postings of the
+    other terms, about a tenth, are shuffled.
+    """
+    least = (weights.agg(F.sum("df")).first()[0] or 0) / BROADCAST_TERMS
+    often, w = F.broadcast(weights.filter(F.col("df") > least).select("term", "idf")), F.col("tf") * F.col("idf")
+
+    def added(of: DataFrame) -> DataFrame:
+        return of.groupBy(*chunk).agg(F.sum(w * w).alias("squares"), *[F.sum(c).alias(name) for name, c in sums.items()])
+
+    out = added(held.join(often, "term"))
+    if least >= 1:
+        rest = held.join(F.broadcast(often.select("term")), "term", "left_anti").join(weights.filter(F.col("df") <= least).select("term", "idf"), "term")
+        both = out.unionByName(added(rest)).groupBy(*chunk)
+        out = both.agg(F.sum("squares").alias("squares"), *[F.sum(name).alias(name) for name in sums])
+    return out.select(*chunk, F.sqrt("squares").alias("norm"), *sums)
 
 
 def chunk_table(df: DataFrame, key: str, text: str, window: int = WINDOW, chunker: Chunker = with_chunks) -> DataFrame:
@@ -144,9 +168,22 @@ def index_text(df: DataFrame, key: str, text: str, vocabulary: int | None = None
 
 def of_rows(rows: DataFrame, key: str, vocabulary: int | None = None, analyzer: Analyzer = "rule") -> TextIndex:
     """The index of term_rows."""
-    named = rows.select(F.col(key).cast("string").alias("doc_id"), "chunk_no", chunk_name(key, "chunks").alias("chunk_id"), F.arrays_zip("terms", "tfs").alias("v"))
-    flat = named.select("chunk_id", F.explode("v").alias("p"))
-    return TextIndex(named.drop("v"), flat.select(F.col("p.terms").alias("term"), "chunk_id", F.col("p.tfs").cast("long").alias("tf")), vocabulary, analyzer, rows)
+    named = rows.select(F.col(key).cast("string").alias("doc_id"), "chunk_no", chunk_name(key, "chunks").alias("chunk_id"))
+    return TextIndex(named, flat(rows).select("term", "chunk_id", "tf"), vocabulary, analyzer, rows)
+
+
+def flat(rows: DataFrame, asked: list[str] | None = None) -> DataFrame:
+    """(doc_id, chunk_id, term, tf) of term_rows, or of the asked terms alone."""
+    key, v = rows.columns[0], F.arrays_zip("terms", "tfs")
+    if asked is not None:
+        rows, v = having(rows, asked), F.filter(v, lambda p: p["terms"].isin(asked))
+    each = rows.select(F.col(key).cast("string").alias("doc_id"), chunk_name(key, "chunks").alias("chunk_id"), F.explode(v).alias("p"))
+    return each.select("doc_id", "chunk_id", F.col("p.terms").alias("term"), F.col("p.tfs").cast("long").alias("tf"))
+
+
+def having(rows: DataFrame, asked: list[str]) -> DataFrame:
+    """The term_rows that have one of the terms."""
+    return rows.filter(F.arrays_overlap("terms", F.array(*map(F.lit, asked)))) if asked else rows.limit(0)
 
 
 def held(index: TextIndex) -> TextIndex:
@@ -170,18 +207,28 @@ def query_terms(index: TextIndex, query: str) -> dict[str, int]:
     return reduce(lambda d, r: d | {r["term"]: d.get(r["term"], 0) + 1}, rows, {})
 
 
-def match_chunks(index: TextIndex, query: str, norms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, score): cosine of the query's and each chunk's weighted terms."""
+def _scored(index: TextIndex, query: str, norms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score) of match_chunks, with doc_id where the index has rows and no norms are given."""
     asked = query_terms(index, query)
-    hits = index.visible().filter(F.col("term").isin(list(asked)))
+    hits = index.visible(index.postings.filter(F.col("term").isin(list(asked))) if index.rows is None else flat(index.rows, list(asked)))
     known = {r["term"]: r["idf"] for r in index.idf(hits).collect()}
     length = math.sqrt(sum((asked[t] * w) ** 2 for t, w in known.items()))
     if not length:
         return hits.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     weight = F.create_map(*[F.lit(x) for t, w in known.items() for x in (t, w * asked[t] * w)])[F.col("term")]
+    score = (F.col("dot") / (F.col("norm") * F.lit(length))).alias("score")
+    if index.rows is not None and norms is None:
+        dot = F.when(F.col("term").isin(list(known)), F.col("tf") * weight)
+        held = lengths(flat(having(index.rows, list(known))), index.idf().persist(), ["doc_id", "chunk_id"], dot=dot)
+        return held.filter("norm > 0 and dot is not null").select("doc_id", "chunk_id", score)
     dots = hits.groupBy("chunk_id").agg(F.sum(F.col("tf") * weight).alias("dot"))
-    lengths = index.norms(dots.select("chunk_id")) if norms is None else norms
-    return dots.join(lengths, "chunk_id").filter("norm > 0").select("chunk_id", (F.col("dot") / (F.col("norm") * F.lit(length))).alias("score"))
+    norms = index.norms(dots.select("chunk_id")) if norms is None else norms
+    return dots.join(norms, "chunk_id").filter("norm > 0").select("chunk_id", score)
+
+
+def match_chunks(index: TextIndex, query: str, norms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score): cosine of the query's and each chunk's weighted terms."""
+    return _scored(index, query, norms).select("chunk_id", "score")
 
 
 def match(index: TextIndex, query: str, k: int | None = None, norms: DataFrame | None = None, digits: int | None = None) -> DataFrame:
@@ -189,11 +236,12 @@ def match(index: TextIndex, query: str, k: int | None = None, norms: DataFrame |
 
     Ties go to the smaller chunk id.  digits: scores are rounded before they rank.
     """
-    scored = match_chunks(index, query, norms)
+    scored = _scored(index, query, norms)
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
-    best = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("best")
-    found = scored.join(index.chunks.select("doc_id", "chunk_id"), "chunk_id").groupBy("doc_id").agg(best)
+    if "doc_id" not in scored.columns:
+        scored = scored.join(index.chunks.select("doc_id", "chunk_id"), "chunk_id")
+    found = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("best"))
     out = found.select("doc_id", (-F.col("best.s")).alias("score"), F.col("best.chunk_id").alias("best_chunk")).orderBy(F.desc("score"), "best_chunk")
     return out if k is None else out.limit(k)
 
@@ -201,9 +249,10 @@ def match(index: TextIndex, query: str, k: int | None = None, norms: DataFrame |
 def match_batch(index: TextIndex, queries: DataFrame, key: str, text: str, k: int, digits: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score, best_chunk): as match, for each of queries(key, text), in one job.
 
-    Terms of queries meet postings by term; a chunk's dot products with the queries are
-    added up before anything else is known of it.  Queries without known terms have no
-    rows; null texts have no terms.
+    Each chunk is dealt with its length, by document, and meets the terms of queries, which
+    are broadcast unless they are many; so dot products are added up and the best of each
+    task found where the chunk lies.  Queries without known terms have no rows; null
+    texts have no terms.
     """
     asked = queries.select(F.col(key).alias("query_id"), F.coalesce(text, F.lit("")).alias("text"))
     if callable(index.analyzer):
@@ -218,16 +267,27 @@ def match_batch(index: TextIndex, queries: DataFrame, key: str, text: str, k: in
                 yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(times, pa.int64())], ["query_id", "term", "qtf"])
 
         asked = asked.mapInArrow(counted, f"query_id {asked.schema['query_id'].dataType.simpleString()}, term string, qtf long")
-    seen = index.visible()
-    weights = index.idf(seen).select("term", "idf")
-    weighed = asked.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("q"))
-    lengths = weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
-    norms = seen.join(weights, "term").groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf"))).alias("norm")).filter("norm > 0")
-    dots = seen.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
+    weights = index.idf().persist()
+    weighed = asked.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("q")).persist()
+    asks, whole = F.broadcast(weighed) if weighed.count() <= BROADCAST_TERMS else weighed, weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
+    if index.rows is None:
+        of, held = ["chunk_id"], index.postings
+        chunks = held.groupBy("chunk_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs")).join(index.chunks.select("doc_id", "chunk_id"), "chunk_id")
+    else:
+        key = index.rows.columns[0]
+        chunks = index.rows.select(F.col(key).cast("string").alias("doc_id"), chunk_name(key, "chunks").alias("chunk_id"), "terms", "tfs")
+        of, held = ["doc_id", "chunk_id"], flat(index.rows)
+    norms = lengths(held, weights, of)
+    norms = norms if index.rows is not None else norms.join(index.chunks.select("doc_id", "chunk_id"), "chunk_id")
+    # A join by document and chunk would deal by both, and each document's chunks anew.
+    same = Window.partitionBy("doc_id").orderBy("chunk_id").rangeBetween(Window.currentRow, Window.currentRow)
+    dealt = chunks.unionByName(norms.filter("norm > 0").select("doc_id", "chunk_id", "norm"), allowMissingColumns=True).withColumn("norm", F.max("norm").over(same))
+    each = dealt.filter("terms is not null and norm > 0").select("doc_id", "chunk_id", "norm", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    met = each.select("doc_id", "chunk_id", "norm", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")).join(asks, "term")
+    dots = met.groupBy("doc_id", "chunk_id", "query_id").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"), F.first("norm").alias("norm"))
     score = F.col("dot") / (F.col("norm") * F.col("length"))
-    scored = dots.join(norms, "chunk_id").join(lengths, "query_id").select("query_id", "chunk_id", (score if digits is None else F.round(score, digits)).alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("best")
-    found = scored.join(index.chunks.select("doc_id", "chunk_id"), "chunk_id").groupBy("query_id", "doc_id").agg(best)
+    scored = dots.join(F.broadcast(whole), "query_id").select("query_id", "doc_id", "chunk_id", (score if digits is None else F.round(score, digits)).alias("score"))
+    found = scored.groupBy("query_id", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("best"))
     order = Window.partitionBy("query_id").orderBy("best")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", (-F.col("best.s")).alias("score"), F.col("best.chunk_id").alias("best_chunk"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions.porter2 import stem
+from fathom.functions.text import spread
 from fathom.operators import evaluate, fusion, synthetic, text, vector
 
 
@@ -176,3 +177,62 @@ def test_rounded_scores_rank_before_the_cut(spark):
     df, query = spark.createDataFrame(rows, "no long, v array<double>"), [1.0, 0.0]
     for found in (vector.cosine_top(df, "no", "v", query, 5, digits=6), vector.cosine_pruned(df, "no", "v", query, 5, digits=6)):
         assert [(r["key"], r["score"]) for r in found.collect()] == [(i, 0.894427) for i in range(5)]
+
+
+@pytest.fixture
+def words(spark):
+    r = np.random.default_rng(6)
+    docs = [(i, "\n\n".join(" ".join(f"w{int(x)}" for x in r.zipf(1.6, 12) % 400) for _ in range(i % 4 + 1))) for i in range(60)]
+    return spark.createDataFrame(docs, "doc_id long, text string")
+
+
+def kinds(index):
+    """The index with its rows, and by its postings alone."""
+    return index, text.TextIndex(index.chunks, index.postings, index.vocabulary, index.analyzer)
+
+
+@pytest.mark.parametrize("most", [500_000, 20])
+def test_lengths_by_frequent_and_other_terms(spark, words, monkeypatch, most):
+    """Weights of few frequent terms are broadcast; lengths, scores and batches are those of a loop."""
+    monkeypatch.setattr(text, "BROADCAST_TERMS", most)
+    index = text.index_text(words, "doc_id", "text")
+    tf = {}
+    for r in index.postings.collect():
+        tf.setdefault(r["chunk_id"], {})[r["term"]] = r["tf"]
+    n, df = index.chunks.count(), {}
+    for t in (t for c in tf.values() for t in c):
+        df[t] = df.get(t, 0) + 1
+    idf = {t: math.log((n + 1) / (m + 1)) + 1 for t, m in df.items()}
+    norms = {c: math.sqrt(sum((x * idf[t]) ** 2 for t, x in v.items())) for c, v in tf.items()}
+    for one in kinds(index):
+        assert {r["chunk_id"]: r["norm"] for r in one.norms().collect()} == pytest.approx(norms)
+        asked = {t: idf[t] for t in ("w1", "w5", "w33") if t in idf}
+        length = math.sqrt(sum(w * w for w in asked.values()))
+        want = {c: sum(v.get(t, 0) * idf[t] * w for t, w in asked.items()) / norms[c] / length for c, v in tf.items() if v.keys() & asked}
+        assert {r["chunk_id"]: r["score"] for r in text.match_chunks(one, "w1 w5 w33 unknown").collect()} == pytest.approx(want)
+        single = [tuple(r) for r in text.match(one, "w1 w5 w33", 6, digits=6).collect()]
+        batch = text.match_batch(one, spark.createDataFrame([("a", "w1 w5 w33"), ("b", "unknown")], "q string, text string"), "q", "text", 6, digits=6).orderBy("rank").collect()
+        assert [(r["doc_id"], r["score"], r["best_chunk"]) for r in batch] == single and len(single) == 6
+
+
+def test_a_batch_deals_chunks_not_pairs(spark, words):
+    """A batch's pairs of queries and chunks are added up where the chunk lies: none is shuffled before each task's best."""
+    asked = spark.createDataFrame([(i, "w1 w2 w3") for i in range(9)], "q long, text string")
+    plan = text.match_batch(text.index_text(words, "doc_id", "text"), asked, "q", "text", 3)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("hashpartitioning(query_id" in line and "chunk_id" in line for line in dealt) and any("hashpartitioning(doc_id" in line for line in dealt)
+
+
+def test_a_small_number_of_partitions_is_dealt_by_size(spark):
+    """A task's share of a table that is read as one partition doesn't grow with the table."""
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "50k"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = spark.range(3000).coalesce(1).withColumn("text", F.concat_ws("", *[F.sha2((F.col("id") * 31 + i).cast("string"), 256) for i in range(16)]))
+        parts = spread(df).select(F.spark_partition_id().alias("p"), "text").groupBy("p").agg(F.sum(F.length("text")).alias("n")).collect()
+        assert len(parts) > 8 and max(r["n"] for r in parts) < 400_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
