@@ -410,7 +410,8 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     asked = F.array(*[F.lit(float(x)) for x in _asked(spark, d)])
     cosine = F.round(dot(F.col("embedding"), asked) / (norm(F.col("embedding")) * norm(asked)), 6)
     seen = e.select(F.col("vec_id").cast("string").alias("key"), cosine.alias("score"))
-    return tuple(x.orderBy(F.desc("score"), "key").limit(DEEP) for x in (seen, found))
+    # Short lists, each read more than once.
+    return tuple(x.orderBy(F.desc("score"), "key").limit(DEEP).persist() for x in (seen, found))
 
 
 @query("rrf_fuse", f"WITH {TWO} SELECT key, round(sum(part), 9) AS score FROM ({RANKED.format('seen_v')} UNION ALL {RANKED.format('texts')}) GROUP BY key ORDER BY sum(part) DESC, key LIMIT {TOP}")
