@@ -105,7 +105,7 @@ def spread(df: DataFrame) -> DataFrame:
     Spark deals the rows by size, so that a task's share doesn't grow with the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.hint("rebalance") if df.rdd.getNumPartitions() < cores else df
+    return df.hint("rebalance", 4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 @dataclass(frozen=True)
