@@ -74,3 +74,10 @@ def test_plan_lines(spark):
     rows = [(r["depth"], re.sub(r"time=[0-9.]+ ms", "time=T", r["line"])) for r in QUERIES["explain_lines"](spark, DATA).collect()]
     assert rows[0][1].startswith("Index Range Scan using bplus on nation  (actual time=T  rows=5  reads=1")
     assert rows[1:] == [(1, "Index Cond: n_nationkey >= 3 AND n_nationkey <= 9"), (1, "Limit: 5"), (1, "Planner: range predicate uses bplus")]
+
+
+def test_both_sides_of_a_hybrid_search_are_found_once(spark):
+    """Ranks, scores and the join read lists that are kept."""
+    from fathom.queries import _sides
+
+    assert all(side.is_cached and side.count() == 30 for side in _sides(spark, DATA))
