@@ -108,6 +108,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", 4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Parts for each partition that a table is read as, or for each core, where its terms are kept.
+PARTS = 4
+
+
+def spread_to_keep(df: DataFrame) -> DataFrame:
+    """df over PARTS times the partitions that it is read as, and over all cores, for terms that are kept.
+
+    One task reads a kept partition whole, and kept terms take about four times the bytes
+    of the files that their texts come from.  Spark bounds what it reads as one partition,
+    so a part's share doesn't grow with the table.
+    """
+    return df.repartition(PARTS * max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 @dataclass(frozen=True)
 class Words:
     """A stemmer by its name, and stop words of one's own: a longer list, or another language's."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WINDOW, Analyzer, Counted, cut, spread, terms, with_chunks
+from ..functions.text import WINDOW, Analyzer, Counted, cut, spread, spread_to_keep, terms, with_chunks
 
 #: A way to cut texts, as with_chunks does.
 Chunker = Callable[[DataFrame, str, list[str], int], DataFrame]
@@ -162,7 +162,7 @@ def term_rows(df: DataFrame, key: str, analyzer: Analyzer = "rule", window: int
 
 def index_text(df: DataFrame, key: str, text: str, vocabulary: int | None = None, analyzer: Analyzer = "rule", window: int = WINDOW, chunker: Chunker = with_chunks) -> TextIndex:
     """chunker: from (rows, text column, columns to keep, window) to those columns and `chunks`, an array."""
-    named = spread(df).select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    named = spread_to_keep(df.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text")))
     return of_rows(term_rows(named, "doc_id", analyzer, window, chunker), "doc_id", vocabulary, analyzer)
 
 

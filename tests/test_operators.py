@@ -236,3 +236,12 @@ def test_a_small_number_of_partitions_is_dealt_by_size(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_kept_terms_are_dealt_to_more_parts_than_texts_are_read_as(spark):
+    """A table read as enough partitions for all cores is dealt too, as one task reads a kept partition whole."""
+    df = spark.range(0, 3200, 1, 8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.lit("oslo")).alias("text"))
+    index = text.held(text.index_text(df, "doc_id", "text"))
+    parts = index.rows.groupBy(F.spark_partition_id()).count().collect()
+    index.rows.unpersist()
+    assert sum(r["count"] for r in parts) == 3200 and max(r["count"] for r in parts) <= 200
